@@ -101,7 +101,7 @@ GENE_NAME_COLUMNS = ("Gene Names", "Gene.Names", "Gene_Names", "GeneNames")
 
 
 def read_gene_map(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(accession, gene): the first gene name of each entry; the last row wins per accession."""
+    """(accession, gene): the first gene name of each entry, the smallest where an entry repeats."""
     df = spark.read.csv(_many(path), sep="\t", header=True, inferSchema=False)
     key = next((c for c in GENE_ID_COLUMNS if c in df.columns), None)
     name = next((c for c in GENE_NAME_COLUMNS if c in df.columns), None)
