@@ -88,6 +88,10 @@ def _t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(p).where(~np.isnan(p), None)
 
 
+# Marked so that the optimiser neither repeats it nor moves it into a filter.
+_t_tail = _t_tail.asNondeterministic()
+
+
 def t_pvalue(t: Column, df: Column) -> Column:
     """Two-sided p-value, null where t or df is null."""
     return F.when(t.isNotNull() & df.isNotNull(), _t_tail(t.cast("double"), df.cast("double")))

@@ -223,13 +223,11 @@ def similar_features(fc: DataFrame, query: str, n: int = 10, min_shared: int = 3
     """The n + 1 nearest features (the query first) and the n farthest, by RMSD."""
     scored = feature_distances(fc, query, min_shared)
     near = scored.orderBy("similarity", F.col("feature") != query, "feature").limit(n + 1)
-    far = scored.orderBy(F.col("similarity").desc(), F.col("feature").desc()).limit(n)
     near = near.withColumn("side", F.lit("nearest"))
-    far = far.withColumn("side", F.lit("farthest"))
-    # With few features the two ends overlap; only the nearest are reported then.
-    enough = Window.partitionBy()
-    both = near.unionByName(far.join(near.select("feature"), "feature", "left_anti"))
-    return both.withColumn("listed", F.count(F.lit(1)).over(enough))
+    if scored.limit(n + 2).count() <= n + 1:
+        return near
+    far = scored.orderBy(F.col("similarity").desc(), F.col("feature").desc()).limit(n)
+    return near.unionByName(far.withColumn("side", F.lit("farthest")))
 
 
 def feature_distances(fc: DataFrame, query: str, min_shared: int = 3) -> DataFrame:

@@ -292,7 +292,8 @@ def assign_batch(samples: DataFrame, design: DataFrame, sample: str = "sample_id
     joined = samples.drop("batch").join(keyed, sample, "left")
     if "experiment" in design.columns:
         left = joined.where(F.col("__b").isNull()).select(sample)
-        named = design.where(F.coalesce(F.col("experiment"), F.lit("")) != "").select("experiment", "batch")
+        named = design.where(F.coalesce(F.col("experiment"), F.lit("")) != "")
+        named = named.groupBy("experiment").agg(F.min("batch").alias("batch"))
         # Every piece of a sample id is listed once, so "contains" is an equi join.
         text = F.col(sample)
         pieces = F.flatten(

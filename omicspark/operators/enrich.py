@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from omicspark.functions import expressions as E
-from omicspark.functions.ranking import finite, positions, running_total, same_keys
+from omicspark.functions.ranking import finite, order_bin, positions, running_total, same_keys
 
 MIN_SIZE, MAX_SIZE = 15, 500
 PERMUTATIONS, SEED = 1000, 123
+GENES_PER_SLICE = 100_000
 NES_CUT, FDR_CUT = 1.0, 0.25
 
 
@@ -120,18 +121,31 @@ def null_scores(ranked: DataFrame, sets: DataFrame, permutations: int = PERMUTAT
     """(set, permutation, es) under random gene labels.
 
     Every permutation orders the genes by a hash of seed, permutation and gene,
-    so a lost task recomputes the same labels. One permutation is one sort.
+    so a lost task recomputes the same labels. A long list is cut into slices
+    of the hash range, each sorted by its own task.
     """
     members = set_members(ranked, sets, min_size, max_size).where(F.col("set_size") < F.col("gene_count"))
     members = members.select("set", "gene", "set_size")
     profile = ranked.select("position", "metric", "gene_count")
     labels = ranked.select(
         "gene", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation")
-    ).withColumn("__h", F.xxhash64(F.lit(seed), F.col("permutation"), F.col("gene")))
-    order = Window.partitionBy("permutation").orderBy("__h", "gene")
-    labels = labels.select(
-        "gene", "permutation", (F.row_number().over(order) - 1).cast("bigint").alias("position")
     )
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("permutation"), F.col("gene")), F.lit(2**40))
+    total = ranked.agg(F.max("gene_count")).first()[0] or 0
+    slices = total // GENES_PER_SLICE + 1
+    labels = labels.withColumn("__h", drawn)
+    labels = labels.withColumn("__s", F.floor(F.col("__h") * F.lit(slices) / F.lit(float(2**40))))
+    order = Window.partitionBy("permutation", "__s").orderBy("__h", "gene")
+    labels = labels.withColumn("position", (F.row_number().over(order) - 1).cast("bigint"))
+    if slices > 1:
+        before = Window.partitionBy("permutation").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+        starts = labels.groupBy("permutation", "__s").agg(F.count(F.lit(1)).alias("__c"))
+        starts = starts.select(
+            "permutation", "__s", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start")
+        )
+        labels = labels.join(starts, ["permutation", "__s"])
+        labels = labels.withColumn("position", F.col("position") + F.col("__start"))
+    labels = labels.select("gene", "permutation", "position")
     hits = members.join(labels, "gene").join(profile, "position")
     return _extreme(["set", "permutation"], _scores(hits, ["set", "permutation"], weight))
 
@@ -187,8 +201,6 @@ def tail_share(points: DataFrame, population: DataFrame, out: str) -> DataFrame:
         population.select(F.lit(None).cast("string").alias("set"), "positive", "size", F.lit(1).alias("__c"))
     ).where(F.col("size").isNotNull())
     counts = both.groupBy("positive", "size").agg(F.sum("__c").alias("__c"))
-    from omicspark.functions.ranking import order_bin
-
     counts = counts.withColumn("__b", order_bin(F.col("size")))
     inside = Window.partitionBy("positive", "__b").orderBy(F.col("size").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow

@@ -22,6 +22,7 @@ from omicspark.functions.special import (
     trigamma,
     trigamma_inverse,
 )
+from omicspark.session import cut_lineage
 
 LEVEL = "level"
 ZERO_VARIANCE = 1e-10
@@ -102,7 +103,8 @@ def contrast_group_means(
     out = out.withColumn("statistic", F.try_divide(F.col("log2_fold_change"), F.col("standard_error")))
     if not pvalues:
         return out
-    out = out.withColumn("p_value", t_pvalue(F.col("statistic"), F.col("df")))
+    # The correction reads its input twice, so the tests are written once.
+    out = cut_lineage(out.withColumn("p_value", t_pvalue(F.col("statistic"), F.col("df"))))
     return adjust_pvalues(out, ["comparison_id"], "p_value", adjust)
 
 
@@ -241,7 +243,7 @@ def contrast_models(
     out = out.withColumn("p_value", t_pvalue(F.col("statistic"), F.col("df")))
     if flat is not None:
         out = blank_flat(out, flat)
-    return adjust_pvalues(out, ["comparison_id"], "p_value", adjust)
+    return adjust_pvalues(cut_lineage(out), ["comparison_id"], "p_value", adjust)
 
 
 def blank_flat(results: DataFrame, flat: DataFrame) -> DataFrame:

@@ -1 +1,13 @@
+"""All registered queries."""
 
+from importlib import import_module
+
+MODULES = ("views", "preparation", "proteins", "quality")
+
+
+def load():
+    from omicspark.registry import base
+
+    for name in MODULES:
+        import_module(f"omicspark.registry.{name}")
+    return base.QUERIES
