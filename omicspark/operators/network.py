@@ -75,7 +75,8 @@ def subnetwork(
 
 def edge_types(edges: DataFrame) -> DataFrame:
     """Distinct single interaction types."""
-    return edges.select(F.trim(F.explode(F.split("interaction", ","))).alias("type")).distinct()
+    single = edges.select(F.explode(F.split("interaction", ",")).alias("type"))
+    return single.select(F.trim("type").alias("type")).distinct()
 
 
 def node_flags(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("views", "preparation", "proteins", "quality")
+MODULES = ("views", "preparation", "proteins", "quality", "reads", "enrichment", "sites")
 
 
 def load():

@@ -255,6 +255,38 @@ define_view(
     ("documents",),
     """SELECT 'S' || CAST(doc_id AS STRING) AS accession,
        CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'GN' || CAST(doc_id % 60 AS STRING) END AS gene,
-       upper(translate(text, ' .,;:!?()-/"0123456789ß\n\t\r>|*', '')) AS sequence
+       upper(translate(text, 'éóèñçüêäöíÉÈÑÓÇÄÊÜÖÍ .,;:!?()-/"0123456789ß\n\t\r>|*%&$#+=@', 'eoencueaoiEENOCAEUOI')) AS sequence
 FROM {documents}""",
 )
+
+define_view(
+    "ptm_rows",
+    ("lineitem", "proteome"),
+    """SELECT CAST(l_partkey * 10 + l_linenumber AS BIGINT) AS _SourceRow,
+       CASE WHEN l_partkey % 6 = 5 THEN 'S' || CAST(l_partkey AS STRING) || '-2'
+            WHEN l_partkey % 13 = 0 THEN 'S' || CAST(l_partkey AS STRING) || '; S1'
+            ELSE 'S' || CAST(l_partkey AS STRING) END AS Master_Protein_Accessions,
+       CASE WHEN l_linenumber = 7 OR length(sequence) < 30 OR sequence IS NULL THEN 'PEPTIDEK'
+            WHEN l_linenumber = 6 THEN '[R].' || lower(substr(sequence, 4, 3)) || '.[S]'
+            ELSE '[K].' || lower(substr(sequence, 5 + CAST(l_linenumber AS INT), 1)) || substr(sequence, 6 + CAST(l_linenumber AS INT), 7) || '.[R]' END AS Annotated_Sequence,
+       CASE WHEN l_partkey % 17 = 3 THEN NULL
+            WHEN l_linenumber % 3 = 0 THEN 'N-Term(TMT6plex); C2(DBIA); C4(DBIA)'
+            WHEN l_linenumber % 3 = 1 THEN 'C3(DBIA); K5(TMT6plex)'
+            WHEN l_partkey % 5 = 0 THEN 'N-Term(DBIA); K5(TMT6plex)'
+            WHEN l_partkey % 5 = 1 THEN 'C-Term(DBIA)'
+            WHEN l_partkey % 5 = 2 THEN 'K5(TMT6plex); M1(Oxidation)'
+            ELSE 'K2(DBIA); K5(TMT6plex)' END AS Modifications,
+       CASE WHEN l_partkey % 4 = 0 THEN 'C2(DBIA): 98.2; C4(DBIA): 76.5; M1(Oxidation): 100'
+            WHEN l_partkey % 4 = 1 THEN 'C3(DBIA): 50; C5(DBIA): 50.0'
+            WHEN l_partkey % 4 = 2 THEN ' ' END AS ptmRS_Best_Site_Probabilities,
+       CASE WHEN l_partkey % 8 = 3 THEN 'C3(DBIA): 75; C1(DBIA): 75.0; C6(DBIA): 99.9' END AS CHIMERYS_Best_Site_Probabilities,
+       CASE WHEN l_partkey % 8 = 2 THEN '0.91' WHEN l_partkey % 8 = 6 THEN '42.5' WHEN l_partkey % 8 = 7 THEN 'none' END AS CHIMERYS_PTM_Localization_Score,
+       CAST(l_partkey % 3 + 2 AS STRING) AS Charge,
+       CASE l_suppkey % 4 WHEN 0 THEN '126' WHEN 1 THEN '127N' WHEN 2 THEN '127C' ELSE '128N' END AS Channel,
+       CASE l_suppkey % 4 WHEN 0 THEN 'DMSO' WHEN 1 THEN 'DMSO' WHEN 2 THEN 'INCZ' ELSE 'Norm' END AS Condition,
+       CASE l_suppkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 2 END AS Replicate,
+       CASE l_suppkey % 4 WHEN 3 THEN 'Reference/Bridge' ELSE 'Sample' END AS Role,
+       CASE l_suppkey % 4 WHEN 0 THEN 'DMSO_1' WHEN 1 THEN 'DMSO_2' WHEN 2 THEN 'INCZ_1' ELSE 'Norm_2' END AS BioReplicate,
+       l_quantity AS Abundance
+FROM {lineitem} LEFT JOIN {proteome} ON 'S' || CAST(l_partkey AS STRING) = accession""",
+)
