@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from omicspark.functions.grouped import Columns, map_keys
 from omicspark.functions.ranking import adjust_pvalues, same_keys
 from omicspark.functions.special import (
     digamma,
@@ -111,26 +112,32 @@ def contrast_group_means(
 # ----------------------------------------------------------------- robust models
 
 
-def _design(pdf: pd.DataFrame, with_batch: bool) -> tuple[np.ndarray, list[str]]:
-    conditions, c = np.unique(pdf["condition"].to_numpy(dtype=str), return_inverse=True)
-    x = np.zeros((len(pdf), len(conditions)))
-    x[np.arange(len(pdf)), c] = 1.0
-    if with_batch:
-        batches, b = np.unique(pdf["batch"].to_numpy(dtype=str), return_inverse=True)
-        extra = np.zeros((len(pdf), max(len(batches) - 1, 0)))
-        rows = np.nonzero(b > 0)[0]
-        extra[rows, b[rows] - 1] = 1.0
-        x = np.hstack([x, extra])
-    return x, list(conditions)
+def _indicator(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted names and the 0/1 column of each."""
+    codes, names = pd.factorize(values, sort=True)
+    x = np.zeros((len(values), len(names)))
+    x[np.arange(len(values)), codes] = 1.0
+    return names, x
 
 
 def _weighted(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Coefficients, unscaled covariance and rank of a weighted fit."""
     cross = x.T @ (x * w[:, None])
+    right = x.T @ (w * y)
+    total = np.diag(cross)
+    if np.count_nonzero(cross) == np.count_nonzero(total):
+        # Indicator columns that do not overlap: plain weighted means.
+        inverse = np.divide(1.0, total, out=np.zeros_like(total), where=total > 0)
+        return inverse * right, np.diag(inverse), int((total > 0).sum())
     values, vectors = np.linalg.eigh(cross)
     keep = values > max(values.max(), 0) * 1e-10
     inverse = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T
-    return inverse @ (x.T @ (w * y)), inverse, int(keep.sum())
+    return inverse @ right, inverse, int(keep.sum())
+
+
+def _middle(values: np.ndarray) -> float:
+    ordered = np.sort(values)
+    return float(ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]) / 2
 
 
 def huber_fit(
@@ -142,7 +149,7 @@ def huber_fit(
     if robust:
         for _ in range(rounds):
             rest = y - x @ beta
-            scale = np.median(np.abs(rest - np.median(rest))) / 0.6745
+            scale = _middle(np.abs(rest - _middle(rest))) / 0.6745
             if not np.isfinite(scale) or scale < 1e-12:
                 break
             size = np.abs(rest) / scale
@@ -164,24 +171,24 @@ def fit_models(df: DataFrame, robust: bool = True, max_rounds: int = 10, use_bat
     Cache or write the result: it is fitted once and tested for every contrast.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, conditions = _design(pdf, use_batch)
-        beta, cov, sigma, freedom = huber_fit(x, pdf[LEVEL].to_numpy(dtype=float), robust, max_rounds)
+    def run(protein: str, columns: Columns) -> Columns:
+        conditions, x = _indicator(columns["condition"])
         k = len(conditions)
-        return pd.DataFrame(
-            {
-                "protein": [pdf["protein"].iloc[0]],
-                "conditions": [conditions],
-                "coef": [beta[:k].tolist()],
-                "cov": [cov[:k, :k].tolist()],
-                "sigma": [None if math.isnan(sigma) else sigma],
-                "df": [freedom],
-                "n": [len(pdf)],
-            }
-        )
-
-    columns = ["protein", "sample", "condition", LEVEL] + (["batch"] if use_batch else [])
-    return one_row_per_sample(df).select(*columns).groupBy("protein").applyInPandas(run, FIT_SCHEMA)
+        if use_batch:
+            x = np.hstack([x, _indicator(columns["batch"])[1][:, 1:]])
+        beta, cov, sigma, freedom = huber_fit(x, columns[LEVEL], robust, max_rounds)
+        return {
+            "protein": [protein],
+            "conditions": [list(conditions)],
+            "coef": [beta[:k].tolist()],
+            "cov": [cov[:k, :k].tolist()],
+            "sigma": [None if math.isnan(sigma) else sigma],
+            "df": [freedom],
+            "n": [len(columns[LEVEL])],
+        }
+
+    columns = ["condition", LEVEL] + (["batch"] if use_batch else [])
+    return map_keys(one_row_per_sample(df), "protein", columns, run, FIT_SCHEMA)
 
 
 def zero_variance(df: DataFrame) -> DataFrame:
@@ -297,25 +304,23 @@ def moderate_variance(fits: DataFrame) -> DataFrame:
 def remove_batch_effect(df: DataFrame) -> DataFrame:
     """Levels without the batch part of a condition + batch fit; for display only."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf[LEVEL].to_numpy(dtype=float)
-        conditions, c = np.unique(pdf["condition"].to_numpy(dtype=str), return_inverse=True)
-        batches, b = np.unique(pdf["batch"].to_numpy(dtype=str), return_inverse=True)
-        x = np.zeros((len(y), len(conditions)))
-        x[np.arange(len(y)), c] = 1.0
+    def run(protein: str, columns: Columns) -> Columns:
+        y = columns[LEVEL]
+        _, x = _indicator(columns["condition"])
+        _, batch = _indicator(columns["batch"])
         # Sum-to-zero coding keeps the mean over batches.
-        z = np.zeros((len(y), max(len(batches) - 1, 0)))
-        for j in range(z.shape[1]):
-            z[b == j, j] = 1.0
-        z[b == len(batches) - 1, :] = -1.0
-        full = np.hstack([x, z])
-        beta, _, _ = _weighted(full, y, np.ones(len(y)))
-        out = pdf[["protein", "sample", "condition", "batch"]].copy()
-        out[LEVEL] = y - z @ beta[x.shape[1]:]
-        return out
+        z = batch[:, :-1] - batch[:, -1:]
+        beta, _, _ = _weighted(np.hstack([x, z]), y, np.ones(len(y)))
+        return {
+            "protein": np.repeat(protein, len(y)).astype(object),
+            "sample": columns["sample"],
+            "condition": columns["condition"],
+            "batch": columns["batch"],
+            LEVEL: y - z @ beta[x.shape[1]:],
+        }
 
     schema = "protein string, sample string, condition string, batch string, level double"
-    return one_row_per_sample(df).groupBy("protein").applyInPandas(run, schema)
+    return map_keys(one_row_per_sample(df), "protein", ["sample", "condition", "batch", LEVEL], run, schema)
 
 
 def differential_table(results: DataFrame, layer: str, pipeline: str) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from omicspark.functions.grouped import Columns, map_keys, median_along
 from omicspark.functions.ranking import exact_quantiles, same_keys
 from omicspark.operators.protein import top_features
 from omicspark.session import cut_lineage
@@ -52,12 +53,12 @@ def summarize(
         keep = counts.where(F.col("n") >= min_features).select("protein")
         cells = same_keys(cells, keep, ["protein"], "left_semi")
     large = large_proteins(cells, max_cells)
-    fit = _grouped(method)
+    columns = ["feature", "sample", VALUE]
     if large.isEmpty():
-        return cells.groupBy("protein").applyInPandas(fit, SCHEMA)
+        return map_keys(cells, "protein", columns, _grouped(method), SCHEMA)
     small = same_keys(cells, large, ["protein"], "left_anti")
     big = same_keys(cells, large, ["protein"], "left_semi")
-    fitted = small.groupBy("protein").applyInPandas(fit, SCHEMA)
+    fitted = map_keys(small, "protein", columns, _grouped(method), SCHEMA)
     return fitted.unionByName(spread_fit(big, method))
 
 
@@ -86,12 +87,18 @@ def large_proteins(cells: DataFrame, max_cells: int) -> DataFrame:
 # ----------------------------------------------------------- one task per protein
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
-    features, f = np.unique(pdf["feature"].to_numpy(dtype=str), return_inverse=True)
-    samples, s = np.unique(pdf["sample"].to_numpy(dtype=str), return_inverse=True)
+def _codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes, names = pd.factorize(values, sort=True)
+    return names, codes
+
+
+def _matrix(columns: Columns) -> tuple[np.ndarray, np.ndarray]:
+    """Feature x sample matrix with gaps as NaN, and the sample names."""
+    features, f = _codes(columns["feature"])
+    samples, s = _codes(columns["sample"])
     matrix = np.full((len(features), len(samples)), np.nan)
-    matrix[f, s] = pdf[VALUE].to_numpy(dtype=float)
-    return matrix, list(samples)
+    matrix[f, s] = columns[VALUE]
+    return matrix, samples
 
 
 def median_polish(x: np.ndarray, rounds: int = 10, tolerance: float = 0.01) -> np.ndarray:
@@ -101,15 +108,15 @@ def median_polish(x: np.ndarray, rounds: int = 10, tolerance: float = 0.01) -> n
     row, col = np.zeros(x.shape[0]), np.zeros(x.shape[1])
     last = 0.0
     for _ in range(rounds):
-        step = np.nanmedian(rest, axis=1)
+        step = median_along(rest, 1)
         rest = rest - step[:, None]
         row = row + step
-        center = np.median(col)
+        center = median_along(col)
         col, overall = col - center, overall + center
-        step = np.nanmedian(rest, axis=0)
+        step = median_along(rest, 0)
         rest = rest - step[None, :]
         col = col + step
-        center = np.median(row)
+        center = median_along(row)
         row, overall = row - center, overall + center
         size = np.nansum(np.abs(rest))
         if size == 0 or abs(size - last) < tolerance * size:
@@ -145,7 +152,7 @@ def additive_fit(
 
 
 def huber_weights(rest: np.ndarray) -> np.ndarray:
-    scale = np.nanmedian(np.abs(rest)) / MAD_SCALE
+    scale = float(median_along(np.abs(rest).ravel())) / MAD_SCALE
     if not np.isfinite(scale) or scale < 1e-12:
         return np.ones_like(rest)
     size = np.abs(rest) / scale
@@ -174,9 +181,9 @@ SWEEPS = {
 def _grouped(method: str):
     fit = SWEEPS[method]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix, samples = _matrix(pdf)
-        return pd.DataFrame({"protein": pdf["protein"].iloc[0], "sample": samples, VALUE: fit(matrix)})
+    def run(protein: str, columns: Columns) -> Columns:
+        matrix, samples = _matrix(columns)
+        return {"protein": np.repeat(protein, len(samples)).astype(object), "sample": samples, VALUE: fit(matrix)}
 
     return run
 
@@ -190,14 +197,14 @@ def spread_fit(cells: DataFrame, method: str, rounds: int | None = None) -> Data
         return _spread_polish(cells, rounds or 10)
     if method == "linear":
         return _spread_additive(cells.withColumn("w", F.lit(1.0)), rounds or 60)[0]
-    levels, rest = _spread_additive(cells.withColumn("w", F.lit(1.0)), rounds or 60)
-    for _ in range(20):
+    levels, rest = _spread_additive(cells.withColumn("w", F.lit(1.0)), 60)
+    for _ in range(rounds or 30):
         scale = exact_quantiles(rest.withColumn("a", F.abs("rest")), ["protein"], "a", {"mad": 0.5})
         weighted = same_keys(rest, scale, ["protein"])
         size = F.abs("rest") / (F.col("mad") / MAD_SCALE)
         weight = F.when(F.col("mad") / MAD_SCALE < 1e-12, 1.0).when(size <= HUBER_K, 1.0).otherwise(HUBER_K / size)
-        weighted = weighted.withColumn("w", weight).select("protein", "feature", "sample", VALUE, "w")
-        new, rest = _spread_additive(weighted, rounds or 60)
+        weighted = weighted.withColumn("w", weight).select("protein", "feature", "sample", VALUE, "w", "r", "c")
+        new, rest = _spread_additive(weighted, 1)
         moved = new.alias("a").join(levels.alias("b"), ["protein", "sample"]).agg(
             F.max(F.abs(F.col(f"a.{VALUE}") - F.col(f"b.{VALUE}")))
         ).first()[0]
@@ -208,19 +215,28 @@ def spread_fit(cells: DataFrame, method: str, rounds: int | None = None) -> Data
 
 
 def _spread_additive(cells: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    state = cells.withColumn("r", F.lit(0.0)).withColumn("c", F.lit(0.0))
+    """Column levels and residual cells of the weighted additive fit.
+
+    Starts from the effects ``r`` and ``c`` the cells already carry, if any.
+    The state is written after every sweep, so no sweep is ever run again.
+    """
+    state = cells
+    if "r" not in state.columns:
+        state = cut_lineage(state.withColumn("r", F.lit(0.0)).withColumn("c", F.lit(0.0)))
     for _ in range(rounds):
+        state = state.withColumnsRenamed({"r": "r0", "c": "c0"})
         rows = state.groupBy("protein", "feature").agg(
-            F.try_divide(F.sum(F.col("w") * (F.col(VALUE) - F.col("c"))), F.sum("w")).alias("r2")
+            F.try_divide(F.sum(F.col("w") * (F.col(VALUE) - F.col("c0"))), F.sum("w")).alias("r")
         )
         state = same_keys(state, rows, ["protein", "feature"])
         cols = state.groupBy("protein", "sample").agg(
-            F.try_divide(F.sum(F.col("w") * (F.col(VALUE) - F.col("r2"))), F.sum("w")).alias("c2")
+            F.try_divide(F.sum(F.col("w") * (F.col(VALUE) - F.col("r"))), F.sum("w")).alias("c")
         )
         state = same_keys(state, cols, ["protein", "sample"])
         state = cut_lineage(state)
-        moved = state.agg(F.max(F.greatest(F.abs(F.col("r2") - F.col("r")), F.abs(F.col("c2") - F.col("c"))))).first()[0]
-        state = state.withColumn("r", F.col("r2")).withColumn("c", F.col("c2")).drop("r2", "c2")
+        change = F.greatest(F.abs(F.col("r") - F.col("r0")), F.abs(F.col("c") - F.col("c0")))
+        moved = state.agg(F.max(change)).first()[0]
+        state = state.drop("r0", "c0")
         if moved is None or moved < 1e-9:
             break
     features = state.groupBy("protein", "feature").agg(F.max("r").alias("r"))
@@ -229,8 +245,7 @@ def _spread_additive(cells: DataFrame, rounds: int) -> tuple[DataFrame, DataFram
     levels = same_keys(levels, centers, ["protein"]).select(
         "protein", "sample", (F.col("c") + F.col("center")).alias(VALUE)
     )
-    rest = state.withColumn("rest", F.col(VALUE) - F.col("r") - F.col("c")).drop("r", "c")
-    return levels, rest
+    return levels, state.withColumn("rest", F.col(VALUE) - F.col("r") - F.col("c"))
 
 
 def _spread_polish(cells: DataFrame, rounds: int) -> DataFrame:
@@ -238,30 +253,31 @@ def _spread_polish(cells: DataFrame, rounds: int) -> DataFrame:
     state = cells.withColumn("z", F.col(VALUE))
     for name in ("r", "c", "t"):
         state = state.withColumn(name, F.lit(0.0))
-    state = state.withColumn("last", F.lit(0.0)).withColumn("done", F.lit(False))
+    # Written first: copies and constants as plain columns keep the later plans small.
+    state = cut_lineage(state.withColumn("last", F.lit(0.0)).withColumn("done", F.lit(False)))
 
     def sweep(frame: DataFrame, across: str, effect: str, other: str) -> DataFrame:
         """Take the median out along ``across``, then centre the other effects."""
         step = exact_quantiles(frame, ["protein", across], "z", {"step": 0.5})
         frame = same_keys(frame, step, ["protein", across])
         frame = frame.withColumn("z", F.col("z") - F.col("step"))
-        frame = frame.withColumn(effect, F.col(effect) + F.col("step")).drop("step")
+        frame = cut_lineage(frame.withColumn(effect, F.col(effect) + F.col("step")).drop("step"))
         other_key = "sample" if across == "feature" else "feature"
         levels = frame.groupBy("protein", other_key).agg(F.max(other).alias("e"))
         center = exact_quantiles(levels, ["protein"], "e", {"m": 0.5})
         frame = same_keys(frame, center, ["protein"])
-        return frame.withColumn(other, F.col(other) - F.col("m")).withColumn("t", F.col("t") + F.col("m")).drop("m")
+        frame = frame.withColumn(other, F.col(other) - F.col("m")).withColumn("t", F.col("t") + F.col("m"))
+        return cut_lineage(frame.drop("m"))
 
     finished = None
     for _ in range(rounds):
         state = sweep(state, "feature", "r", "c")
         state = sweep(state, "sample", "c", "r")
-        state = cut_lineage(state)
         sums = state.groupBy("protein").agg(F.sum(F.abs("z")).alias("size"), F.max("last").alias("before"))
         settled = (F.col("size") == 0) | (F.abs(F.col("size") - F.col("before")) < 0.01 * F.col("size"))
         sums = sums.select("protein", "size", settled.alias("now"))
         state = same_keys(state.drop("last", "done"), sums, ["protein"])
-        state = state.withColumnRenamed("size", "last").withColumnRenamed("now", "done")
+        state = cut_lineage(state.withColumnsRenamed({"size": "last", "now": "done"}))
         closed = state.where("done")
         finished = closed if finished is None else finished.unionByName(closed)
         state = state.where(~F.col("done"))
@@ -294,10 +310,10 @@ def impute_censored(
     cells = rows.unionByName(gaps, allowMissingColumns=True).join(cuts, "sample")
     out = "protein string, feature string, sample string, log2_abundance double, provenance string"
     large = large_proteins(cells, max_cells)
-    fit = _censored(rounds)
+    columns, fit = ["feature", "sample", VALUE, "cut"], _censored(rounds)
     if large.isEmpty():
-        return cells.groupBy("protein").applyInPandas(fit, out)
-    small = same_keys(cells, large, ["protein"], "left_anti").groupBy("protein").applyInPandas(fit, out)
+        return map_keys(cells, "protein", columns, fit, out)
+    small = map_keys(same_keys(cells, large, ["protein"], "left_anti"), "protein", columns, fit, out)
     return small.unionByName(_spread_censored(same_keys(cells, large, ["protein"], "left_semi"), rounds))
 
 
@@ -314,13 +330,13 @@ def _normal_ratio(a: np.ndarray) -> np.ndarray:
 
 
 def _censored(rounds: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        features, f = np.unique(pdf["feature"].to_numpy(dtype=str), return_inverse=True)
-        samples, s = np.unique(pdf["sample"].to_numpy(dtype=str), return_inverse=True)
+    def run(protein: str, columns: Columns) -> Columns:
+        features, f = _codes(columns["feature"])
+        samples, s = _codes(columns["sample"])
         y = np.full((len(features), len(samples)), np.nan)
         cut = np.full_like(y, np.nan)
-        y[f, s] = pdf[VALUE].to_numpy(dtype=float)
-        cut[f, s] = pdf["cut"].to_numpy(dtype=float)
+        y[f, s] = columns[VALUE]
+        cut[f, s] = columns["cut"]
         hidden = np.isnan(y) & ~np.isnan(cut)
         x = np.where(hidden, cut, y)
         if hidden.any():
@@ -341,22 +357,19 @@ def _censored(rounds: int):
                 sigma = new_sigma
                 if settled:
                     break
-        return pd.DataFrame(
-            {
-                "protein": pdf["protein"].iloc[0],
-                "feature": pdf["feature"].to_numpy(),
-                "sample": pdf["sample"].to_numpy(),
-                VALUE: x[f, s],
-                "provenance": np.where(hidden[f, s], "imputed", "observed"),
-            }
-        )
+        return {
+            "protein": np.repeat(protein, len(f)).astype(object),
+            "feature": columns["feature"],
+            "sample": columns["sample"],
+            VALUE: x[f, s],
+            "provenance": np.where(hidden[f, s], "imputed", "observed").astype(object),
+        }
 
     return run
 
 
 def _spread_censored(cells: DataFrame, rounds: int) -> DataFrame:
     """The same steps for large proteins; the normal tail is the only Python call."""
-    import pandas as pd
     from pyspark.sql import types as T
 
     @F.pandas_udf(T.DoubleType())
@@ -370,7 +383,7 @@ def _spread_censored(cells: DataFrame, rounds: int) -> DataFrame:
         F.lit(0.0).alias("extra"),
     )
     for _ in range(rounds):
-        _, rest = _spread_additive(state.withColumn("w", F.lit(1.0)), 50)
+        _, rest = _spread_additive(state.withColumn("w", F.lit(1.0)), 1)
         sums = rest.groupBy("protein").agg(
             F.greatest(F.sqrt((F.sum(F.pow("rest", F.lit(2.0))) + F.sum("extra")) / F.count(F.lit(1))), F.lit(1e-6)).alias("sigma")
         )
@@ -380,7 +393,7 @@ def _spread_censored(cells: DataFrame, rounds: int) -> DataFrame:
         filled = mean - F.col("sigma") * F.col("q")
         extra = F.greatest(F.pow("sigma", F.lit(2.0)) * (1 - F.col("a") * F.col("q") - F.col("q") * F.col("q")), F.lit(0.0))
         step = step.select(
-            "protein", "feature", "sample", "cut", "hidden",
+            "protein", "feature", "sample", "cut", "hidden", "r", "c",
             F.when(F.col("hidden"), filled).otherwise(F.col(VALUE)).alias("new"),
             F.when(F.col("hidden"), extra).otherwise(F.lit(0.0)).alias("extra"),
             F.col(VALUE).alias("old"),

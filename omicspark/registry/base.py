@@ -45,7 +45,7 @@ def _order(name: str, seen: list[str]) -> None:
 
 
 def with_views(*names: str) -> str:
-    """'WITH a AS (...), b AS (...)' of the views and what they need."""
+    """'WITH RECURSIVE a AS (...), b AS (...)' of the views and what they need."""
     seen: list[str] = []
     for name in names:
         _order(name, seen)
@@ -53,7 +53,7 @@ def with_views(*names: str) -> str:
     for name in seen:
         needs, text = VIEWS[name]
         parts.append(f"{name} AS ({text.format(**{n: n for n in needs})})")
-    return "WITH " + ",\n".join(parts)
+    return "WITH RECURSIVE " + ",\n".join(parts)
 
 
 @dataclass(frozen=True)

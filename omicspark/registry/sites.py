@@ -47,8 +47,8 @@ local AS (SELECT r.id, rk AS o, residue, position FROM ranked r JOIN status s ON
   UNION ALL SELECT t.id, o, residue, position FROM site t JOIN status s ON s.id = t.id AND s.status = 'Unscored'),
 labels AS (SELECT l.id, coalesce(string_agg(CASE WHEN residue = 'N-term' AND position = 1 THEN 'N-term' ELSE residue || CAST(position AS VARCHAR) END, '|' ORDER BY o), '?0') AS labels
   FROM looked l LEFT JOIN local USING (id) GROUP BY l.id),
-starts AS (SELECT id, r.range AS start FROM looked, range(greatest(length(sequence) - length(peptide) + 1, 0)) r
-  WHERE peptide <> '' AND substr(sequence, r.range + 1, length(peptide)) = peptide),
+starts AS (SELECT id, instr(sequence, peptide) - 1 AS start, sequence, peptide FROM looked WHERE peptide <> '' AND contains(sequence, peptide)
+  UNION ALL SELECT id, start + instr(substr(sequence, start + 2), peptide), sequence, peptide FROM starts WHERE instr(substr(sequence, start + 2), peptide) > 0),
 n_starts AS (SELECT id, count(*) AS n FROM starts GROUP BY id),
 mapped AS (SELECT DISTINCT id, start + position AS num, residue || CAST(start + position AS VARCHAR) AS label FROM starts JOIN local USING (id) WHERE position > 0),
 joined AS (SELECT id, count(*) AS n, string_agg(label, '|' ORDER BY num, label) AS bar, string_agg(label, '+' ORDER BY num, label) AS plus FROM mapped GROUP BY id),
@@ -466,7 +466,7 @@ def _(t: Tables) -> DataFrame:
 @query(
     "protein_adjusted_effects",
     "J23",
-    """SELECT s.comparison_id, s.protein_accession, round(s.log2_fold_change - p.log2_fold_change, 6) AS log2_fold_change,
+    """SELECT s.comparison_id, s.protein_accession, s.log2_fold_change - p.log2_fold_change AS log2_fold_change,
   round(sqrt(pow(s.standard_error, 2) + pow(p.standard_error, 2)), 6) AS standard_error FROM diff s JOIN diff p
   ON p.comparison_id = s.comparison_id AND p.protein_accession = s.protein_accession WHERE s.result_layer = 'ptm' AND p.result_layer = 'protein'""",
     ("diff",),
@@ -478,7 +478,7 @@ def _(t: Tables) -> DataFrame:
     sites = rows.where("result_layer = 'ptm'").withColumn("GlobalProtein", F.col("protein_accession"))
     out = ptm.adjust_ptm(sites, rows.where("result_layer = 'protein'"))
     out = out.select("comparison_id", "protein_accession", "log2_fold_change", "standard_error")
-    return rounded(out, ["log2_fold_change", "standard_error"])
+    return rounded(out, ["standard_error"])
 
 
 @query(

@@ -61,9 +61,25 @@ def union_result_shards(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Result shards stacked by column name; a column a shard lacks is null there."""
     if not paths:
         raise InvalidInput("no result shards")
+    parts = [read_result_tsv(spark, path) for path in paths]
+    kinds: dict[str, set[str]] = {}
+    for part in parts:
+        for name, kind in part.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    numeric = {"int", "bigint", "double", "decimal"}
+
+    def common(name: str) -> str | None:
+        found = kinds[name]
+        if len(found) == 1:
+            return None
+        return "double" if all(k.split("(")[0] in numeric for k in found) else "string"
+
     whole = None
-    for path in paths:
-        part = read_result_tsv(spark, path)
+    for part in parts:
+        cast = [
+            column(n).cast(common(n)).alias(n) if common(n) else column(n) for n in part.columns
+        ]
+        part = part.select(*cast)
         whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
     return whole
 
