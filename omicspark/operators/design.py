@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from omicspark.functions import expressions as E
@@ -239,10 +239,10 @@ def reference_comparisons(design: DataFrame, columns: Sequence[str], reference:
     for c in ordered:
         is_reference = is_reference & (F.col(c) == str(reference[c]))
     text = "+".join(str(reference[c]) for c in ordered if str(reference[c]).strip())
-    known = options.where(is_reference).select(F.lit(text).alias("group2_label")).distinct()
+    known = options.where(is_reference).agg(F.count(F.lit(1))).scalar()
     others = options.where(~is_reference).withColumn("group2_label", F.lit(text))
     # An unknown reference gives no comparisons.
-    return others.join(known, "group2_label").select(
+    return others.where(known > 0).select(
         F.concat("group1_label", F.lit("_vs_"), "group2_label").alias("comparison_id"),
         "group1_label",
         "group2_label",
@@ -386,10 +386,3 @@ def contrasts_from_catalog(catalog: DataFrame, levels: DataFrame) -> DataFrame:
     known = sides.join(levels.select("condition").distinct(), "condition", "left_semi")
     both = known.groupBy("comparison_id").agg(F.countDistinct("weight").alias("n")).where("n = 2")
     return known.join(both.select("comparison_id"), "comparison_id", "left_semi")
-
-
-def token_condition(name: Column, values: Sequence[str]) -> Column:
-    hit = F.lit(True)
-    for value in values:
-        hit = hit & E.token_match(value, name)
-    return hit

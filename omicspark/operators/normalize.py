@@ -109,9 +109,9 @@ def missing_cells(df: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     A feature lists its own samples (as many as the design has), so only the
     gaps become rows; the full grid is never built.
     """
-    names = (samples if samples is not None else df).agg(F.sort_array(F.collect_set("sample")).alias("__all"))
-    have = df.groupBy(*FEATURE).agg(F.collect_set("sample").alias("__have")).withColumn("__k", F.lit(1))
-    gaps = have.join(names.withColumn("__k", F.lit(1)), "__k")
+    names = (samples if samples is not None else df).agg(F.sort_array(F.collect_set("sample"))).scalar()
+    have = df.groupBy(*FEATURE).agg(F.collect_set("sample").alias("__have"))
+    gaps = have.withColumn("__all", names)
     return gaps.select(*FEATURE, F.explode(F.array_except("__all", "__have")).alias("sample"))
 
 

@@ -174,12 +174,12 @@ def pca_comparisons(fc: DataFrame, k: int = 2) -> DataFrame:
     ``fc`` is (feature, comparison, value). Each feature lists the comparisons
     it lacks, so only gaps become rows.
     """
-    names = fc.agg(F.collect_set("comparison").alias("__all")).withColumn("__k", F.lit(1))
+    names = fc.agg(F.collect_set("comparison")).scalar()
     known = fc.where(finite("value").isNotNull())
     have = known.groupBy("feature").agg(
         F.collect_set("comparison").alias("__have"), F.avg("value").alias("value")
-    ).withColumn("__k", F.lit(1))
-    gaps = have.join(names, "__k").select(
+    )
+    gaps = have.withColumn("__all", names).select(
         "feature", F.explode(F.array_except("__all", "__have")).alias("comparison"), "value"
     )
     filled = known.select("feature", "comparison", "value").unionByName(gaps)

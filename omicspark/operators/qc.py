@@ -183,11 +183,9 @@ def psm_completeness(peptides: DataFrame) -> DataFrame:
 
 def completeness_by_sample(df: DataFrame, feature: str, sample: str, present: Column) -> DataFrame:
     """Present and missing distinct features of each sample."""
-    # One row per sample; the number of features is one value for all of them.
     seen = df.groupBy(sample).agg(F.countDistinct(F.when(present, F.col(feature))).alias("present"))
-    total = df.agg(F.countDistinct(feature).alias("total")).withColumn("__k", F.lit(1))
-    joined = seen.withColumn("__k", F.lit(1)).join(total, "__k").drop("__k")
-    return joined.withColumn("missing", F.col("total") - F.col("present"))
+    total = df.agg(F.countDistinct(feature)).scalar()
+    return seen.withColumn("total", total).withColumn("missing", F.col("total") - F.col("present"))
 
 
 def psm_intensity(peptides: DataFrame) -> DataFrame:
@@ -273,11 +271,12 @@ def psm_summary(psms: DataFrame) -> DataFrame:
 
 
 def _beside(*one_row_frames: DataFrame) -> DataFrame:
-    """One-row aggregates next to each other."""
-    out = one_row_frames[0].withColumn("__k", F.lit(1))
+    """One-row aggregates next to each other, the later ones as scalar subqueries."""
+    out = one_row_frames[0]
     for frame in one_row_frames[1:]:
-        out = out.join(frame.withColumn("__k", F.lit(1)), "__k")
-    return out.drop("__k")
+        for name in frame.columns:
+            out = out.withColumn(name, frame.select(name).scalar())
+    return out
 
 
 def qc_summary(

@@ -431,7 +431,8 @@ def summarize_layers(ptm: DataFrame, protein: DataFrame | None = None, reference
         kinds = kinds.groupBy("sample").agg(F.min("condition").alias("condition"))
         if equalize:
             long = equalize_medians(long)
-        levels = summarize_tmp(long)
+        # The size check, the fits and the short proteins all read it.
+        levels = summarize_tmp(cut_lineage(long))
         return (
             levels.join(kinds, "sample")
             .where(F.col("condition") != reference)

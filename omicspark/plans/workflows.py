@@ -117,7 +117,8 @@ def feature_levels(rows: DataFrame, duplicates: str) -> DataFrame:
 
 
 def covered_rows(rows: DataFrame, design_frame: DataFrame, options: Options) -> DataFrame:
-    resolved = protein.resolve_shared(rows, options.resolve_shared)
+    # The coverage rule reads its input several times, so it is written once.
+    resolved = cut_lineage(protein.resolve_shared(rows, options.resolve_shared))
     expected = design.expected_replicates(design_frame)
     return protein.coverage_filter(resolved, expected, options.max_missing, options.min_psms)
 
@@ -135,7 +136,7 @@ def protein_tables(
         post = normalize.equalize_medians(pre)
     else:
         post = pre
-    filled = normalize.impute(post, options.imputation)
+    filled = cut_lineage(normalize.impute(post, options.imputation))
     if dia:
         levels = summarise_ops.summarize(filled, options.summary or "robustSummary")
     else:

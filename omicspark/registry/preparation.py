@@ -157,6 +157,29 @@ def _(t: Tables) -> DataFrame:
     return workflows.prepare_tmt_frame(reporter(t), channel_design(t)).select(*PREPARED_COLUMNS)
 
 
+@query(
+    "preprocessed_rows",
+    "B16",
+    f"WITH {PREPARED_TMT} SELECT Condition, Replicate, count(*) AS n FROM prepared GROUP BY ALL",
+    ("raw",),
+)
+def _(t: Tables) -> DataFrame:
+    rows = workflows.prepare_tmt_frame(reporter(t), channel_design(t))
+    return psm.assert_preprocessed(rows).groupBy("Condition", "Replicate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "source_row_numbers",
+    "F2",
+    "SELECT l_returnflag, count(*) AS row_count, count(*) AS distinct_numbers FROM lineitem GROUP BY l_returnflag",
+)
+def _(t: Tables) -> DataFrame:
+    rows = psm.with_source_row(t.table("lineitem").select("l_returnflag"))
+    return rows.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("row_count"), F.countDistinct("_SourceRow").alias("distinct_numbers")
+    )
+
+
 FLAG_FILES = {
     "file_A.txt": {"drug": "A", "dose": "1", "replicate": 1, "batch": "b1"},
     "file_N.txt": {"drug": "N", "dose": "1", "replicate": 2, "batch": ""},

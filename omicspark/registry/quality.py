@@ -299,8 +299,11 @@ SELECT protein_accession, CAST(row_number() OVER (ORDER BY protein_accession) -
 def _(t: Tables) -> DataFrame:
     rows = t.view("plong")
     n = rows.select("sample_id").distinct().count()
-    full = pca.complete_features(rows, n, "protein_accession", Q).withColumn("one", F.lit(1.0))
-    placed = ranking.positions(full, [], "one", "protein_accession", out="feature_order")
+    full = pca.complete_features(rows, n, "protein_accession", Q)
+    full = full.withColumn("initial", F.ascii("protein_accession").cast("double"))
+    placed = ranking.positions(
+        full, [], "initial", "protein_accession", out="feature_order", descending=False
+    )
     return placed.select("protein_accession", "feature_order")
 
 

@@ -163,3 +163,13 @@ def test_tmt_file_to_long_rows(spark, tmp_path):
     frame = design.tmt_design(spark, {"126": {"drug": "D", "replicate": 1}, "127N": {"drug": "I", "replicate": 1}})
     rows = workflows.prepare_tmt(spark, [path], frame).collect()
     assert {(r["Unique_PSM"], r["Condition"], r["Abundance"]) for r in rows} == {("EDGE||2", "D", 200.0), ("EDGE||2", "I", 100.0)}
+
+
+def test_rows_must_be_preprocessed(spark):
+    rows = spark.createDataFrame([("p", "P1", "+"), ("q", " ", None)], "Unique_PSM string, Master_Protein_Accessions string, Contaminant string")
+    with pytest.raises(psm.InvalidInput):
+        psm.assert_preprocessed(rows)
+    with pytest.raises(psm.InvalidInput):
+        psm.assert_preprocessed(rows.drop("Unique_PSM"))
+    good = rows.where("Unique_PSM = 'p'").withColumn("Contaminant", F.lit("False"))
+    assert psm.assert_preprocessed(good).count() == 1
