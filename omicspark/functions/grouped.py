@@ -44,7 +44,9 @@ def map_keys(
         names = list(parts[0])
         return pd.DataFrame({n: _stack([p[n] for p in parts]) for n in names})
 
-    together = df.select(key, *columns).repartition(key).sortWithinPartitions(key)
+    # The work per byte is high, so partitions must not be merged for being small.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = df.select(key, *columns).repartition(partitions, key).sortWithinPartitions(key)
     return together.mapInPandas(run, schema)
 
 
