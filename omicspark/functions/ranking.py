@@ -29,8 +29,9 @@ def finite(column: Column | str) -> Column:
 def order_bin(column: Column) -> Column:
     """Whole number that never decreases as the finite double increases."""
     c = column.cast("double")
-    size = F.floor(F.log2(F.abs(c) * F.lit(float(2**20)) + F.lit(1.0)) * F.lit(BINS_PER_OCTAVE))
-    return (F.signum(c) * size).cast("bigint")
+    # Every octave has its bins, down to the smallest double, so tiny values do not meet in one.
+    size = F.floor((F.log2(F.abs(c)) + F.lit(1076.0)) * F.lit(BINS_PER_OCTAVE))
+    return F.when(c == 0, F.lit(0)).otherwise((F.signum(c) * size).cast("bigint")).cast("bigint")
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -131,14 +131,20 @@ def conflicting_channels(entries: DataFrame, channel: str, values: Sequence[str]
     )
 
 
+def channel_mismatches(channels: DataFrame, design: DataFrame) -> DataFrame:
+    """(Channel, only_in): channels that the file or the design has alone."""
+    file_side, wanted = channels.select("Channel").distinct(), design.select("Channel").distinct()
+    alone = lambda a, b, name: a.join(b, "Channel", "left_anti").withColumn("only_in", F.lit(name))
+    return alone(file_side, wanted, "file").unionByName(alone(wanted, file_side, "design"))
+
+
 def check_design_matches(channels: Sequence[str], design: DataFrame) -> None:
     """File channels must equal design channels."""
     file_side = design.sparkSession.createDataFrame([(c,) for c in channels], "Channel string")
-    wanted = design.select("Channel").distinct()
-    extra = [r[0] for r in file_side.subtract(wanted).collect()]
-    absent = [r[0] for r in wanted.subtract(file_side).collect()]
-    if extra or absent:
-        raise InvalidDesign(f"channels do not match: only in file {extra}, only in design {absent}")
+    found = channel_mismatches(file_side, design).collect()
+    if found:
+        sides = {s: sorted(r["Channel"] for r in found if r["only_in"] == s) for s in ("file", "design")}
+        raise InvalidDesign(f"channels do not match: only in file {sides['file']}, only in design {sides['design']}")
 
 
 def expected_replicates(design: DataFrame) -> DataFrame:
@@ -327,6 +333,73 @@ def batch_confounded(samples: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ contrasts
 
+#: Design entries that are no part of a condition, by kind of study.
+NO_GROUP = {
+    "dia": set(RESERVED),
+    "tmt": {"replicate"},
+    "ptm": {"replicate", "role", "channel_role"},
+}
+
+
+def condition_groups(mapping: Mapping[str, Mapping[str, object]], kind: str) -> dict[str, dict[str, str]]:
+    """Condition name -> its group values, named as the design of that kind of study names them."""
+    found: dict[str, dict[str, str]] = {}
+    first = next(iter(mapping.values()), {})
+    for entry in mapping.values():
+        role = str(entry.get("role", entry.get("channel_role", "Sample")))
+        if kind == "ptm" and role.lower() in E.REFERENCE_ROLES:
+            continue
+        names = [n for n in (sorted(entry) if kind == "ptm" else first) if n not in NO_GROUP[kind]]
+        values = {n: str(entry[n]) for n in names}
+        found["_".join(values.values())] = values
+    return found
+
+
+def conditions_of(criteria: Mapping[str, object], groups: Mapping[str, Mapping[str, str]], rule: str) -> list[str]:
+    """The conditions that one side of a comparison stands for.
+
+    'criteria' takes every condition whose values equal all that the side
+    names; a side may name some columns only. The other rules go by the values
+    as parts of the condition name.
+    """
+    if rule != "criteria":
+        return match_condition([str(v) for v in criteria.values()], list(groups), rule)
+    wanted = {str(k): str(v) for k, v in criteria.items()}
+    return [c for c, values in groups.items() if wanted and all(values.get(k) == v for k, v in wanted.items())]
+
+
+def configured_contrasts(
+    spark: SparkSession,
+    comparisons: Sequence[Mapping[str, Mapping[str, object]]],
+    groups: Mapping[str, Mapping[str, str]],
+    rule: str = "criteria",
+    weights: str = "mean",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(comparison rows, contrasts, unmatched) of configured comparisons over known conditions.
+
+    A side that stands for one condition carries its name as label. A pooled
+    side weighs its conditions equally ('mean') or each by one ('sum'). A
+    comparison with a side without any condition gives no contrast; it is
+    listed, by side, in ``unmatched`` (comparison_id, side, label).
+    """
+    rows, missing, labels = [], [], []
+    for order, item in enumerate(comparisons):
+        name = "_vs_".join(group_label(dict(item.get(side, {}))) for side in ("group1", "group2"))
+        sides = {side: conditions_of(item.get(side, {}), groups, rule) for side in ("group1", "group2")}
+        named = [found[0] if len(found) == 1 else group_label(dict(item.get(side, {}))) for side, found in sides.items()]
+        labels.append((order, *named))
+        missing += [(name, side, label) for (side, found), label in zip(sides.items(), named) if not found]
+        if all(sides.values()):
+            for sign, found in zip((1.0, -1.0), sides.values()):
+                rows += [(name, c, sign / (len(found) if weights == "mean" else 1)) for c in found]
+    named = spark.createDataFrame(labels, "comparison_order int, __one string, __two string")
+    known = comparison_rows(spark, comparisons).join(named, "comparison_order")
+    known = known.withColumn("group1_label", F.col("__one")).withColumn("group2_label", F.col("__two")).drop("__one", "__two")
+    contrast = spark.createDataFrame(rows, "comparison_id string, condition string, weight double")
+    # A condition on both sides of a comparison counts with what is left of it.
+    contrast = contrast.groupBy("comparison_id", "condition").agg(F.sum("weight").alias("weight")).where("weight <> 0")
+    return known, contrast, spark.createDataFrame(missing, "comparison_id string, side string, label string")
+
 
 def match_condition(values: Sequence[str], levels: Sequence[str], rule: str) -> list[str]:
     """Condition levels a group of values stands for."""
@@ -378,7 +451,7 @@ def contrasts(
 
 
 def contrasts_from_catalog(catalog: DataFrame, levels: DataFrame) -> DataFrame:
-    """Contrasts of a catalog whose labels are condition names; unmatched ones are skipped."""
+    """Contrasts of a catalog whose labels are condition names; see ``unmatched_comparisons`` for the others."""
     sides = catalog.select("comparison_id", F.col("group1_label").alias("condition"), F.lit(1.0).alias("weight"))
     sides = sides.unionByName(
         catalog.select("comparison_id", F.col("group2_label").alias("condition"), F.lit(-1.0).alias("weight"))
@@ -386,3 +459,13 @@ def contrasts_from_catalog(catalog: DataFrame, levels: DataFrame) -> DataFrame:
     known = sides.join(levels.select("condition").distinct(), "condition", "left_semi")
     both = known.groupBy("comparison_id").agg(F.countDistinct("weight").alias("n")).where("n = 2")
     return known.join(both.select("comparison_id"), "comparison_id", "left_semi")
+
+
+def unmatched_comparisons(catalog: DataFrame, levels: DataFrame) -> DataFrame:
+    """(comparison_id, side, label) of catalog sides whose label is no condition."""
+    sides = [
+        catalog.select("comparison_id", F.lit(side).alias("side"), F.col(f"{side}_label").alias("label"))
+        for side in ("group1", "group2")
+    ]
+    known = levels.select(F.col("condition").alias("label")).distinct()
+    return sides[0].unionByName(sides[1]).join(known, "label", "left_anti").select("comparison_id", "side", "label")

@@ -2,21 +2,28 @@
 
 A running score only turns at the members of a set, so scores are computed
 from the members' positions: rows per set and member, never per set and gene.
+Every step takes ``by`` columns, such as the comparison, and handles all their
+rankings in one job.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from omicspark.functions import expressions as E
 from omicspark.functions.ranking import finite, order_bin, positions, running_total, same_keys
+from omicspark.session import cut_lineage
 
 MIN_SIZE, MAX_SIZE = 15, 500
 PERMUTATIONS, SEED = 1000, 123
-GENES_PER_SLICE = 100_000
+#: Permutations that one task scores, and the decimals at which scores are compared.
+PERMUTATIONS_PER_TASK, SCORE_DECIMALS = 100, 9
 NES_CUT, FDR_CUT = 1.0, 0.25
 
 
@@ -48,12 +55,13 @@ def with_positions(ranked: DataFrame, tie: str = "gene", by: Sequence[str] = ())
     return positions(ranked, list(by), "metric", tie, out="position", descending=True, total="gene_count")
 
 
-def set_members(ranked: DataFrame, sets: DataFrame, min_size: int = MIN_SIZE, max_size: int = MAX_SIZE) -> DataFrame:
+def set_members(ranked: DataFrame, sets: DataFrame, min_size: int = MIN_SIZE, max_size: int = MAX_SIZE,
+                by: Sequence[str] = ()) -> DataFrame:
     """Positions of the members of each set whose size in the ranking is allowed."""
     hits = sets.select("set", "gene").distinct().join(ranked, "gene")
-    sizes = hits.groupBy("set").agg(F.count(F.lit(1)).alias("set_size"))
+    sizes = hits.groupBy(*by, "set").agg(F.count(F.lit(1)).alias("set_size"))
     allowed = sizes.where(F.col("set_size").between(min_size, max_size))
-    return same_keys(hits, allowed, ["set"])
+    return same_keys(hits, allowed, [*by, "set"])
 
 
 def _scores(hits: DataFrame, keys: Sequence[str], weight: float) -> DataFrame:
@@ -88,135 +96,184 @@ def _extreme(keys: Sequence[str], scored: DataFrame) -> DataFrame:
 
 
 def member_scores(ranked: DataFrame, sets: DataFrame, min_size: int = MIN_SIZE, max_size: int = MAX_SIZE,
-                  weight: float = 1.0) -> DataFrame:
+                  weight: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
     """Running score around every member of every allowed set; ``ranked`` has positions."""
-    members = set_members(ranked, sets, min_size, max_size)
+    members = set_members(ranked, sets, min_size, max_size, by)
     members = members.where(F.col("set_size") < F.col("gene_count"))
-    return _scores(members, ["set"], weight)
+    return _scores(members, [*by, "set"], weight)
 
 
 def enrichment_score(ranked: DataFrame, sets: DataFrame, min_size: int = MIN_SIZE, max_size: int = MAX_SIZE,
-                     weight: float = 1.0) -> DataFrame:
-    """(set, set_size, es): the largest deviation of the running score."""
-    return _extreme(["set"], member_scores(ranked, sets, min_size, max_size, weight))
+                     weight: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+    """(by, set, set_size, es): the largest deviation of the running score."""
+    return _extreme([*by, "set"], member_scores(ranked, sets, min_size, max_size, weight, by))
 
 
 def leading_edge(ranked: DataFrame, sets: DataFrame, min_size: int = MIN_SIZE, max_size: int = MAX_SIZE,
-                 weight: float = 1.0) -> DataFrame:
-    """(set, gene, position) of the members up to the peak, or from the trough on."""
-    scored = member_scores(ranked, sets, min_size, max_size, weight)
-    peak = scored.groupBy("set").agg(
+                 weight: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+    """(by, set, gene, position) of the members up to the peak, or from the trough on."""
+    keys = [*by, "set"]
+    scored = member_scores(ranked, sets, min_size, max_size, weight, by)
+    peak = scored.groupBy(*keys).agg(
         F.max("after").alias("high"), F.min("before").alias("low"),
         F.min_by("position", F.struct(-F.col("after"), F.col("position"))).alias("at_high"),
         F.min_by("position", F.struct(F.col("before"), F.col("position"))).alias("at_low"),
     )
-    joined = same_keys(scored, peak, ["set"])
+    joined = same_keys(scored, peak, keys)
     up = F.greatest(F.col("high"), F.lit(0.0)) >= -F.least(F.col("low"), F.lit(0.0))
     keep = (up & (F.col("position") <= F.col("at_high"))) | (~up & (F.col("position") >= F.col("at_low")))
-    return joined.where(keep).select("set", "gene", "position")
+    return joined.where(keep).select(*keys, "gene", "position")
+
+
+def drawn_positions(seed: int, permutation: int, genes: Sequence[str]) -> np.ndarray:
+    """The place of each gene when genes are ordered by the md5 of 'seed:permutation:gene'."""
+    head = f"{seed}:{permutation}:".encode()
+    digests = b"".join(hashlib.md5(head + g.encode()).digest() for g in genes)
+    halves = np.frombuffer(digests, dtype=">u8").reshape(-1, 2)
+    places = np.empty(len(genes), dtype=np.int64)
+    places[np.lexsort((halves[:, 1], halves[:, 0]))] = np.arange(len(genes))
+    return places
+
+
+def _block_scores(metrics: np.ndarray, members: np.ndarray, owner: np.ndarray, sizes: np.ndarray,
+                  drawn: np.ndarray, weight: float) -> np.ndarray:
+    """Scores of all sets under one labelling; ``members`` are genes, ``owner`` their sets in order."""
+    places = drawn[members]
+    order = np.lexsort((places, owner))
+    places, sets = places[order], owner[order]
+    gain = np.abs(metrics[places]) ** weight if weight else np.ones(len(places))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    total = np.add.reduceat(gain, starts)
+    total[total <= 0] = 1.0
+    share = gain / total[sets]
+    running = np.cumsum(share)
+    # Sums begin anew at each set.
+    running -= (running[starts] - share[starts])[sets]
+    missed = (places - (np.arange(len(places)) - starts[sets])) / (len(metrics) - sizes[sets])
+    high = np.maximum(np.maximum.reduceat(running - missed, starts), 0)
+    low = np.minimum(np.minimum.reduceat(running - share - missed, starts), 0)
+    return np.where(high >= -low, high, low)
 
 
 def null_scores(ranked: DataFrame, sets: DataFrame, permutations: int = PERMUTATIONS, seed: int = SEED,
-                min_size: int = MIN_SIZE, max_size: int = MAX_SIZE, weight: float = 1.0) -> DataFrame:
-    """(set, permutation, es) under random gene labels.
+                min_size: int = MIN_SIZE, max_size: int = MAX_SIZE, weight: float = 1.0,
+                by: Sequence[str] = ()) -> DataFrame:
+    """(by, set, permutation, es) under random gene labels.
 
     Every permutation orders the genes by a hash of seed, permutation and gene,
-    so a lost task recomputes the same labels. A long list is cut into slices
-    of the hash range, each sorted by its own task.
+    so a lost task draws the same labels. A task gets a ranking, which is as
+    long as a genome has genes, and the members of the sets in it, and scores a
+    block of permutations at once.
     """
-    members = set_members(ranked, sets, min_size, max_size).where(F.col("set_size") < F.col("gene_count"))
-    members = members.select("set", "gene", "set_size")
-    profile = ranked.select("position", "metric", "gene_count")
-    labels = ranked.select(
-        "gene", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation")
+    keys = [*by] or ["__all"]
+    whole = lambda df: df if by else df.withColumn("__all", F.lit(0))
+    listed = whole(ranked).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("position", "gene", "metric"))).alias("r")
     )
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("permutation"), F.col("gene")), F.lit(2**40))
-    total = ranked.agg(F.max("gene_count")).first()[0] or 0
-    slices = total // GENES_PER_SLICE + 1
-    labels = labels.withColumn("__h", drawn)
-    labels = labels.withColumn("__s", F.floor(F.col("__h") * F.lit(slices) / F.lit(float(2**40))))
-    order = Window.partitionBy("permutation", "__s").orderBy("__h", "gene")
-    labels = labels.withColumn("position", (F.row_number().over(order) - 1).cast("bigint"))
-    if slices > 1:
-        before = Window.partitionBy("permutation").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-        starts = labels.groupBy("permutation", "__s").agg(F.count(F.lit(1)).alias("__c"))
-        starts = starts.select(
-            "permutation", "__s", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start")
-        )
-        labels = labels.join(starts, ["permutation", "__s"])
-        labels = labels.withColumn("position", F.col("position") + F.col("__start"))
-    labels = labels.select("gene", "permutation", "position")
-    hits = members.join(labels, "gene").join(profile, "position")
-    return _extreme(["set", "permutation"], _scores(hits, ["set", "permutation"], weight))
+    listed = listed.select(*keys, F.col("r.gene").alias("genes"), F.col("r.metric").alias("metrics"))
+    members = whole(set_members(ranked, sets, min_size, max_size, by)).where(F.col("set_size") < F.col("gene_count"))
+    grouped = members.groupBy(*keys, "set").agg(F.collect_list(F.col("position").cast("bigint")).alias("places"))
+    grouped = grouped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("set", "places"))).alias("s"))
+    grouped = grouped.select(*keys, F.col("s.set").alias("names"), F.col("s.places").alias("places"))
+    blocks = -(-permutations // PERMUTATIONS_PER_TASK)
+    units = same_keys(listed, grouped, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        genes, names = list(row["genes"]), list(row["names"])
+        metrics = np.asarray(row["metrics"], dtype=float)
+        sizes = np.array([len(x) for x in row["places"]])
+        found = np.concatenate([np.asarray(x, dtype=np.int64) for x in row["places"]])
+        owner = np.repeat(np.arange(len(names)), sizes)
+        first = int(row["block"]) * PERMUTATIONS_PER_TASK + 1
+        parts = []
+        for permutation in range(first, min(first + PERMUTATIONS_PER_TASK, permutations + 1)):
+            drawn = drawn_positions(seed, permutation, genes)
+            scores = _block_scores(metrics, found, owner, sizes, drawn, weight)
+            parts.append(pd.DataFrame({"set": names, "permutation": permutation, "es": scores}))
+        out = pd.concat(parts, ignore_index=True)
+        for k in by:
+            out[k] = row[k]
+        return out[[*by, "set", "permutation", "es"]]
+
+    kinds = "".join(f"`{k}` {ranked.schema[k].dataType.simpleString()}, " for k in by)
+    return units.groupBy(*keys, "block").applyInPandas(run, f"{kinds}set string, permutation int, es double")
 
 
 def prerank(ranked: DataFrame, sets: DataFrame, permutations: int = PERMUTATIONS, seed: int = SEED,
-            min_size: int = MIN_SIZE, max_size: int = MAX_SIZE, weight: float = 1.0) -> DataFrame:
-    """(set, set_size, es, nes, pval, fdr) against the permutation null.
+            min_size: int = MIN_SIZE, max_size: int = MAX_SIZE, weight: float = 1.0,
+            by: Sequence[str] = ()) -> DataFrame:
+    """(by, set, set_size, es, nes, pval, fdr) against the permutation null.
 
     Scores are divided by the mean null of their sign. The false discovery
     rate compares, per sign, the share of null scores beyond an observed one
-    with the share of observed scores beyond it.
+    with the share of observed scores beyond it. Scores are compared at nine
+    decimals.
     """
-    observed = enrichment_score(ranked, sets, min_size, max_size, weight)
-    null = null_scores(ranked, sets, permutations, seed, min_size, max_size, weight)
-    null = null.select("set", F.col("es").alias("null_es"))
-    means = null.groupBy("set").agg(
+    keys = [*by, "set"]
+    rounded = lambda name: F.round(name, SCORE_DECIMALS)
+    observed = enrichment_score(ranked, sets, min_size, max_size, weight, by).withColumn("es", rounded("es"))
+    null = null_scores(ranked, sets, permutations, seed, min_size, max_size, weight, by)
+    # The null is read four times below.
+    null = cut_lineage(null.select(*keys, rounded("es").alias("null_es")))
+    means = null.groupBy(*keys).agg(
         F.avg(F.when(F.col("null_es") >= 0, F.col("null_es"))).alias("up"),
         F.avg(F.when(F.col("null_es") < 0, -F.col("null_es"))).alias("down"),
     )
-    base = same_keys(observed, means, ["set"], "left")
+    base = same_keys(observed, means, keys, "left")
     side = F.when(F.col("es") >= 0, F.col("up")).otherwise(F.col("down"))
-    base = base.withColumn("nes", F.try_divide(F.col("es"), side))
-    tails = same_keys(null, base.select("set", "es"), ["set"])
+    base = cut_lineage(base.withColumn("nes", F.round(F.try_divide(F.col("es"), side), SCORE_DECIMALS)))
+    tails = same_keys(null, base.select(*keys, "es"), keys)
     same_sign = (F.col("null_es") >= 0) == (F.col("es") >= 0)
     beyond = same_sign & (F.abs("null_es") >= F.abs("es"))
-    pvals = tails.groupBy("set").agg(
+    pvals = tails.groupBy(*keys).agg(
         F.try_divide(F.count_if(beyond), F.count_if(same_sign)).alias("pval")
     )
-    scaled = same_keys(null, means, ["set"])
+    scaled = same_keys(null, means, keys)
     null_side = F.when(F.col("null_es") >= 0, F.col("up")).otherwise(F.col("down"))
     scaled = scaled.select(
+        *by,
         (F.col("null_es") >= 0).alias("positive"),
-        F.abs(F.try_divide(F.col("null_es"), null_side)).alias("size"),
+        F.round(F.abs(F.try_divide(F.col("null_es"), null_side)), SCORE_DECIMALS).alias("size"),
     )
-    seen = base.select("set", (F.col("es") >= 0).alias("positive"), F.abs("nes").alias("size"))
-    null_share = tail_share(seen, scaled, "null_share")
-    seen_share = tail_share(seen, seen.select("positive", "size"), "seen_share")
-    out = same_keys(same_keys(base, pvals, ["set"], "left"), null_share, ["set"], "left")
-    out = same_keys(out, seen_share, ["set"], "left")
+    seen = base.select(*keys, (F.col("es") >= 0).alias("positive"), F.abs("nes").alias("size"))
+    null_share = tail_share(seen, scaled, "null_share", by)
+    seen_share = tail_share(seen, seen.select(*by, "positive", "size"), "seen_share", by)
+    out = same_keys(same_keys(base, pvals, keys, "left"), null_share, keys, "left")
+    out = same_keys(out, seen_share, keys, "left")
     ratio = F.try_divide(F.col("null_share"), F.col("seen_share"))
     return out.select(
-        "set", "set_size", "es", "nes", F.coalesce("pval", F.lit(1.0)).alias("pval"),
+        *keys, "set_size", "es", "nes", F.coalesce("pval", F.lit(1.0)).alias("pval"),
         F.least(F.coalesce(ratio, F.lit(1.0)), F.lit(1.0)).alias("fdr"),
     )
 
 
-def tail_share(points: DataFrame, population: DataFrame, out: str) -> DataFrame:
-    """(set, share of the same-sign population whose size is at least the point's).
+def tail_share(points: DataFrame, population: DataFrame, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, set, share of the same-sign population whose size is at least the point's).
 
     Points and population are ordered together, so no point meets every member.
     """
-    both = points.select("set", "positive", "size", F.lit(0).alias("__c")).unionByName(
-        population.select(F.lit(None).cast("string").alias("set"), "positive", "size", F.lit(1).alias("__c"))
+    side = [*by, "positive"]
+    both = points.select(*side, "size", F.lit(0).alias("__c")).unionByName(
+        population.select(*side, "size", F.lit(1).alias("__c"))
     ).where(F.col("size").isNotNull())
-    counts = both.groupBy("positive", "size").agg(F.sum("__c").alias("__c"))
+    counts = both.groupBy(*side, "size").agg(F.sum("__c").alias("__c"))
     counts = counts.withColumn("__b", order_bin(F.col("size")))
-    inside = Window.partitionBy("positive", "__b").orderBy(F.col("size").desc()).rowsBetween(
+    inside = Window.partitionBy(*side, "__b").orderBy(F.col("size").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     counts = counts.withColumn("__in", F.sum("__c").over(inside))
-    group = Window.partitionBy("positive")
+    group = Window.partitionBy(*side)
     above = group.orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    bins = counts.groupBy("positive", "__b").agg(F.sum("__c").alias("__t")).select(
-        "positive", "__b",
+    bins = counts.groupBy(*side, "__b").agg(F.sum("__c").alias("__t")).select(
+        *side, "__b",
         F.coalesce(F.sum("__t").over(above), F.lit(0)).alias("__before"),
         F.sum("__t").over(group).alias("__n"),
     )
-    ranked = same_keys(counts, bins, ["positive", "__b"])
+    ranked = same_keys(counts, bins, [*side, "__b"])
     share = F.try_divide(F.col("__before") + F.col("__in"), F.col("__n"))
-    ranked = ranked.select("positive", "size", share.alias(out))
-    return same_keys(points, ranked, ["positive", "size"]).select("set", out)
+    ranked = ranked.select(*side, "size", share.alias(out))
+    return same_keys(points, ranked, [*side, "size"]).select(*by, "set", out)
 
 
 # ------------------------------------------------------------------------ reads

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_SEEDS = 400
-
 
 class SeedCount(ValueError):
     """No protein, or too many of them, pass the cut-offs."""
@@ -51,20 +49,18 @@ def subnetwork(
     edges: DataFrame,
     p_cut: float = 0.05,
     fold_cut: float = 0.5,
-    max_seeds: int | None = MAX_SEEDS,
+    max_seeds: int | None = None,
     **edge_options,
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): edges between seed proteins and the seeds that have one.
 
-    ``max_seeds=None`` lifts the reference limit of the request.
+    ``max_seeds`` refuses as many seeds or more; by default all are taken.
     """
     chosen = seeds(differential, p_cut, fold_cut)
-    if max_seeds is not None:
-        count = chosen.limit(max_seeds).count()
-        if count == 0:
-            raise SeedCount("no proteins pass the cut-offs")
-        if count >= max_seeds:
-            raise SeedCount(f"{max_seeds} or more proteins pass; tighten a cut-off")
+    if chosen.isEmpty():
+        raise SeedCount("no proteins pass the cut-offs")
+    if max_seeds is not None and chosen.limit(max_seeds).count() >= max_seeds:
+        raise SeedCount(f"{max_seeds} or more proteins pass; tighten a cut-off")
     kept = filter_edges(edges, **edge_options)
     kept = kept.join(chosen.select(F.col("id").alias("source")), "source", "left_semi")
     kept = kept.join(chosen.select(F.col("id").alias("target")), "target", "left_semi")

@@ -49,7 +49,11 @@ def standardized_rows(df: DataFrame, index: DataFrame, feature: str, sample: str
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
     for pdf in frames:
         if len(pdf):
-            yield np.vstack(pdf["z"].to_numpy())
+            rows = pdf["z"].to_numpy()
+            # So many rows that a block of them stays under 32 MB.
+            step = max(1, (1 << 22) // max(1, len(rows[0])))
+            for at in range(0, len(rows), step):
+                yield np.vstack(rows[at : at + step])
 
 
 def gram(rows: DataFrame, n: int) -> np.ndarray:
@@ -89,14 +93,18 @@ def gram_times(rows: DataFrame, n: int) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def lanczos(
-    times: Callable[[np.ndarray], np.ndarray], n: int, k: int = 2, steps: int = 80, tolerance: float = 1e-9
+    times: Callable[[np.ndarray], np.ndarray], n: int, k: int = 2, tolerance: float = 1e-12
 ) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest eigenpairs of a symmetric operator, with full re-orthogonalisation."""
+    """The k largest eigenpairs of a symmetric operator, with full re-orthogonalisation.
+
+    Goes on until the pairs have settled, at the latest after n steps, when
+    they are exact.
+    """
     rng = np.random.default_rng(7)
     q = rng.standard_normal(n)
     q /= np.linalg.norm(q)
     basis, alpha, beta = [q], [], []
-    for step in range(min(steps, n)):
+    for step in range(n):
         w = times(basis[-1])
         alpha.append(float(basis[-1] @ w))
         for _ in range(2):
@@ -109,7 +117,7 @@ def lanczos(
             gaps = size * np.abs(vectors[-1, -k:])
             if np.all(gaps < tolerance * max(abs(values[-1]), 1e-300)) or size < 1e-12:
                 break
-        if step + 1 == min(steps, n) or size < 1e-12:
+        if step + 1 == n or size < 1e-12:
             break
         beta.append(size)
         basis.append(w / size)
@@ -139,7 +147,8 @@ def pca(
     """(sample, pc1.., pc1_variance..): scores over features complete in all samples.
 
     With fewer than two samples or complete features every score is zero and
-    ``method`` is 'unavailable'.
+    ``method`` is 'unavailable'. Up to ``max_gram`` samples the product matrix
+    is decomposed as a whole, beyond that by steps; both give the same scores.
     """
     names = (samples if samples is not None else df).select(sample).distinct()
     # One row per sample of the design.
@@ -153,11 +162,9 @@ def pca(
         if n <= max_gram:
             values, vectors = np.linalg.eigh(gram(rows, n))
             values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
-            method = "exact"
         else:
             values, vectors = lanczos(gram_times(rows, n), n, k)
-            method = "lanczos"
-        found = len(values)
+        method, found = "exact", len(values)
         values = np.maximum(values, 0)
         total = rows.agg(F.sum(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
         scores[:, :found] = fix_signs(vectors) * np.sqrt(values)

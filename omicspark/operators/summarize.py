@@ -1,15 +1,18 @@
 """Features to proteins: sums, means, median polish, additive and robust fits.
 
 A protein with a bounded number of cells is fitted by one grouped-map task. A
-larger one is fitted by the same sweeps written as joins and aggregates, so
-its cells stay spread over the cluster.
+larger one is fitted by the same sweeps, under the same stopping rule, written
+as joins and aggregates, so its cells stay spread over the cluster. Which way a
+protein goes does not show in its result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from omicspark.functions.grouped import Columns, map_keys, median_along
@@ -17,11 +20,14 @@ from omicspark.functions.ranking import exact_quantiles, same_keys
 from omicspark.operators.protein import top_features
 from omicspark.session import cut_lineage
 
-MAX_CELLS = 500_000
+#: Cells of a protein that one task may hold: 32 MB for each of the few matrices of a fit.
+MAX_CELLS = 4_000_000
+#: A fit goes on until no level moves by more than this part of the largest value; the rounds are a guard.
+TOLERANCE, MOST_ROUNDS = 1e-9, 1000
 HUBER_K = 1.345
 MAD_SCALE = 0.6745
 VALUE = "log2_abundance"
-SCHEMA = "protein string, sample string, log2_abundance double"
+SCHEMA = "protein string, sample string, log2_abundance double, converged boolean"
 
 
 def summarize(
@@ -31,10 +37,13 @@ def summarize(
     min_features: int = 1,
     subset: str = "all",
     n_top: int = 3,
+    with_converged: bool = False,
 ) -> DataFrame:
     """(protein, sample, log2_abundance) by sum, mean, medianPolish, linear or robustSummary.
 
     Sum and mean work on the given values as they are, like the other methods.
+    ``with_converged`` adds ``converged``: whether the protein's fit met its
+    stopping rule before the largest number of rounds.
     """
     rows = df.select("protein", "feature", "sample", F.col(VALUE).cast("double").alias(VALUE))
     rows = rows.where(F.col(VALUE).isNotNull() & ~F.isnan(VALUE))
@@ -44,7 +53,8 @@ def summarize(
         raise ValueError(f"unknown feature subset: {subset}")
     if method in {"sum", "mean"}:
         pick = F.sum if method == "sum" else F.avg
-        return rows.groupBy("protein", "sample").agg(pick(VALUE).alias(VALUE))
+        plain = rows.groupBy("protein", "sample").agg(pick(VALUE).alias(VALUE))
+        return plain.withColumn("converged", F.lit(True)) if with_converged else plain
     if method not in SWEEPS:
         raise ValueError(f"unknown summary: {method}")
     cells = rows.groupBy("protein", "feature", "sample").agg(F.avg(VALUE).alias(VALUE))
@@ -55,11 +65,12 @@ def summarize(
     large = large_proteins(cells, max_cells)
     columns = ["feature", "sample", VALUE]
     if large.isEmpty():
-        return map_keys(cells, "protein", columns, _grouped(method), SCHEMA)
-    small = same_keys(cells, large, ["protein"], "left_anti")
-    big = same_keys(cells, large, ["protein"], "left_semi")
-    fitted = map_keys(small, "protein", columns, _grouped(method), SCHEMA)
-    return fitted.unionByName(spread_fit(big, method))
+        fitted = map_keys(cells, "protein", columns, _grouped(method), SCHEMA)
+    else:
+        small = same_keys(cells, large, ["protein"], "left_anti")
+        big = same_keys(cells, large, ["protein"], "left_semi")
+        fitted = map_keys(small, "protein", columns, _grouped(method), SCHEMA).unionByName(spread_fit(big, method))
+    return fitted if with_converged else fitted.drop("converged")
 
 
 def summarize_tmp(
@@ -101,12 +112,15 @@ def _matrix(columns: Columns) -> tuple[np.ndarray, np.ndarray]:
     return matrix, samples
 
 
-def median_polish(x: np.ndarray, rounds: int = 10, tolerance: float = 0.01) -> np.ndarray:
-    """Column levels (overall + column effect) of Tukey's median polish, rows first."""
+def median_polish(x: np.ndarray, rounds: int = 10, tolerance: float = 0.01) -> tuple[np.ndarray, bool]:
+    """Column levels (overall + column effect) of Tukey's median polish, rows first, and whether it settled.
+
+    Ten rounds and a hundredth are part of the published method's definition.
+    """
     rest = x.copy()
     overall = 0.0
     row, col = np.zeros(x.shape[0]), np.zeros(x.shape[1])
-    last = 0.0
+    last, settled = 0.0, False
     for _ in range(rounds):
         step = median_along(rest, 1)
         rest = rest - step[:, None]
@@ -119,36 +133,61 @@ def median_polish(x: np.ndarray, rounds: int = 10, tolerance: float = 0.01) -> n
         center = median_along(row)
         row, overall = row - center, overall + center
         size = np.nansum(np.abs(rest))
-        if size == 0 or abs(size - last) < tolerance * size:
+        settled = bool(size == 0 or abs(size - last) < tolerance * size)
+        if settled:
             break
         last = size
-    return overall + col
+    return overall + col, settled
 
 
-def additive_fit(
-    x: np.ndarray, weights: np.ndarray | None = None, rounds: int = 500, tolerance: float = 1e-10
-) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted least squares of row + column effects by alternating means.
+@dataclass
+class Additive:
+    """Row and column effects of a matrix with gaps, moved by weighted sweeps."""
 
-    Rows are centred so that their plain mean over rows is zero; returns the
-    column levels and the residuals.
-    """
-    w = np.where(np.isnan(x), 0.0, 1.0 if weights is None else weights)
-    y = np.nan_to_num(x)
-    row, col = np.zeros(x.shape[0]), np.zeros(x.shape[1])
-    row_weight, col_weight = w.sum(axis=1), w.sum(axis=0)
-    row_weight[row_weight == 0] = 1.0
-    col_weight[col_weight == 0] = 1.0
-    for _ in range(rounds):
-        new_row = (w * (y - col[None, :])).sum(axis=1) / row_weight
-        new_col = (w * (y - new_row[:, None])).sum(axis=0) / col_weight
-        moved = max(np.abs(new_row - row).max(), np.abs(new_col - col).max())
-        row, col = new_row, new_col
-        if moved < tolerance:
-            break
-    center = row.mean()
-    rest = np.where(np.isnan(x), np.nan, y - row[:, None] - col[None, :])
-    return col + center, rest
+    x: np.ndarray
+    row: np.ndarray
+    col: np.ndarray
+
+    @classmethod
+    def start(cls, x: np.ndarray) -> Additive:
+        return cls(x, np.zeros(x.shape[0]), np.zeros(x.shape[1]))
+
+    def sweep(self, weights: np.ndarray | None = None) -> float:
+        """Row means, then column means, of what the other effect leaves; returns the largest move."""
+        w = np.where(np.isnan(self.x), 0.0, 1.0 if weights is None else weights)
+        y = np.nan_to_num(self.x)
+        row_weight, col_weight = w.sum(axis=1), w.sum(axis=0)
+        row_weight[row_weight == 0] = 1.0
+        col_weight[col_weight == 0] = 1.0
+        row = (w * (y - self.col[None, :])).sum(axis=1) / row_weight
+        col = (w * (y - row[:, None])).sum(axis=0) / col_weight
+        moved = max(np.abs(row - self.row).max(), np.abs(col - self.col).max())
+        self.row, self.col = row, col
+        return float(moved)
+
+    def settle(self) -> bool:
+        """Sweeps until nothing moves; false if the guard ended it."""
+        return any(self.sweep() < self.least for _ in range(MOST_ROUNDS))
+
+    @property
+    def least(self) -> float:
+        return TOLERANCE * max(1.0, float(np.nanmax(np.abs(self.x), initial=0.0)))
+
+    @property
+    def levels(self) -> np.ndarray:
+        """Column levels, with the rows centred so that their plain mean is zero."""
+        return self.col + self.row.mean()
+
+    @property
+    def rest(self) -> np.ndarray:
+        return self.x - self.row[:, None] - self.col[None, :]
+
+
+def additive_fit(x: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Column levels of the least-squares additive fit, and whether it settled."""
+    fit = Additive.start(x)
+    settled = fit.settle()
+    return fit.levels, settled
 
 
 def huber_weights(rest: np.ndarray) -> np.ndarray:
@@ -159,21 +198,24 @@ def huber_weights(rest: np.ndarray) -> np.ndarray:
     return np.where(size <= HUBER_K, 1.0, HUBER_K / np.maximum(size, 1e-300))
 
 
-def robust_fit(x: np.ndarray, rounds: int = 20, tolerance: float = 1e-4) -> np.ndarray:
-    """Additive fit re-weighted by Huber's rule until the levels settle."""
-    levels, rest = additive_fit(x)
-    for _ in range(rounds):
-        new, rest = additive_fit(x, huber_weights(rest))
+def robust_fit(x: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Additive fit, then one sweep under Huber's weights a round, until the levels settle."""
+    fit = Additive.start(x)
+    fit.settle()
+    levels = fit.levels
+    for _ in range(MOST_ROUNDS):
+        fit.sweep(huber_weights(fit.rest))
+        new = fit.levels
         moved = np.abs(new - levels).max()
         levels = new
-        if moved < tolerance:
-            break
-    return levels
+        if moved < fit.least:
+            return levels, True
+    return levels, False
 
 
 SWEEPS = {
     "medianPolish": median_polish,
-    "linear": lambda x: additive_fit(x)[0],
+    "linear": additive_fit,
     "robustSummary": robust_fit,
 }
 
@@ -183,7 +225,13 @@ def _grouped(method: str):
 
     def run(protein: str, columns: Columns) -> Columns:
         matrix, samples = _matrix(columns)
-        return {"protein": np.repeat(protein, len(samples)).astype(object), "sample": samples, VALUE: fit(matrix)}
+        levels, settled = fit(matrix)
+        return {
+            "protein": np.repeat(protein, len(samples)).astype(object),
+            "sample": samples,
+            VALUE: levels,
+            "converged": np.repeat(settled, len(samples)),
+        }
 
     return run
 
@@ -191,64 +239,102 @@ def _grouped(method: str):
 # ------------------------------------------------- cells of one protein spread out
 
 
-def spread_fit(cells: DataFrame, method: str, rounds: int | None = None) -> DataFrame:
-    """The same fits for proteins of any size, as aggregates over their cells."""
+def spread_fit(cells: DataFrame, method: str) -> DataFrame:
+    """The same fits for proteins of any size, as aggregates over their cells.
+
+    The state is written after every sweep, so no sweep is ever run again.
+    Proteins that have settled leave it.
+    """
     if method == "medianPolish":
-        return _spread_polish(cells, rounds or 10)
+        return _spread_polish(cells)
+    state = _spread_start(cells)
+    done = []
+    for _ in range(MOST_ROUNDS):
+        state = _spread_sweep(state)
+        state, settled = _settled(state, F.greatest(F.abs(F.col("r") - F.col("r0")), F.abs(F.col("c") - F.col("c0"))))
+        if settled is not None:
+            done.append(settled)
+        if state is None:
+            break
+    if state is not None:
+        done.append(state)
+    fitted = _stacked(done)
     if method == "linear":
-        return _spread_additive(cells.withColumn("w", F.lit(1.0)), rounds or 60)[0]
-    levels, rest = _spread_additive(cells.withColumn("w", F.lit(1.0)), 60)
-    for _ in range(rounds or 30):
-        scale = exact_quantiles(rest.withColumn("a", F.abs("rest")), ["protein"], "a", {"mad": 0.5})
-        weighted = same_keys(rest, scale, ["protein"])
+        return _spread_levels(fitted, state)
+    state, done = cut_lineage(_with_level(fitted.drop("r0", "c0"))), []
+    for _ in range(MOST_ROUNDS):
+        state = state.withColumn("rest", F.col(VALUE) - F.col("r") - F.col("c"))
+        scale = exact_quantiles(state.withColumn("a", F.abs("rest")), ["protein"], "a", {"mad": 0.5})
+        state = same_keys(state, scale, ["protein"])
         size = F.abs("rest") / (F.col("mad") / MAD_SCALE)
         weight = F.when(F.col("mad") / MAD_SCALE < 1e-12, 1.0).when(size <= HUBER_K, 1.0).otherwise(HUBER_K / size)
-        weighted = weighted.withColumn("w", weight).select("protein", "feature", "sample", VALUE, "w", "r", "c")
-        new, rest = _spread_additive(weighted, 1)
-        moved = new.alias("a").join(levels.alias("b"), ["protein", "sample"]).agg(
-            F.max(F.abs(F.col(f"a.{VALUE}") - F.col(f"b.{VALUE}")))
-        ).first()[0]
-        levels = new
-        if moved is None or moved < 1e-4:
+        state = state.withColumn("w", weight).withColumnRenamed("level", "level0").drop("rest", "mad")
+        state = _with_level(_spread_sweep(state)).drop("r0", "c0")
+        state, settled = _settled(cut_lineage(state), F.abs(F.col("level") - F.col("level0")))
+        if settled is not None:
+            done.append(settled)
+        if state is None:
             break
-    return levels
+        state = state.drop("level0")
+    if state is not None:
+        done.append(state)
+    return _spread_levels(_stacked([d.drop("level0") for d in done]), state)
 
 
-def _spread_additive(cells: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Column levels and residual cells of the weighted additive fit.
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
 
-    Starts from the effects ``r`` and ``c`` the cells already carry, if any.
-    The state is written after every sweep, so no sweep is ever run again.
-    """
-    state = cells
-    if "r" not in state.columns:
-        state = cut_lineage(state.withColumn("r", F.lit(0.0)).withColumn("c", F.lit(0.0)))
-    for _ in range(rounds):
-        state = state.withColumnsRenamed({"r": "r0", "c": "c0"})
-        rows = state.groupBy("protein", "feature").agg(
-            F.try_divide(F.sum(F.col("w") * (F.col(VALUE) - F.col("c0"))), F.sum("w")).alias("r")
-        )
-        state = same_keys(state, rows, ["protein", "feature"])
-        cols = state.groupBy("protein", "sample").agg(
-            F.try_divide(F.sum(F.col("w") * (F.col(VALUE) - F.col("r"))), F.sum("w")).alias("c")
-        )
-        state = same_keys(state, cols, ["protein", "sample"])
-        state = cut_lineage(state)
-        change = F.greatest(F.abs(F.col("r") - F.col("r0")), F.abs(F.col("c") - F.col("c0")))
-        moved = state.agg(F.max(change)).first()[0]
-        state = state.drop("r0", "c0")
-        if moved is None or moved < 1e-9:
-            break
-    features = state.groupBy("protein", "feature").agg(F.max("r").alias("r"))
-    centers = features.groupBy("protein").agg(F.avg("r").alias("center"))
-    levels = state.groupBy("protein", "sample").agg(F.max("c").alias("c"))
-    levels = same_keys(levels, centers, ["protein"]).select(
-        "protein", "sample", (F.col("c") + F.col("center")).alias(VALUE)
+
+def _spread_start(cells: DataFrame) -> DataFrame:
+    top = cells.groupBy("protein").agg((F.greatest(F.lit(1.0), F.max(F.abs(VALUE))) * TOLERANCE).alias("least"))
+    state = same_keys(cells, top, ["protein"])
+    for name, value in (("w", 1.0), ("r", 0.0), ("c", 0.0)):
+        state = state.withColumn(name, F.lit(value))
+    return cut_lineage(state)
+
+
+def _spread_sweep(state: DataFrame) -> DataFrame:
+    """One sweep: ``r`` and ``c`` move on, ``r0`` and ``c0`` keep what they were."""
+    state = state.drop("r0", "c0").withColumnsRenamed({"r": "r0", "c": "c0"})
+    rows = state.groupBy("protein", "feature").agg(
+        F.try_divide(F.sum(F.col("w") * (F.col(VALUE) - F.col("c0"))), F.sum("w")).alias("r")
+    )
+    state = same_keys(state, rows, ["protein", "feature"])
+    cols = state.groupBy("protein", "sample").agg(
+        F.try_divide(F.sum(F.col("w") * (F.col(VALUE) - F.col("r"))), F.sum("w")).alias("c")
     )
-    return levels, state.withColumn("rest", F.col(VALUE) - F.col("r") - F.col("c"))
+    return cut_lineage(same_keys(state, cols, ["protein", "sample"]))
+
 
+def _settled(state: DataFrame, change: Column) -> tuple[DataFrame | None, DataFrame | None]:
+    """(cells of proteins that still move, cells of those that do not), None for no cells."""
+    moved = state.groupBy("protein").agg((F.max(change) < F.max("least")).alias("still"))
+    marked = cut_lineage(same_keys(state, moved, ["protein"]))
+    seen = {r["still"] for r in marked.select("still").distinct().collect()}
+    part = lambda flag: marked.where(F.col("still") == flag).drop("still") if flag in seen else None
+    return part(False), part(True)
 
-def _spread_polish(cells: DataFrame, rounds: int) -> DataFrame:
+
+def _with_level(state: DataFrame) -> DataFrame:
+    """Cells with the level of their column, rows centred on a plain mean of zero."""
+    features = state.groupBy("protein", "feature").agg(F.max("r").alias("r1"))
+    centers = features.groupBy("protein").agg(F.avg("r1").alias("center"))
+    return same_keys(state, centers, ["protein"]).withColumn("level", F.col("c") + F.col("center")).drop("center")
+
+
+def _spread_levels(state: DataFrame, unsettled: DataFrame | None) -> DataFrame:
+    levels = _with_level(state).groupBy("protein", "sample").agg(F.max("level").alias(VALUE))
+    if unsettled is None:
+        return levels.withColumn("converged", F.lit(True))
+    open_ones = unsettled.select("protein").distinct().withColumn("open", F.lit(True))
+    joined = same_keys(levels, open_ones, ["protein"], "left")
+    return joined.withColumn("converged", F.col("open").isNull()).drop("open")
+
+
+def _spread_polish(cells: DataFrame, rounds: int = 10) -> DataFrame:
     """Median polish; each cell carries its row and column effect and the overall level."""
     state = cells.withColumn("z", F.col(VALUE))
     for name in ("r", "c", "t"):
@@ -284,21 +370,22 @@ def _spread_polish(cells: DataFrame, rounds: int) -> DataFrame:
         if state.isEmpty():
             break
     finished = finished.unionByName(state)
-    return finished.groupBy("protein", "sample").agg((F.max("t") + F.max("c")).alias(VALUE))
+    return finished.groupBy("protein", "sample").agg((F.max("t") + F.max("c")).alias(VALUE), F.max("done").alias("converged"))
 
 
 # -------------------------------------------------------------- censored values
 
 
 def impute_censored(
-    df: DataFrame, quantile: float = 0.001, max_cells: int = MAX_CELLS, rounds: int = 100
+    df: DataFrame, quantile: float = 0.001, max_cells: int = MAX_CELLS
 ) -> DataFrame:
     """Fill missing cells below a low quantile by a censored-normal additive model.
 
     The cut-off of a run is the low quantile of its observed values. Within a
     protein, runs and features that have at least one value are completed:
     expectation-maximisation of the tobit likelihood with feature and run
-    effects; each missing cell gets its expected value below the cut-off.
+    effects, one sweep a round; each missing cell gets its expected value below
+    the cut-off, until no filled value moves.
     Returns all cells with ``provenance``.
     """
     from omicspark.operators.normalize import missing_cells
@@ -310,26 +397,35 @@ def impute_censored(
     cells = rows.unionByName(gaps, allowMissingColumns=True).join(cuts, "sample")
     out = "protein string, feature string, sample string, log2_abundance double, provenance string"
     large = large_proteins(cells, max_cells)
-    columns, fit = ["feature", "sample", VALUE, "cut"], _censored(rounds)
+    columns, fit = ["feature", "sample", VALUE, "cut"], _censored()
     if large.isEmpty():
         return map_keys(cells, "protein", columns, fit, out)
     small = map_keys(same_keys(cells, large, ["protein"], "left_anti"), "protein", columns, fit, out)
-    return small.unionByName(_spread_censored(same_keys(cells, large, ["protein"], "left_semi"), rounds))
+    return small.unionByName(_spread_censored(same_keys(cells, large, ["protein"], "left_semi")))
 
 
 def _normal_ratio(a: np.ndarray) -> np.ndarray:
-    """density / distribution of the standard normal, by a continued fraction far left."""
-    from math import erfc, exp, pi, sqrt
-
-    def one(v: float) -> float:
-        if v < -30:
-            return -v + 1 / -v
-        return exp(-v * v / 2) / sqrt(2 * pi) / (0.5 * erfc(-v / sqrt(2)))
+    """density / distribution of the standard normal, for whole arrays.
 
-    return np.array([one(v) for v in np.ravel(a)]).reshape(np.shape(a))
-
-
-def _censored(rounds: int):
+    With z = -a the ratio is the inverse of the Mills ratio: a continued
+    fraction for z >= 1, and for smaller z the series of the distribution.
+    """
+    a = np.asarray(a, dtype=float)
+    z = -a
+    far = np.maximum(z, 1.0)
+    tail = far.copy()
+    for k in range(200, 0, -1):
+        tail = far + k / tail
+    inside = np.clip(a, -1.0, 9.0)  # beyond 9 the distribution is 1 in double precision
+    term = total = inside
+    for k in range(1, 160):
+        term = term * inside * inside / (2 * k + 1)
+        total = total + term
+    density = lambda x: np.exp(-x * x / 2) / np.sqrt(2 * np.pi)
+    return np.where(z >= 1.0, tail, density(np.clip(a, -1.0, 40.0)) / (0.5 + density(inside) * total))
+
+
+def _censored():
     def run(protein: str, columns: Columns) -> Columns:
         features, f = _codes(columns["feature"])
         samples, s = _codes(columns["sample"])
@@ -340,22 +436,20 @@ def _censored(rounds: int):
         hidden = np.isnan(y) & ~np.isnan(cut)
         x = np.where(hidden, cut, y)
         if hidden.any():
-            seen = ~np.isnan(y)
-            count = seen.sum() + hidden.sum()
-            sigma, extra = None, 0.0
-            for _ in range(rounds):
-                _, rest = additive_fit(x, rounds=50)
-                mean = x - rest
-                new_sigma = max(np.sqrt((np.nansum(rest**2) + extra) / count), 1e-6)
-                a = (cut[hidden] - mean[hidden]) / new_sigma
+            fit = Additive.start(x)
+            least, count, extra = fit.least, np.count_nonzero(~np.isnan(x)), 0.0
+            for _ in range(MOST_ROUNDS):
+                fit.sweep()
+                rest = fit.rest
+                mean = x[hidden] - rest[hidden]
+                sigma = max(np.sqrt((np.nansum(rest**2) + extra) / count), 1e-6)
+                a = (cut[hidden] - mean) / sigma
                 ratio = _normal_ratio(a)
-                filled = mean[hidden] - new_sigma * ratio
-                extra = float(np.sum(np.maximum(new_sigma**2 * (1 - a * ratio - ratio**2), 0)))
+                filled = mean - sigma * ratio
+                extra = float(np.sum(np.maximum(sigma**2 * (1 - a * ratio - ratio**2), 0)))
                 moved = np.abs(filled - x[hidden]).max()
                 x[hidden] = filled
-                settled = sigma is not None and abs(new_sigma - sigma) < 1e-6 and moved < 1e-6
-                sigma = new_sigma
-                if settled:
+                if moved < least:
                     break
         return {
             "protein": np.repeat(protein, len(f)).astype(object),
@@ -368,22 +462,23 @@ def _censored(rounds: int):
     return run
 
 
-def _spread_censored(cells: DataFrame, rounds: int) -> DataFrame:
-    """The same steps for large proteins; the normal tail is the only Python call."""
+def _spread_censored(cells: DataFrame) -> DataFrame:
+    """The same rounds for large proteins; the normal tail is the only Python call."""
     from pyspark.sql import types as T
 
     @F.pandas_udf(T.DoubleType())
     def ratio(a: pd.Series) -> pd.Series:
         return pd.Series(_normal_ratio(a.to_numpy(dtype=float)))
 
-    state = cells.select(
+    state = _spread_start(cells.select(
         "protein", "feature", "sample", "cut",
         F.col(VALUE).isNull().alias("hidden"),
         F.coalesce(F.col(VALUE), F.col("cut")).alias(VALUE),
         F.lit(0.0).alias("extra"),
-    )
-    for _ in range(rounds):
-        _, rest = _spread_additive(state.withColumn("w", F.lit(1.0)), 1)
+    ))
+    done = []
+    for _ in range(MOST_ROUNDS):
+        rest = _spread_sweep(state).drop("r0", "c0").withColumn("rest", F.col(VALUE) - F.col("r") - F.col("c"))
         sums = rest.groupBy("protein").agg(
             F.greatest(F.sqrt((F.sum(F.pow("rest", F.lit(2.0))) + F.sum("extra")) / F.count(F.lit(1))), F.lit(1e-6)).alias("sigma")
         )
@@ -393,16 +488,18 @@ def _spread_censored(cells: DataFrame, rounds: int) -> DataFrame:
         filled = mean - F.col("sigma") * F.col("q")
         extra = F.greatest(F.pow("sigma", F.lit(2.0)) * (1 - F.col("a") * F.col("q") - F.col("q") * F.col("q")), F.lit(0.0))
         step = step.select(
-            "protein", "feature", "sample", "cut", "hidden", "r", "c",
+            "protein", "feature", "sample", "cut", "hidden", "least", "w", "r", "c",
             F.when(F.col("hidden"), filled).otherwise(F.col(VALUE)).alias("new"),
             F.when(F.col("hidden"), extra).otherwise(F.lit(0.0)).alias("extra"),
             F.col(VALUE).alias("old"),
         )
-        step = cut_lineage(step)
-        moved = step.agg(F.max(F.abs(F.col("new") - F.col("old")))).first()[0]
-        state = step.drop("old").withColumnRenamed("new", VALUE)
-        if moved is None or moved < 1e-6:
+        state, settled = _settled(cut_lineage(step), F.abs(F.col("new") - F.col("old")))
+        if settled is not None:
+            done.append(settled.drop("old").withColumnRenamed("new", VALUE))
+        if state is None:
             break
+        state = state.drop("old").withColumnRenamed("new", VALUE)
+    state = _stacked(done + ([state] if state is not None else []))
     return state.select(
         "protein", "feature", "sample", VALUE,
         F.when(F.col("hidden"), "imputed").otherwise("observed").alias("provenance"),

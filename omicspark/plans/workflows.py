@@ -21,7 +21,13 @@ from omicspark.sources import readers
 
 @dataclass(frozen=True)
 class Options:
-    """Settings of a run, with the reference defaults."""
+    """Settings of a run.
+
+    ``contrast_rule`` and ``contrast_weights`` say which conditions a side of a
+    comparison stands for and how it pools them; ``standards`` are the proteins
+    or features that the 'globalStandards' normalisation trusts; ``conditions``,
+    if given, keeps the samples of these conditions only.
+    """
 
     resolve_shared: bool = True
     max_missing: float = 0.40
@@ -36,9 +42,10 @@ class Options:
     robust: bool = True
     use_batch: bool = False
     p_cut: float = 0.05
-    contrast_rule: str = "exact"
+    contrast_rule: str = "criteria"
     contrast_weights: str = "mean"
     conditions: Sequence[str] = field(default_factory=tuple)
+    standards: Sequence[str] = field(default_factory=tuple)
 
 
 # ---------------------------------------------------------------- preparation
@@ -71,7 +78,11 @@ def prepare_dia_frame(raw: DataFrame, file_design: DataFrame) -> DataFrame:
 
 def prepare_dia(spark: SparkSession, paths: Sequence[str], file_design: DataFrame) -> DataFrame:
     raw = readers.read_psm(spark, paths, with_filename=True)
-    return prepare_dia_frame(raw, file_design)
+    psm.validate_psm(raw, "dia")
+    rows = prepare_dia_frame(raw, file_design)
+    if rows.isEmpty():
+        raise psm.InvalidInput("no PSM rows matched the configured files")
+    return rows
 
 
 def prepare_ptm_frame(raw: DataFrame, channel_design: DataFrame, role: str) -> DataFrame:
@@ -123,20 +134,37 @@ def covered_rows(rows: DataFrame, design_frame: DataFrame, options: Options) ->
     return protein.coverage_filter(resolved, expected, options.max_missing, options.min_psms)
 
 
+def normalized(pre: DataFrame, options: Options, dia: bool) -> DataFrame:
+    """Feature levels under the normalisation of the options; 'none' leaves them."""
+    method = options.normalization or ("center.median" if dia else "equalizeMedians")
+    if method == "none":
+        return pre
+    if method == "globalStandards":
+        return normalize.global_standards(pre, list(options.standards))
+    if method == "equalizeMedians":
+        return normalize.equalize_medians(pre)
+    return normalize.normalize(pre, method)
+
+
 def protein_tables(
     rows: DataFrame, design_frame: DataFrame, comparisons: DataFrame, options: Options, pipeline: str,
-    dia: bool,
+    dia: bool, contrast: DataFrame | None = None, genes: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """All canonical tables of a protein study from its prepared PSM rows."""
+    """All canonical tables of a protein study from its prepared PSM rows.
+
+    ``contrast`` are the comparisons' weights; without it the comparison labels
+    are condition names. ``genes`` is a map (accession, gene).
+    """
+    if options.conditions:
+        kept = F.col("Condition").isin(list(options.conditions))
+        rows, design_frame = rows.where(kept), design_frame.where(kept)
     covered = cut_lineage(covered_rows(rows, design_frame, options))
-    pre = feature_levels(covered, "sum" if dia else "max")
-    if dia:
-        post = normalize.normalize(pre, options.normalization or "center.median")
-    elif (options.normalization or "equalizeMedians") == "equalizeMedians":
-        post = normalize.equalize_medians(pre)
+    pre = cut_lineage(feature_levels(covered, "sum" if dia else "max"))
+    post = normalized(pre, options, dia)
+    if options.imputation == "censored":
+        filled = cut_lineage(summarise_ops.impute_censored(post))
     else:
-        post = pre
-    filled = cut_lineage(normalize.impute(post, options.imputation))
+        filled = cut_lineage(normalize.impute(post, options.imputation))
     if dia:
         levels = summarise_ops.summarize(filled, options.summary or "robustSummary")
     else:
@@ -152,35 +180,54 @@ def protein_tables(
     )
     return {
         "psms": covered,
-        **study_tables(levels, filled, samples, comparisons, options, pipeline, dia, covered),
+        "normalization_coefficients": normalize.normalization_coefficients(pre, post),
+        **study_tables(levels, filled, samples, comparisons, options, pipeline, dia, covered, contrast, genes),
     }
 
 
+def uses_batch(samples: DataFrame, options: Options) -> bool:
+    """Whether models get a batch part: asked for, known, and not settled by the condition alone."""
+    if not options.use_batch or samples.where("batch IS NOT NULL").isEmpty():
+        return False
+    return not design.batch_confounded(samples).first()["confounded"]
+
+
 def study_tables(
     levels: DataFrame, features: DataFrame, samples: DataFrame, comparisons: DataFrame,
     options: Options, pipeline: str, robust: bool, psms: DataFrame,
+    contrast: DataFrame | None = None, genes: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Catalogs, abundances, tests and QC of fitted protein levels.
 
     ``levels``: protein, sample, condition, batch, level. ``comparisons``: the
-    configured comparison rows.
+    configured comparison rows. A batch that the condition settles is left out
+    of the models. Where batches are used, ``batch_free_levels`` shows the
+    levels without them.
     """
-    contrast = design.contrasts_from_catalog(comparisons, samples)
+    if contrast is None:
+        contrast = design.contrasts_from_catalog(comparisons, samples)
+    batched = robust and uses_batch(samples, options)
     if robust:
-        fits = cut_lineage(fit.fit_models(levels, options.robust, use_batch=options.use_batch))
+        fits = cut_lineage(fit.fit_models(levels, options.robust, use_batch=batched))
         tests = fit.contrast_models(fits, contrast, options.adjust, moderated=True, flat=fit.zero_variance(levels))
     else:
         tests = fit.contrast_group_means(fit.fit_group_means(levels), contrast, options.adjust)
     catalog = catalog_of(samples, comparisons)
-    long = levels.select(
-        F.col("protein").alias("protein_accession"),
+    names = None
+    if genes is not None:
+        proteins = levels.select(F.col("protein").alias("ProteinAccession")).distinct()
+        names = cut_lineage(protein.gene_labels(proteins, genes, "ProteinAccession", out="Gene"))
+    gene_of = lambda df: _named(df, names)
+    long = gene_of(levels.withColumnRenamed("protein", "protein_accession")).select(
+        "protein_accession",
+        "gene_name",
         F.col("sample").alias("sample_id"),
         F.col("level").alias("processed_log2_abundance"),
         F.lit("model_estimated").alias("provenance"),
     )
-    peptides = features.select(
-        F.col("protein").alias("protein_accession"),
-        F.lit(None).cast("string").alias("gene_name"),
+    peptides = gene_of(features.withColumnRenamed("protein", "protein_accession")).select(
+        "protein_accession",
+        "gene_name",
         F.col("feature").alias("peptide_id"),
         F.col("sample").alias("sample_id"),
         F.col("log2_abundance").alias("processed_log2_abundance"),
@@ -192,10 +239,12 @@ def study_tables(
     proteins = artifacts.annotate_provenance(artifacts.protein_abundance(long, catalog, pipeline), peptides)
     differential = fit.differential_table(tests, "protein", pipeline)
     counts = psms.select(F.col("Master_Protein_Accessions").alias("ProteinName"), F.col("Unique_PSM").alias("PSM"))
-    differential = artifacts.fill_annotations(differential, counts)
+    differential = artifacts.fill_annotations(differential, counts, names)
     metrics = qc.qc_sample_metrics(proteins)
     groups = qc.qc_group_metrics(proteins, peptides)
+    shown = {"batch_free_levels": fit.remove_batch_effect(levels)} if batched else {}
     return {
+        **shown,
         "sample_catalog": catalog,
         "protein_abundance": proteins,
         "peptide_abundance": peptides,
@@ -209,6 +258,13 @@ def study_tables(
     }
 
 
+def _named(df: DataFrame, names: DataFrame | None) -> DataFrame:
+    """``df`` with the gene name of each protein, null without a gene map."""
+    if names is None:
+        return df.withColumn("gene_name", F.lit(None).cast("string"))
+    return df.join(names.select(F.col("ProteinAccession").alias("protein_accession"), F.col("Gene").alias("gene_name")), "protein_accession", "left")
+
+
 def catalog_of(samples: DataFrame, comparisons: DataFrame) -> DataFrame:
     """Sample catalog; conditions in the order the comparisons first name them."""
     from pyspark.sql import Window
@@ -240,34 +296,34 @@ def sample_pca(tables: Mapping[str, DataFrame]) -> DataFrame:
 def run_tmt(
     spark: SparkSession, paths: Sequence[str], mapping: Mapping[str, Mapping[str, object]],
     comparisons: Sequence[Mapping[str, Mapping[str, object]]], options: Options = Options(),
+    gene_map: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Reporter-ion protein study: preparation to QC tables."""
+    """Reporter-ion protein study: preparation to QC tables. ``gene_map`` is the path of a gene map."""
     frame = design.tmt_design(spark, mapping)
-    rows = prepare_tmt(spark, paths, frame)
-    return _finish(protein_tables(rows, frame, _condition_labels(spark, comparisons), options, "tmt", dia=False))
+    return _study(spark, prepare_tmt(spark, paths, frame), frame, mapping, comparisons, options, gene_map, "tmt")
 
 
 def run_dia(
     spark: SparkSession, paths: Sequence[str], metadata: Mapping[str, Mapping[str, object]],
     comparisons: Sequence[Mapping[str, Mapping[str, object]]], options: Options = Options(),
+    gene_map: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Label-free protein study: one export per sample."""
+    """Label-free protein study: one export per sample. ``gene_map`` is the path of a gene map."""
     frame = design.design_from_metadata(spark, metadata)
-    rows = prepare_dia(spark, paths, frame)
-    return _finish(protein_tables(rows, frame, _condition_labels(spark, comparisons), options, "dia", dia=True))
+    return _study(spark, prepare_dia(spark, paths, frame), frame, metadata, comparisons, options, gene_map, "dia")
 
 
-def _condition_labels(spark: SparkSession, comparisons: Sequence[Mapping[str, Mapping[str, object]]]) -> DataFrame:
-    """Configured comparisons; group labels in the '_'-joined form of conditions."""
-    rows = design.comparison_rows(spark, comparisons)
-    return rows.withColumn("group1_label", F.replace("group1_label", F.lit("+"), F.lit("_"))).withColumn(
-        "group2_label", F.replace("group2_label", F.lit("+"), F.lit("_"))
+def _study(
+    spark: SparkSession, rows: DataFrame, frame: DataFrame, mapping: Mapping[str, Mapping[str, object]],
+    comparisons: Sequence[Mapping[str, Mapping[str, object]]], options: Options, gene_map: str | None, kind: str,
+) -> dict[str, DataFrame]:
+    groups = design.condition_groups(mapping, kind)
+    named, contrast, unmatched = design.configured_contrasts(
+        spark, comparisons, groups, options.contrast_rule, options.contrast_weights
     )
-
-
-def _finish(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    tables["qc_pca"] = sample_pca(tables)
-    return tables
+    genes = readers.read_gene_map(spark, gene_map) if gene_map else None
+    tables = protein_tables(rows, frame, named, options, kind, kind == "dia", contrast, genes)
+    return {**tables, "unmatched_comparisons": unmatched, "qc_pca": sample_pca(tables)}
 
 
 def run_ptm(
@@ -291,10 +347,17 @@ def run_ptm(
     tables = ptm.build_sites(
         rows, frame, sequences, target, options.max_missing, normalization, proteins, min_background
     )
-    return {"filter_counts": counts, **tables, **site_results(tables, _condition_labels(spark, comparisons), options)}
+    groups = design.condition_groups(mapping, "ptm")
+    named, contrast, unmatched = design.configured_contrasts(
+        spark, comparisons, groups, options.contrast_rule, options.contrast_weights
+    )
+    results = site_results(tables, named, options, contrast)
+    return {"filter_counts": counts, **tables, **results, "unmatched_comparisons": unmatched}
 
 
-def site_results(tables: Mapping[str, object], comparisons: DataFrame, options: Options) -> dict[str, DataFrame]:
+def site_results(
+    tables: Mapping[str, object], comparisons: DataFrame, options: Options, contrasts: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """Site, protein and adjusted result layers from the feature tables."""
     summary = cut_lineage(summarise_ops.summarize_layers(tables["ptm_input"], tables.get("protein_input")))
 
@@ -303,7 +366,9 @@ def site_results(tables: Mapping[str, object], comparisons: DataFrame, options:
             F.col("protein_accession").alias("protein"), F.col("sample_id").alias("sample"),
             "condition", F.col("processed_log2_abundance").alias("level"),
         )
-        contrast = design.contrasts_from_catalog(comparisons, levels.select("condition").distinct())
+        contrast = contrasts
+        if contrast is None:
+            contrast = design.contrasts_from_catalog(comparisons, levels.select("condition").distinct())
         fits = fit.fit_models(levels, robust=False)
         tests = fit.contrast_models(cut_lineage(fits), contrast, options.adjust, moderated=True)
         return tests.withColumnRenamed("protein", "protein_accession")
@@ -341,7 +406,8 @@ def match_global(sites: DataFrame, proteins: DataFrame) -> DataFrame:
     return joined.where(found.isNotNull()).select("protein_accession", found.alias("GlobalProtein"))
 
 
-def enrichment(differential: DataFrame, comparison: str, sets: DataFrame, **options) -> DataFrame:
-    """Enrichment of one comparison from its differential table."""
-    ranked = enrich.one_metric_per_gene(enrich.ranked_genes(differential, comparison))
-    return enrich.prerank(cut_lineage(enrich.with_positions(ranked)), sets, **options)
+def enrichment(differential: DataFrame, sets: DataFrame, comparison: str | None = None, **options) -> DataFrame:
+    """Enrichment of every comparison of a differential table, or of one, in one job."""
+    by = ["comparison_id"]
+    ranked = enrich.one_metric_per_gene(enrich.ranked_genes(differential, comparison), by)
+    return enrich.prerank(cut_lineage(enrich.with_positions(ranked, by=by)), sets, by=by, **options)

@@ -113,9 +113,75 @@ def _(t: Tables) -> DataFrame:
     return enrich.rank_positions(ranking_frame(t), genes)
 
 
-@query("permutation_enrichment", "N2")
+# Scores from the members alone: a running score turns at members only.
+ENDS = """CASE WHEN greatest(max(after), 0) >= -least(min(before), 0) THEN greatest(max(after), 0) ELSE least(min(before), 0) END"""
+
+
+def member_walk(source: str, keys: str) -> str:
+    """(keys, before, after) at each member of ``source``, which has place, w, set_size and gene_count."""
+    return f"""SELECT {keys}, set_size, (upto - w) / total - missed AS before, upto / total - missed AS after FROM (
+  SELECT {keys}, set_size, w, sum(w) OVER walk AS upto, CASE WHEN sum(w) OVER (PARTITION BY {keys}) > 0 THEN sum(w) OVER (PARTITION BY {keys}) ELSE 1 END AS total,
+    (place - row_number() OVER walk + 1) / (gene_count - set_size)::DOUBLE AS missed FROM {source}
+  WINDOW walk AS (PARTITION BY {keys} ORDER BY place))"""
+
+
+NULLS = f"""{POSITIONED},
+member AS (SELECT * FROM (SELECT set_name, gene, position, metric, gene_count, count(*) OVER (PARTITION BY set_name) AS set_size FROM gene_sets JOIN pos USING (gene))
+  WHERE set_size BETWEEN 15 AND 500 AND set_size < gene_count),
+real_member AS (SELECT set_name, set_size, gene_count, position AS place, abs(metric) AS w FROM member),
+real_es AS (SELECT set_name, set_size, round({ENDS}, 9) AS es FROM ({member_walk('real_member', 'set_name')}) GROUP BY ALL),
+draw AS (SELECT gene, p, row_number() OVER (PARTITION BY p ORDER BY md5('123:' || p || ':' || gene)) - 1 AS place
+  FROM pos, generate_series(1, 1000) AS g(p)),
+drawn_member AS (SELECT set_name, set_size, m.gene_count, p, place, abs(pos.metric) AS w FROM member m JOIN draw USING (gene) JOIN pos ON pos.position = draw.place),
+null_es AS (SELECT set_name, p, round({ENDS}, 9) AS es FROM ({member_walk('drawn_member', 'set_name, p')}) GROUP BY set_name, p),
+side AS (SELECT set_name, avg(es) FILTER (WHERE es >= 0) AS up, avg(-es) FILTER (WHERE es < 0) AS down FROM null_es GROUP BY set_name),
+base AS (SELECT set_name, set_size, es, es >= 0 AS positive, round(es / CASE WHEN es >= 0 THEN up ELSE down END, 9) AS nes FROM real_es JOIN side USING (set_name)),
+tail AS (SELECT b.set_name, count(*) FILTER (WHERE abs(n.es) >= abs(b.es)) / count(*) AS pval FROM base b JOIN null_es n
+  ON n.set_name = b.set_name AND (n.es >= 0) = b.positive GROUP BY b.set_name),
+scaled AS (SELECT es >= 0 AS positive, round(abs(es / CASE WHEN es >= 0 THEN up ELSE down END), 9) AS size FROM null_es JOIN side USING (set_name)),
+shares AS (SELECT set_name, (SELECT count(*) FILTER (WHERE size >= abs(b.nes)) / count(*) FROM scaled s WHERE s.positive = b.positive) AS null_share,
+  (SELECT count(*) FILTER (WHERE abs(o.nes) >= abs(b.nes)) / count(*) FROM base o WHERE o.positive = b.positive) AS seen_share FROM base b)"""
+
+
+@query(
+    "permutation_enrichment",
+    "N2",
+    f"""WITH {NULLS} SELECT set_name AS "set", set_size, round(es, 6) AS es, round(nes, 6) AS nes, round(coalesce(pval, 1), 6) AS pval,
+  round(least(coalesce(null_share / seen_share, 1), 1), 6) AS fdr FROM base LEFT JOIN tail USING (set_name) LEFT JOIN shares USING (set_name)""",
+    ("ranking", "gene_sets"),
+)
+def _(t: Tables) -> DataFrame:
+    out = enrich.prerank(cut_lineage(ranking_frame(t)), gene_sets(t))
+    return rounded(out, ["es", "nes", "pval", "fdr"])
+
+
+ALL_POSITIONED = """pos AS (SELECT comparison_id, gene, metric, row_number() OVER (PARTITION BY comparison_id ORDER BY metric DESC, gene) - 1 AS position,
+  count(*) OVER (PARTITION BY comparison_id) AS gene_count FROM rankings),
+member AS (SELECT * FROM (SELECT comparison_id, set_name, gene, position AS place, abs(metric) AS w, gene_count,
+  count(*) OVER (PARTITION BY comparison_id, set_name) AS set_size FROM gene_sets JOIN pos USING (gene))
+  WHERE set_size BETWEEN 15 AND 500 AND set_size < gene_count)"""
+
+
+def all_rankings(t: Tables) -> DataFrame:
+    rows = t.view("rankings").select("comparison_id", "gene", "metric")
+    return enrich.with_positions(rows, by=["comparison_id"])
+
+
+@query(
+    "enrichment_scores_by_comparison",
+    "N1 F8",
+    f"""WITH {ALL_POSITIONED} SELECT comparison_id, set_name AS "set", set_size, round({ENDS}, 6) AS es
+FROM ({member_walk('member', 'comparison_id, set_name')}) GROUP BY ALL""",
+    ("rankings", "gene_sets"),
+)
+def _(t: Tables) -> DataFrame:
+    return rounded(enrich.enrichment_score(all_rankings(t), gene_sets(t), by=["comparison_id"]), ["es"])
+
+
+@query("permutation_enrichment_by_comparison", "N2")
 def _(t: Tables) -> DataFrame:
-    return enrich.prerank(cut_lineage(ranking_frame(t)), gene_sets(t), permutations=200)
+    out = enrich.prerank(cut_lineage(all_rankings(t)), gene_sets(t), by=["comparison_id"])
+    return rounded(out, ["es", "nes", "pval", "fdr"])
 
 
 HIT = "abs(nes) >= 1 AND fdr < 0.25"

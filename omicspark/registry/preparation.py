@@ -279,9 +279,8 @@ def _(t: Tables) -> DataFrame:
     "A15",
     r"""WITH numbered AS (SELECT row_number() OVER () AS id, Modifications FROM raw),
 tokens AS (SELECT id, unnest(string_split(Modifications, ';')) AS t FROM numbered WHERE Modifications IS NOT NULL),
-parsed AS (SELECT id, trim(regexp_extract(t, '^\s*([^()]+)\(([^()]+)\)\s*$', 2)) AS name,
-  trim(regexp_extract(t, '^\s*([^()]+)\(([^()]+)\)\s*$', 1)) AS site
-  FROM tokens WHERE regexp_matches(t, '^\s*([^()]+)\(([^()]+)\)\s*$'))
+parts AS (SELECT id, string_split(replace(t, ')', '('), '(') AS p, strpos(t, ')') > strpos(t, '(') AS ordered FROM tokens),
+parsed AS (SELECT id, trim(p[2]) AS name, trim(p[1]) AS site FROM parts WHERE len(p) = 3 AND ordered AND p[1] <> '' AND p[2] <> '' AND trim(p[3]) = '')
 SELECT name, count(DISTINCT id) AS row_count, count(*) AS occurrence_count,
   string_agg(DISTINCT site, ',' ORDER BY site) AS sites FROM parsed GROUP BY name""",
     ("raw",),
@@ -437,12 +436,12 @@ def _(t: Tables) -> DataFrame:
     "I10",
     r"""SELECT sample_id, CASE
   WHEN contains(upper(sample_id), 'DMSO') THEN 'DMSO'
-  WHEN contains(upper(sample_id), 'INCZ') THEN coalesce(list_filter(string_split(sample_id, '_'), lambda p: contains(upper(p), 'INCZ'))[1], 'INCZ')
+  WHEN contains(upper(sample_id), 'INCZ') THEN coalesce(list_filter(parts, lambda p: contains(upper(p), 'INCZ'))[1], 'INCZ')
   WHEN contains(upper(sample_id), 'CONTROL') THEN 'Control'
   WHEN contains(upper(sample_id), 'TREATMENT') THEN 'Treatment'
-  WHEN contains(sample_id, '_') AND regexp_matches(sample_id, '_\d+$') THEN regexp_replace(sample_id, '_\d+$', '')
-  WHEN contains(sample_id, '_') THEN string_split(sample_id, '_')[1]
-  ELSE sample_id END AS condition FROM names""",
+  WHEN len(parts) = 1 THEN sample_id
+  WHEN parts[-1] <> '' AND translate(parts[-1], '0123456789', '') = '' THEN array_to_string(parts[1:len(parts) - 1], '_')
+  ELSE parts[1] END AS condition FROM (SELECT sample_id, string_split(sample_id, '_') AS parts FROM names)""",
     ("names",),
 )
 def _(t: Tables) -> DataFrame:
@@ -557,6 +556,70 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@query("psm_files_in_any_column_order", "A1 A2", f"SELECT {ROW_SQL}, Charge, Modifications FROM raw", ("raw",))
+def _(t: Tables) -> DataFrame:
+    """Two exports, the second with its columns the other way round and with commas."""
+    raw = reporter(t)
+    text = raw.select(*[F.col(f"`{c}`").cast("string") for c in raw.columns])
+    paths = []
+    for order, sep, part in ((raw.columns, "\t", F.col("l_linenumber") % 2 == 0), (raw.columns[::-1], ",", F.col("l_linenumber") % 2 == 1)):
+        paths.append(fresh_path(t.spark, "psm"))
+        text.where(part).select(*[F.col(f"`{c}`") for c in order]).write.csv(paths[-1], sep=sep, header=True)
+    df = readers.read_psm(t.spark, paths)
+    typed = [F.col(c).cast("bigint").alias(c) for c in ROW[:3]]
+    return df.select(*typed, F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_returnflag", "Charge", "Modifications")
+
+
+@query(
+    "channel_mismatches",
+    "A14",
+    """WITH f AS (SELECT DISTINCT CAST(l_linenumber AS VARCHAR) AS c FROM lineitem), d AS (SELECT DISTINCT CAST(o_orderkey % 9 AS VARCHAR) AS c FROM orders)
+SELECT c AS "Channel", 'file' AS only_in FROM (SELECT c FROM f EXCEPT SELECT c FROM d)
+UNION ALL SELECT c, 'design' FROM (SELECT c FROM d EXCEPT SELECT c FROM f)""",
+)
+def _(t: Tables) -> DataFrame:
+    channels = t.table("lineitem").select(F.col("l_linenumber").cast("string").alias("Channel"))
+    return design.channel_mismatches(channels, t.table("orders").select((F.col("o_orderkey") % 9).cast("string").alias("Channel")))
+
+
+def order_groups(t: Tables) -> dict[str, dict[str, str]]:
+    """Conditions of the orders' priorities and states, as a site study names them."""
+    rows = t.table("orders").select("o_orderstatus", "o_orderpriority").distinct().collect()
+    mapping = {str(i): {"time": r[0], "drug": r[1], "replicate": 1} for i, r in enumerate(sorted(rows))}
+    return design.condition_groups(mapping, "ptm")
+
+
+# Group columns in another order than the conditions' own, a pooled group, and a group that nothing has.
+ORDER_COMPARISONS = [
+    {"group1": {"time": "F", "drug": "1-URGENT"}, "group2": {"drug": "5-LOW", "time": "F"}},
+    {"group1": {"drug": "1-URGENT"}, "group2": {"drug": "5-LOW"}},
+    {"group1": {"time": "F"}, "group2": {"time": "never"}},
+]
+
+
+@query(
+    "contrasts_by_criteria",
+    "J3 P17",
+    """WITH c AS (SELECT DISTINCT o_orderpriority AS drug, o_orderstatus AS time, o_orderpriority || '_' || o_orderstatus AS condition FROM orders),
+side AS (SELECT 'F+1-URGENT_vs_5-LOW+F' AS id, condition, 1 AS sign FROM c WHERE drug = '1-URGENT' AND time = 'F'
+  UNION ALL SELECT 'F+1-URGENT_vs_5-LOW+F', condition, -1 FROM c WHERE drug = '5-LOW' AND time = 'F'
+  UNION ALL SELECT '1-URGENT_vs_5-LOW', condition, 1 FROM c WHERE drug = '1-URGENT'
+  UNION ALL SELECT '1-URGENT_vs_5-LOW', condition, -1 FROM c WHERE drug = '5-LOW')
+SELECT id AS comparison_id, condition, sign / count(*) OVER (PARTITION BY id, sign) AS weight FROM side""",
+)
+def _(t: Tables) -> DataFrame:
+    return design.configured_contrasts(t.spark, ORDER_COMPARISONS, order_groups(t))[1]
+
+
+@query(
+    "unmatched_comparisons",
+    "J3 P17",
+    """SELECT 'F_vs_never' AS comparison_id, 'group2' AS side, 'never' AS label FROM orders WHERE o_orderstatus <> 'never' LIMIT 1""",
+)
+def _(t: Tables) -> DataFrame:
+    return design.configured_contrasts(t.spark, ORDER_COMPARISONS, order_groups(t))[2]
+
+
 @query(
     "result_shard_union",
     "A3 A4",
@@ -624,6 +687,16 @@ def _(t: Tables) -> DataFrame:
     return readers.read_fasta(t.spark, path, t.view("proteome").select("accession"))
 
 
+@query("fasta_headers_with_signs", "A6", "SELECT accession, gene, sequence FROM proteome", ("proteome",))
+def _(t: Tables) -> DataFrame:
+    """Headers hold the sign that begins a record."""
+    rows = t.view("proteome").where(F.col("sequence") != "")
+    tag = F.when(F.col("gene") != "", F.concat(F.lit(" GN="), "gene")).otherwise("")
+    line = F.concat(F.lit(">sp|"), "accession", F.lit("|X 3'->5' kind >"), tag, F.lit("\n"), "sequence")
+    path = _text_lines(rows.select(line.alias("value")), "fasta")
+    return readers.read_fasta(t.spark, path)
+
+
 @query(
     "gene_map_scan",
     "A7",

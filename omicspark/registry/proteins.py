@@ -10,17 +10,16 @@ from omicspark.operators import artifacts, fit, normalize, protein, summarize
 from omicspark.registry.base import Tables, query
 from omicspark.session import cut_lineage
 
-CANDIDATES = """groups AS (SELECT Unique_PSM, min(Master_Protein_Accessions) AS g FROM psm GROUP BY Unique_PSM),
-candidates AS (SELECT p.Unique_PSM, trim(u.protein) AS protein, u.o FROM groups p,
-  unnest(string_split(p.g, ';')) WITH ORDINALITY AS u(protein, o) WHERE trim(u.protein) <> ''),
-support AS (SELECT protein, count(DISTINCT Unique_PSM) AS psm_count FROM candidates GROUP BY protein),
-best AS (SELECT Unique_PSM, protein FROM (SELECT c.Unique_PSM, c.protein,
-  row_number() OVER (PARTITION BY c.Unique_PSM ORDER BY s.psm_count DESC, c.o) AS rn
-  FROM candidates c JOIN support s USING (protein)) WHERE rn = 1)"""
+# A PSM's smallest accession text, cut into its members; a member's support is the PSMs that name it.
+CANDIDATES = """named AS (SELECT Unique_PSM, list_transform(string_split(min(Master_Protein_Accessions), ';'), lambda x: trim(x)) AS members
+  FROM psm GROUP BY Unique_PSM),
+member AS (SELECT Unique_PSM, members, unnest(list_distinct(list_filter(members, lambda x: x <> ''))) AS protein FROM named),
+support AS (SELECT protein, count(*) AS psm_count FROM member GROUP BY protein)"""
 RESOLVED = f"""{CANDIDATES},
-resolved AS (SELECT r.* EXCLUDE (Master_Protein_Accessions),
-  coalesce(b.protein, r.Master_Protein_Accessions) AS Master_Protein_Accessions
-  FROM psm r LEFT JOIN best b USING (Unique_PSM))"""
+owner AS (SELECT Unique_PSM, first(protein ORDER BY psm_count DESC, list_position(members, protein)) AS protein
+  FROM member JOIN support USING (protein) GROUP BY Unique_PSM),
+resolved AS (SELECT psm.* REPLACE (coalesce(owner.protein, Master_Protein_Accessions) AS Master_Protein_Accessions)
+  FROM psm LEFT JOIN owner USING (Unique_PSM))"""
 
 
 @query("candidate_support", "E1", f"WITH {CANDIDATES} SELECT * FROM support", ("psm",))
@@ -52,15 +51,15 @@ def _(t: Tables) -> DataFrame:
 
 
 def coverage(source: str, design_sql: str, fraction: str, least: int) -> str:
-    return f"""reps AS ({design_sql}),
-detected AS (SELECT Unique_PSM, Condition, count(DISTINCT Replicate) AS d FROM {source} WHERE Abundance IS NOT NULL GROUP BY ALL),
-grid AS (SELECT p.Unique_PSM, r.Condition, r.total, coalesce(x.d, 0) AS d FROM (SELECT DISTINCT Unique_PSM FROM {source}) p
-  CROSS JOIN reps r LEFT JOIN detected x ON x.Unique_PSM = p.Unique_PSM AND x.Condition = r.Condition),
-passing AS (SELECT Unique_PSM FROM grid GROUP BY 1 HAVING bool_and(total - d <= CAST(floor(total * {fraction}) AS INTEGER))),
-proteins AS (SELECT Master_Protein_Accessions FROM {source} WHERE Unique_PSM IN (SELECT Unique_PSM FROM passing)
-  GROUP BY 1 HAVING count(DISTINCT Unique_PSM) >= {least}),
-covered AS (SELECT * FROM {source} WHERE Unique_PSM IN (SELECT Unique_PSM FROM passing)
-  AND Master_Protein_Accessions IN (SELECT Master_Protein_Accessions FROM proteins))"""
+    """A PSM is covered if the conditions it meets are as many as those that ask for a replicate at all."""
+    return f"""asked AS (SELECT Condition, total - CAST(floor(total * {fraction}) AS INTEGER) AS needed FROM ({design_sql})),
+met AS (SELECT Unique_PSM, count(*) AS conditions FROM (SELECT Unique_PSM, Condition, count(DISTINCT Replicate) AS seen
+    FROM {source} WHERE Abundance IS NOT NULL GROUP BY ALL) JOIN asked USING (Condition)
+  WHERE needed > 0 AND seen >= needed GROUP BY Unique_PSM),
+full_rows AS (SELECT {source}.* FROM {source} LEFT JOIN met USING (Unique_PSM)
+  WHERE coalesce(met.conditions, 0) = (SELECT count(*) FROM asked WHERE needed > 0)),
+covered AS (SELECT full_rows.* FROM full_rows SEMI JOIN (SELECT Master_Protein_Accessions FROM full_rows
+  GROUP BY Master_Protein_Accessions HAVING count(DISTINCT Unique_PSM) >= {least}) USING (Master_Protein_Accessions))"""
 
 
 OBSERVED = "SELECT Condition, count(DISTINCT Replicate) AS total FROM {0} GROUP BY 1"
@@ -99,30 +98,36 @@ def _(t: Tables) -> DataFrame:
     return protein.psm_count_per_protein(t.view("psm"))
 
 
-GENES = """gene_map AS (SELECT 'S' || CAST(p_partkey AS VARCHAR) AS accession, min('G' || CAST(p_partkey % 19 AS VARCHAR)) AS gene
-  FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1),
+def genes_of(rows: str) -> str:
+    """Gene labels of the protein groups of ``rows`` by the gene names of the parts."""
+    return f"""gene_map AS (SELECT 'S' || CAST(p_partkey AS VARCHAR) AS accession, min(CASE WHEN p_partkey % 4 <> 0 THEN 'G' || CAST(p_partkey % 19 AS VARCHAR) END) AS gene
+  FROM part GROUP BY 1),
 members AS (SELECT DISTINCT p.g, u.o, regexp_replace(trim(u.m), '-\\d+$', '') AS base FROM
-  (SELECT DISTINCT Master_Protein_Accessions AS g FROM psm) p, unnest(string_split(p.g, ';')) WITH ORDINALITY AS u(m, o)),
-mapped AS (SELECT g, gene, min(o) AS o FROM members JOIN gene_map ON base = accession GROUP BY ALL),
+  (SELECT DISTINCT Master_Protein_Accessions AS g FROM {rows}) p, unnest(string_split(p.g, ';')) WITH ORDINALITY AS u(m, o)),
+mapped AS (SELECT g, gene, min(o) AS o FROM members JOIN gene_map ON base = accession WHERE gene IS NOT NULL GROUP BY ALL),
 labels AS (SELECT g, string_agg(gene, ';' ORDER BY o) AS label FROM mapped GROUP BY g)"""
 
 
+def part_genes(t: Tables) -> DataFrame:
+    """(accession, gene): three parts of four have a gene name."""
+    name = F.concat(F.lit("G"), (F.col("p_partkey") % 19).cast("string"))
+    return t.table("part").select(
+        F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("accession"),
+        F.when(F.col("p_partkey") % 4 != 0, name).alias("gene"),
+    )
+
+
 @query(
     "gene_labels",
     "D19 I12",
-    f"""WITH {GENES} SELECT DISTINCT Master_Protein_Accessions,
+    f"""WITH {genes_of('psm')} SELECT DISTINCT Master_Protein_Accessions,
   coalesce(label, regexp_replace(Master_Protein_Accessions, '-\\d+$', '')) AS Gene_Name
 FROM psm LEFT JOIN labels ON g = Master_Protein_Accessions""",
     ("psm",),
 )
 def _(t: Tables) -> DataFrame:
-    parts = t.table("part").where("p_partkey % 4 <> 0")
-    genes = parts.select(
-        F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("accession"),
-        F.concat(F.lit("G"), (F.col("p_partkey") % 19).cast("string")).alias("gene"),
-    )
     groups = t.view("psm").select("Master_Protein_Accessions").distinct()
-    return protein.gene_labels(groups, genes)
+    return protein.gene_labels(groups, part_genes(t))
 
 
 @query(
@@ -457,7 +462,7 @@ def _(t: Tables) -> DataFrame:
     "comparison_catalog",
     "E18 P8",
     """WITH p AS (SELECT comparison_id, count(*) AS t, count(*) FILTER (WHERE adjusted_p_value < 0.05) AS s FROM diff
-  WHERE result_layer = 'protein' AND comparison_id <> 'D3_vs_DMSO' GROUP BY 1),
+  WHERE result_layer = 'protein' GROUP BY 1),
 n AS (SELECT condition, count(*) AS n FROM (SELECT DISTINCT sample, condition FROM levels) GROUP BY 1)
 SELECT c.comparison_id, display_label, group1_label, group2_label, comparison_order,
   coalesce(t, 0) AS tested_count, coalesce(s, 0) AS significant_count,
@@ -468,8 +473,7 @@ FROM catalog c LEFT JOIN p USING (comparison_id) LEFT JOIN n a ON a.condition =
 )
 def _(t: Tables) -> DataFrame:
     samples = t.view("levels").select("sample", "condition").distinct()
-    diff = t.view("diff").where(F.col("comparison_id") != "D3_vs_DMSO")
-    return artifacts.comparison_catalog(diff, t.view("catalog"), samples)
+    return artifacts.comparison_catalog(t.view("diff"), t.view("catalog"), samples)
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from omicspark.functions import expressions as E
 from omicspark.operators import design, ptm, qc, summarize
 from omicspark.plans import workflows
+from omicspark.registry import proteins
 from omicspark.registry.base import Tables, query
 from omicspark.registry.preparation import PTM_CHANNELS
 from omicspark.registry.quality import rounded
@@ -25,16 +26,18 @@ looked AS (SELECT pep.*, CASE WHEN e.accession IS NOT NULL THEN 'exact' WHEN b.a
   coalesce(e.gene, b.gene, '') AS gene, coalesce(e.sequence, b.sequence) AS sequence FROM pep LEFT JOIN seqs e ON e.accession = acc
   LEFT JOIN seqs b ON e.accession IS NULL AND NOT contains(acc, ';') AND b.accession = string_split(acc, '-')[1]),
 tok AS (SELECT id, u.t, u.o FROM k, unnest(string_split(mods, ';')) WITH ORDINALITY AS u(t, o)),
-site0 AS (SELECT id, o, regexp_extract(t, '^\s*([A-Za-z-]+)(\d+)?\(([^()]+)\)\s*$', 1) AS w, regexp_extract(t, '^\s*([A-Za-z-]+)(\d+)?\(([^()]+)\)\s*$', 2) AS d FROM tok
-  WHERE regexp_matches(t, '^\s*([A-Za-z-]+)(\d+)?\(DBIA\)\s*$')),
+site0 AS (SELECT id, o, rtrim(head, '0123456789') AS w, substr(head, length(rtrim(head, '0123456789')) + 1) AS d
+  FROM (SELECT id, o, trim(split_part(t, '(', 1)) AS head, split_part(t, '(', 2) AS tail FROM tok)
+  WHERE trim(tail) = 'DBIA)' AND regexp_full_match(rtrim(head, '0123456789'), '[A-Za-z-]+')),
 site AS (SELECT id, o, CASE WHEN d <> '' THEN upper(right(w, 1)) WHEN lower(w) IN ('n-term', 'nterm') THEN 'N-term' WHEN lower(w) IN ('c-term', 'cterm') THEN 'C-term' END AS residue,
   CASE WHEN d <> '' THEN CAST(d AS INTEGER) WHEN lower(w) IN ('n-term', 'nterm') THEN 1 ELSE -1 END AS position FROM site0),
 count_sites AS (SELECT id, count(*) AS n FROM site GROUP BY id),
 st AS (SELECT id, 1 AS src, u.t, u.o FROM k, unnest(string_split(rs, ';')) WITH ORDINALITY AS u(t, o)
   UNION ALL SELECT id, 2, u.t, u.o FROM k, unnest(string_split(cb, ';')) WITH ORDINALITY AS u(t, o)),
-sc0 AS (SELECT id, src, o, upper(right(regexp_extract(t, '^\s*([A-Za-z]+)(\d+)\(([^()]+)\)\s*:\s*([0-9.]+)\s*$', 1), 1)) AS residue,
-  CAST(regexp_extract(t, '^\s*([A-Za-z]+)(\d+)\(([^()]+)\)\s*:\s*([0-9.]+)\s*$', 2) AS INTEGER) AS position,
-  CAST(regexp_extract(t, '^\s*([A-Za-z]+)(\d+)\(([^()]+)\)\s*:\s*([0-9.]+)\s*$', 4) AS DOUBLE) AS score FROM st WHERE regexp_matches(t, '^\s*([A-Za-z]+)(\d+)\(DBIA\)\s*:\s*([0-9.]+)\s*$')),
+sc0 AS (SELECT id, src, o, upper(right(w, 1)) AS residue, CAST(substr(head, length(w) + 1) AS INTEGER) AS position, CAST(trim(score) AS DOUBLE) AS score
+  FROM (SELECT id, src, o, trim(split_part(t, '(', 1)) AS head, rtrim(trim(split_part(t, '(', 1)), '0123456789') AS w,
+    split_part(split_part(t, '(', 2), ':', 1) AS name, split_part(t, ':', 2) AS score FROM st)
+  WHERE trim(name) = 'DBIA)' AND regexp_full_match(w, '[A-Za-z]+') AND w <> head AND regexp_full_match(trim(score), '[0-9.]+')),
 first AS (SELECT id, min(src) AS src FROM sc0 GROUP BY id),
 score AS (SELECT sc0.id, sc0.src, o, residue, position, score FROM sc0 JOIN first USING (id, src)
   UNION ALL SELECT site.id, 3, o, residue, position, CASE WHEN one <= 1 THEN one * 100 ELSE one END FROM site JOIN k USING (id) WHERE one IS NOT NULL AND site.id NOT IN (SELECT id FROM first)),
@@ -485,9 +488,9 @@ def _(t: Tables) -> DataFrame:
     "protein_annotation",
     "P13",
     """WITH r AS (SELECT protein_accession, min(gene_name) AS g FROM diff WHERE result_layer = 'protein' GROUP BY 1),
-m AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) AS a, p_brand AS g FROM part WHERE p_partkey % 3 = 0),
+m AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) AS a, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END AS g FROM part),
 q AS (SELECT 'P' || substr(accession, 2) AS a, gene AS g FROM proteome WHERE gene <> ''),
-n AS (SELECT 'P' || CAST(l_partkey AS VARCHAR) AS a, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY 1)
+n AS (SELECT 'P' || CAST(l_partkey AS VARCHAR) AS a, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1)
 SELECT comparison_id, d.protein_accession, coalesce(q.g, m.g, r.g, '') AS gene_name, coalesce(n.n, psm_count, 0) AS psm_count
 FROM diff d LEFT JOIN r USING (protein_accession) LEFT JOIN m ON m.a = d.protein_accession LEFT JOIN q ON q.a = d.protein_accession LEFT JOIN n ON n.a = d.protein_accession
 WHERE result_layer = 'protein'""",
@@ -496,9 +499,10 @@ WHERE result_layer = 'protein'""",
 def _(t: Tables) -> DataFrame:
     results = t.view("diff").where("result_layer = 'protein'").select("comparison_id", "protein_accession", "gene_name", "psm_count")
     name = F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
-    metadata = t.table("part").where("p_partkey % 3 = 0").select(name.alias("ProteinAccession"), F.col("p_brand").alias("Gene"))
+    gene = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand"))
+    metadata = t.table("part").select(name.alias("ProteinAccession"), gene.alias("Gene"))
     sequences = t.view("proteome").withColumn("accession", F.concat(F.lit("P"), F.expr("substr(accession, 2)")))
-    psms = t.table("lineitem").where("l_partkey % 7 <> 0").select(
+    psms = t.table("lineitem").select(
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("ProteinName"), F.col("l_orderkey").alias("PSM")
     )
     return ptm.protein_annotation(results, metadata, sequences, psms).select(
@@ -511,17 +515,31 @@ def _(t: Tables) -> DataFrame:
 
 def study(t: Tables, dia: bool) -> dict[str, DataFrame]:
     """A protein study on the PSM view: observed design, comparisons between its conditions."""
-    rows = t.view("psm").where(F.col("Abundance").isNotNull())
+    rows = t.view("psm")
     frame = rows.select("Condition", "Replicate", "Sample_Origination").distinct()
     comparisons = t.spark.createDataFrame(
         [("A_vs_N", "A", "N", 0), ("R_vs_N", "R", "N", 1)],
         "comparison_id string, group1_label string, group2_label string, comparison_order int",
     )
     return workflows.protein_tables(
-        rows, frame, comparisons, workflows.Options(max_missing=0.29), "dia" if dia else "tmt", dia
+        rows, frame, comparisons, workflows.Options(max_missing=0.29), "dia" if dia else "tmt", dia,
+        genes=proteins.part_genes(t),
     )
 
 
+@query(
+    "study_gene_names",
+    "P17 D19",
+    f"""WITH {proteins.RESOLVED}, {proteins.coverage('resolved', proteins.OBSERVED.format('resolved'), '0.29', 1)},
+{proteins.genes_of('covered')} SELECT DISTINCT Master_Protein_Accessions AS protein_accession,
+  coalesce(label, regexp_replace(Master_Protein_Accessions, '-\\d+$', '')) AS gene_name
+FROM covered LEFT JOIN labels ON g = Master_Protein_Accessions WHERE Abundance > 0""",
+    ("psm",),
+)
+def _(t: Tables) -> DataFrame:
+    return study(t, False)["protein_abundance"].select("protein_accession", "gene_name").distinct()
+
+
 @query("tmt_study_differential", "P17 P8 J4 J10 J18 J20")
 def _(t: Tables) -> DataFrame:
     return study(t, False)["differential"]

@@ -162,6 +162,9 @@ define_view(
        CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'N' END AS group1_label,
        CASE WHEN l_linenumber = 7 THEN 'X' ELSE 'R' END AS group2_label,
        8 - CAST(l_linenumber AS INT) AS comparison_order
+FROM {lineitem}
+UNION
+SELECT 'D9_vs_DMSO' AS comparison_id, 'D9 vs DMSO' AS display_label, 'A' AS group1_label, 'X' AS group2_label, 9 AS comparison_order
 FROM {lineitem}""",
 )
 
@@ -193,6 +196,14 @@ define_view(
 FROM {ranked} WHERE comparison_id = 'D1_vs_DMSO' GROUP BY gene""",
 )
 
+define_view(
+    "rankings",
+    ("ranked",),
+    """SELECT comparison_id, gene,
+       CASE WHEN max(metric) >= -min(metric) THEN max(metric) ELSE min(metric) END AS metric
+FROM {ranked} WHERE gene <> '' GROUP BY comparison_id, gene""",
+)
+
 define_view(
     "gene_sets",
     ("part",),

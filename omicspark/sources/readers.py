@@ -11,36 +11,76 @@ from omicspark.functions.expressions import column
 from omicspark.operators.psm import InvalidInput
 
 
+_SOURCE = "__source_file"
+#: The columns of result shards that hold numbers; all others are text.
+RESULT_NUMBERS = (
+    "logFC", "log2FC", "pvalue", "pval", "adj.pvalue", "adjPval", "adj_pvalue", "SE", "se", "Tvalue", "t", "DF", "df",
+    "LogIntensities", "Abundance", "ImputationPercentage", "MissingPercentage",
+)
+
+
 def _many(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def sniff_separator(spark: SparkSession, path: str) -> str:
+def header_separator(header: str) -> str:
     """Tab when the header has at least as many tabs as commas, else comma."""
-    line = spark.read.text(path).limit(1).first()
-    header = line[0] if line else ""
     tabs, commas = header.count("\t"), header.count(",")
     if tabs and tabs >= commas:
         return "\t"
     if commas:
         return ","
-    raise InvalidInput(f"cannot tell the delimiter of {path}: {header[:200]!r}")
+    raise InvalidInput(f"cannot tell the delimiter of {header[:200]!r}")
+
+
+def files_by_header(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, list[str]]:
+    """First line -> files that begin with it, in one scan of the files' first blocks.
+
+    Files without a line are left out. One row per file reaches the driver, which lists the files anyway.
+    """
+    lines = spark.read.text(_many(paths)).select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    # The path comes percent-encoded, in which a plus stands for itself.
+    plain = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    groups: dict[str, list[str]] = {}
+    for row in first.select("header", plain.alias("path")).orderBy("path").collect():
+        groups.setdefault(row["header"].lstrip("\ufeff").rstrip("\r"), []).append(row["path"])
+    return groups
+
+
+def _stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
 
 
 def read_psm(
     spark: SparkSession, paths: str | Sequence[str], sep: str | None = None, with_filename: bool = False
 ) -> DataFrame:
-    """Delimited files with every column as text; the first file's header names the columns.
+    """Delimited files with every column as text, stacked by column name.
 
-    ``with_filename`` adds ``filename``, the source's base name.
+    Each file's own header names its columns, in whatever order, and tells its
+    delimiter; files with the same header are one scan. A column that a file
+    lacks is null there. ``with_filename`` adds ``filename``, the base name.
     """
-    files = _many(paths)
-    sep = sep or sniff_separator(spark, files[0])
-    df = spark.read.csv(files, sep=sep, header=True, inferSchema=False, multiLine=False, escape='"')
+    groups = files_by_header(spark, paths)
+    if not groups:
+        raise InvalidInput(f"no lines in {paths}")
+    df = _stacked([
+        spark.read.csv(files, sep=sep or header_separator(header), header=True, inferSchema=False, escape='"')
+        .select("*", *([F.col("_metadata.file_path").alias(_SOURCE)] if with_filename else []))
+        for header, files in groups.items()
+    ])
     if not with_filename:
         return df
-    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return df.select("*", F.regexp_extract(name, r"([^/\\]+)$", 1).alias("filename"))
+    name = F.url_decode(F.replace(F.col(_SOURCE), F.lit("+"), F.lit("%2B")))
+    return df.withColumn("filename", F.regexp_extract(name, r"([^/\\]+)$", 1)).drop(_SOURCE)
 
 
 def read_result_tsv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -57,31 +97,23 @@ def read_result_tsv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
     return df.select(*cleaned)
 
 
-def union_result_shards(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Result shards stacked by column name; a column a shard lacks is null there."""
+def union_result_shards(
+    spark: SparkSession, paths: Sequence[str], numbers: Sequence[str] = RESULT_NUMBERS
+) -> DataFrame:
+    """Result shards stacked by column name; a column a shard lacks is null there.
+
+    The types are given and not guessed: the columns of ``numbers`` are doubles,
+    all others text, so ids of digits stay text. NA and NaN are null; text where
+    a number belongs is null too. Shards with the same header are one scan.
+    """
     if not paths:
         raise InvalidInput("no result shards")
-    parts = [read_result_tsv(spark, path) for path in paths]
-    kinds: dict[str, set[str]] = {}
-    for part in parts:
-        for name, kind in part.dtypes:
-            kinds.setdefault(name, set()).add(kind)
-    numeric = {"int", "bigint", "double", "decimal"}
-
-    def common(name: str) -> str | None:
-        found = kinds[name]
-        if len(found) == 1:
-            return None
-        return "double" if all(k.split("(")[0] in numeric for k in found) else "string"
-
-    whole = None
-    for part in parts:
-        cast = [
-            column(n).cast(common(n)).alias(n) if common(n) else column(n) for n in part.columns
-        ]
-        part = part.select(*cast)
-        whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
-    return whole
+    text = read_psm(spark, paths, sep="\t")
+    cleaned = []
+    for name in text.columns:
+        c = F.when(~column(name).isin("NA", "NaN"), column(name))
+        cleaned.append((c.try_cast("double") if name in numbers else c).alias(name))
+    return text.select(*cleaned)
 
 
 def read_artifact(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -89,7 +121,7 @@ def read_artifact(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def parse_fasta(records: DataFrame) -> DataFrame:
-    """(accession, gene, sequence) from records split at '>' in column ``value``."""
+    """(accession, gene, sequence) from records in column ``value``, without the '>' of their header."""
     text = F.regexp_replace(F.col("value"), "\r", "")
     header = F.regexp_extract(text, r"^([^\n]*)", 1)
     body = F.regexp_replace(F.expr("substring(t, length(h) + 1)"), r"\s", "")
@@ -103,8 +135,13 @@ def parse_fasta(records: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str | Sequence[str], accessions: DataFrame | None = None) -> DataFrame:
-    """Sequence file; ``accessions`` keeps only those ids and their isoform-free form."""
-    parsed = parse_fasta(spark.read.text(_many(path), lineSep=">"))
+    """Sequence file; ``accessions`` keeps only those ids and their isoform-free form.
+
+    A record begins with a line that begins with '>'; the sign may stand inside
+    a header. A file begins with its first header.
+    """
+    records = spark.read.text(_many(path), lineSep="\n>")
+    parsed = parse_fasta(records.select(F.regexp_replace("value", "^>", "").alias("value")))
     if accessions is None:
         return parsed
     exact = accessions.select(F.col("accession"))

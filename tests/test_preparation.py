@@ -129,6 +129,82 @@ def test_psm_files(spark, tmp_path):
         readers.read_psm(spark, write(tmp_path / "c.txt", "justoneheader\nx\n"))
 
 
+def test_files_with_other_column_orders_and_delimiters(spark, tmp_path):
+    one = write(tmp_path / "a.txt", "Sequence\tCharge\tNote\nAA\t2\tx\n")
+    two = write(tmp_path / "b.csv", "Charge,Sequence\n3,BB\n")
+    empty = write(tmp_path / "c.txt", "")
+    rows = readers.read_psm(spark, [one, two, empty]).select("Sequence", "Charge", "Note").collect()
+    assert {tuple(r) for r in rows} == {("AA", "2", "x"), ("BB", "3", None)}
+    with pytest.raises(psm.InvalidInput):
+        readers.read_psm(spark, [empty])
+
+
+def test_fasta_headers_may_hold_the_sign(spark, tmp_path):
+    path = write(tmp_path / "x.fasta", ">sp|P1|X 3'->5' exonuclease GN=EXO\nMACK\r\nAA\r\n>P2 a>b\nCC\n")
+    rows = {r["accession"]: (r["gene"], r["sequence"]) for r in readers.read_fasta(spark, path).collect()}
+    assert rows == {"P1": ("EXO", "MACKAA"), "P2": ("", "CC")}
+
+
+def test_comparisons_by_criteria(spark):
+    mapping = {
+        "126": {"time": "4h", "drug": "A+B", "replicate": 1}, "127": {"time": "4h", "drug": "D", "replicate": 1},
+        "128": {"time": "24h", "drug": "D", "replicate": 1}, "129": {"time": "4h", "drug": "D", "role": "Bridge"},
+    }
+    groups = design.condition_groups(mapping, "ptm")
+    assert list(groups) == ["A+B_4h", "D_4h", "D_24h"]
+    items = [
+        {"group1": {"time": "4h", "drug": "A+B"}, "group2": {"time": "4h", "drug": "D"}},
+        {"group1": {"drug": "D"}, "group2": {"drug": "A+B"}},
+        {"group1": {"drug": "X"}, "group2": {"drug": "D"}},
+    ]
+    rows, contrast, unmatched = design.configured_contrasts(spark, items, groups)
+    assert {(r["comparison_id"], r["condition"]): r["weight"] for r in contrast.collect()} == {
+        ("4h+A+B_vs_4h+D", "A+B_4h"): 1.0, ("4h+A+B_vs_4h+D", "D_4h"): -1.0,
+        ("D_vs_A+B", "D_4h"): 0.5, ("D_vs_A+B", "D_24h"): 0.5, ("D_vs_A+B", "A+B_4h"): -1.0,
+    }
+    assert [(r["group1_label"], r["group2_label"]) for r in rows.orderBy("comparison_order").collect()] == [
+        ("A+B_4h", "D_4h"), ("D", "A+B_4h"), ("X", "D"),
+    ]
+    assert [tuple(r) for r in unmatched.collect()] == [("X_vs_D", "group1", "X")]
+
+
+def test_study_from_files_has_genes_batches_and_enrichment(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    channels = ["126", "127N", "127C", "128N", "128C", "129N"]
+    head = ["Sequence", "Modifications", "Charge", "Contaminant", "Master Protein Accessions", "Quan Info",
+            "Average Reporter SN", "Normalized CHIMERYS Coefficient", *[f"Abundance {c}" for c in channels]]
+    lines = ["\t".join(head)]
+    for p in range(40):
+        for k in range(2):
+            shift = [0, 0, 0, 1.5, 1.5, 1.5] if p < 20 else [0] * 6
+            values = 2 ** (10 + rng.normal(0, 0.1, 6) + shift)
+            lines.append("\t".join([f"PEP{p}X{k}", "", "2", "False", f"P{p}", "", "9", "0.9", *[f"{v:.3f}" for v in values]]))
+    path = write(tmp_path / "psm.txt", "\n".join(lines) + "\n")
+    genes = write(tmp_path / "genes.tsv", "Entry\tGene Names\n" + "".join(f"P{p}\tG{p} other\n" for p in range(40)))
+    mapping = {c: {"drug": "D" if i < 3 else "I", "replicate": i % 3 + 1} for i, c in enumerate(channels)}
+    items = [{"group1": {"drug": "I"}, "group2": {"drug": "D"}}, {"group1": {"drug": "Z"}, "group2": {"drug": "D"}}]
+    tables = workflows.run_tmt(spark, [path], mapping, items, gene_map=genes)
+    rows = tables["differential"].collect()
+    assert len(rows) == 40 and all(r["gene_name"] == "G" + r["protein_accession"][1:] for r in rows)
+    assert [r["comparison_id"] for r in tables["unmatched_comparisons"].collect()] == ["Z_vs_D"]
+    assert {r["gene_name"] for r in tables["protein_abundance"].collect()} == {f"G{p}" for p in range(40)}
+    sets = spark.createDataFrame([("up", f"G{p}") for p in range(20)], "set string, gene string")
+    found = workflows.enrichment(tables["differential"], sets, permutations=200).collect()
+    assert [(r["comparison_id"], r["set"]) for r in found] == [("I_vs_D", "up")] and found[0]["nes"] > 1
+    assert tables["normalization_coefficients"].count() > 0
+
+
+def test_a_batch_that_the_condition_settles_is_left_out(spark):
+    rows = [("s1", "A", "1"), ("s2", "A", "1"), ("s3", "B", "2")]
+    shape = "sample string, condition string, batch string"
+    use = workflows.Options(use_batch=True)
+    assert not workflows.uses_batch(spark.createDataFrame(rows, shape), use)
+    assert workflows.uses_batch(spark.createDataFrame([*rows, ("s4", "B", "1")], shape), use)
+    assert not workflows.uses_batch(spark.createDataFrame([("s1", "A", None)], shape), use)
+
+
 def test_fasta_and_maps(spark, tmp_path):
     path = write(
         tmp_path / "x.fasta",

@@ -144,15 +144,12 @@ def test_accession_match_is_exact(spark):
 
 def test_pages(spark):
     df = spark.range(25).withColumnRenamed("id", "n")
-    first, cursor = query.page(df, ["n"], None, 10)
-    second, cursor = query.page(df, ["n"], cursor, 10)
-    last, end = query.page(df, ["n"], cursor, 10)
-    assert [r["n"] for r in first + second + last] == list(range(25)) and end is None
-    with pytest.raises(ValueError):
-        query.page(df, ["n"], "!!", 10)
-    points = spark.range(5).selectExpr("id as condition_order", "id as sample_order")
-    assert query.points_within_budget(points, 4) == ([], True)
-    assert len(query.points_within_budget(points, 5)[0]) == 5
+    seen, last = [], None
+    while part := [r["n"] for r in query.page_after(df, "n", last, 10).collect()]:
+        seen, last = seen + part, part[-1]
+    assert seen == list(range(25))
+    points = spark.range(5).selectExpr("4 - id as condition_order", "id as sample_order")
+    assert [r["condition_order"] for r in query.ordered_points(points).collect()] == [0, 1, 2, 3, 4]
 
 
 def test_network_limits(spark):

@@ -120,15 +120,16 @@ def feature_rows(rng, proteins=3, features=6, samples=7, gaps=0.2):
 FEATURES = "protein string, feature string, sample string, log2_abundance double"
 
 
-@pytest.mark.parametrize("method, close", [("medianPolish", 1e-9), ("linear", 1e-6), ("robustSummary", 2e-2)])
-def test_spread_fit_equals_grouped_fit(spark, method, close):
-    cells = spark.createDataFrame(feature_rows(np.random.default_rng(5), 2, 5, 4, 0.0), FEATURES)
-    small = {(r[0], r[1]): r[2] for r in summarize.summarize(cells, method).collect()}
-    rounds = 4 if method == "robustSummary" else None
-    spread = {(r[0], r[1]): r[2] for r in summarize.spread_fit(cells, method, rounds).collect()}
-    assert small.keys() == spread.keys()
-    for key in small:
-        assert spread[key] == pytest.approx(small[key], abs=close)
+@pytest.mark.parametrize("method", ["medianPolish", "linear", "robustSummary"])
+def test_spread_fit_equals_grouped_fit(spark, method):
+    rows = [r for r in feature_rows(np.random.default_rng(5), 2, 5, 4, 0.0) if r[:3] != ("p0", "f1", "s1")]
+    cells = spark.createDataFrame(rows, FEATURES)
+    small = {(r[0], r[1]): r[2:] for r in summarize.summarize(cells, method, with_converged=True).collect()}
+    spread = summarize.summarize(cells, method, max_cells=0, with_converged=True).collect()
+    assert small.keys() == {(r[0], r[1]) for r in spread}
+    for r in spread:
+        assert r[2] == pytest.approx(small[r[0], r[1]][0], abs=1e-6)
+        assert r[3] == small[r[0], r[1]][1]
 
 
 def test_large_proteins_take_the_spread_path(spark):
@@ -144,7 +145,9 @@ def test_additive_fit_is_least_squares():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(6, 5))
     x[rng.random(x.shape) < 0.2] = np.nan
-    levels, rest = summarize.additive_fit(x)
+    fit = summarize.Additive.start(x)
+    assert fit.settle()
+    levels, rest = fit.levels, fit.rest
     i, j = np.nonzero(~np.isnan(x))
     design = np.zeros((len(i), 11))
     design[np.arange(len(i)), i] = 1
@@ -156,7 +159,8 @@ def test_additive_fit_is_least_squares():
 
 def test_median_polish_recovers_additive_structure():
     rows, cols = np.array([1.0, 5, 9]), np.array([0.0, 2, 4, 6])
-    levels = summarize.median_polish(rows[:, None] + cols[None, :])
+    levels, settled = summarize.median_polish(rows[:, None] + cols[None, :])
+    assert settled
     assert np.allclose(levels, 5 + cols)
 
 
@@ -168,9 +172,20 @@ def test_censored_values_fall_below_the_observed(spark):
     assert len(out) == 48 and len(filled) == 2
     floor = np.quantile([r[3] for r in rows if r[2] in {"s1", "s4"}], 0.5)
     assert (filled["log2_abundance"] < floor).all()
-    spread = summarize.impute_censored(spark.createDataFrame(rows, FEATURES), 0.05, max_cells=0, rounds=4).toPandas()
+    spread = summarize.impute_censored(spark.createDataFrame(rows, FEATURES), 0.05, max_cells=0).toPandas()
     both = filled.merge(spread, on=["feature", "sample"])
-    assert np.allclose(both["log2_abundance_x"], both["log2_abundance_y"], atol=0.2)
+    assert len(spread) == 48 and (both["provenance_y"] == "imputed").all()
+    assert np.allclose(both["log2_abundance_x"], both["log2_abundance_y"], atol=1e-6)
+
+
+def test_normal_ratio_over_the_whole_line():
+    from math import erfc, exp, pi, sqrt
+
+    a = np.concatenate([np.linspace(-25, 8, 500), [-300.0, 38.0]])
+    exact = [exp(-v * v / 2) / sqrt(2 * pi) / (0.5 * erfc(-v / sqrt(2))) for v in a[:-2]]
+    found = summarize._normal_ratio(a)
+    assert np.allclose(found[:-2], exact, rtol=1e-9)
+    assert found[-2] == pytest.approx(300 + 1 / 300, rel=1e-9) and 0 <= found[-1] < 1e-300
 
 
 def test_top_features_and_quantile_normalisation(spark):
@@ -331,14 +346,27 @@ def test_enrichment(spark):
     assert set(edge) <= set(sets["top"]) and len(edge) >= 15
 
 
-def test_long_rankings_are_cut_into_slices(spark, monkeypatch):
-    rows = [(f"g{i:03d}", float(100 - i)) for i in range(150)]
-    ranked = enrich.with_positions(spark.createDataFrame(rows, "gene string, metric double"))
-    sets = spark.createDataFrame([("s", f"g{i:03d}") for i in range(0, 60, 2)], "set string, gene string")
-    whole = {r["permutation"]: r["es"] for r in enrich.null_scores(ranked, sets, 5).collect()}
-    monkeypatch.setattr(enrich, "GENES_PER_SLICE", 20)
-    cut = {r["permutation"]: r["es"] for r in enrich.null_scores(ranked, sets, 5).collect()}
-    assert cut == whole
+def test_permuted_scores_are_those_of_relabelled_lists(spark):
+    rng = np.random.default_rng(4)
+    frames, sets = [], {"s": [f"g{i:03d}" for i in range(0, 60, 2)], "t": [f"g{i:03d}" for i in range(20)]}
+    rankings = {c: {f"g{i:03d}": float(v) for i, v in enumerate(rng.normal(size=150))} for c in ("one", "two")}
+    frames = [(c, g, m) for c, ranking in rankings.items() for g, m in ranking.items()]
+    ranked = enrich.with_positions(spark.createDataFrame(frames, "k string, gene string, metric double"), by=["k"])
+    frame = spark.createDataFrame([(s, g) for s, members in sets.items() for g in members], "set string, gene string")
+    found = {(r["k"], r["set"], r["permutation"]): r["es"] for r in enrich.null_scores(ranked, frame, 120, by=["k"]).collect()}
+    assert len(found) == 2 * 2 * 120
+    for comparison, ranking in rankings.items():
+        listing = sorted(ranking.items(), key=lambda x: -x[1])
+        genes = [g for g, _ in listing]
+        for permutation in (1, 101, 120):
+            drawn = enrich.drawn_positions(enrich.SEED, permutation, genes)
+            relabelled = [(genes[i], m) for i, m in zip(np.argsort(drawn), [m for _, m in listing])]
+            for name, members in sets.items():
+                want = es_reference(relabelled, set(members))[1]
+                assert found[comparison, name, permutation] == pytest.approx(want, abs=1e-9)
+    single = enrich.with_positions(ranked.where("k = 'one'").select("gene", "metric"))
+    alone = {(r["set"], r["permutation"]): r["es"] for r in enrich.null_scores(single, frame, 120).collect()}
+    assert all(alone[s, p] == pytest.approx(found["one", s, p], abs=1e-12) for s, p in alone) and len(alone) == 240
 
 
 def test_cv_quality_rules(spark):
