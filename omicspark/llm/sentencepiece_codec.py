@@ -8,6 +8,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import Column, DataFrame
@@ -18,8 +19,8 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_toke
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
-#: Texts that are encoded together, and threads that encode them.
-BATCH_TEXTS, THREADS = 256, 2
+#: Texts and characters that are encoded together, and threads that encode them.
+BATCH_TEXTS, PART_CHARS, THREADS = 256, 1 << 20, 2
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -168,6 +169,20 @@ def _codec(content: bytes, threads: int) -> Codec:
     return Codec(content, threads)
 
 
+def _parts(column: pd.Series) -> Iterator[list[str]]:
+    """The texts of a batch in parts of at most BATCH_TEXTS texts and, but for a single longer text, PART_CHARS characters."""
+    part, size = [], 0
+    for text in column:
+        text = text or ""
+        if part and (len(part) == BATCH_TEXTS or size + len(text) > PART_CHARS):
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part or not len(column):
+        yield part
+
+
 def _content(model: str) -> bytes:
     with open(model, "rb") as file:
         return file.read()
@@ -188,15 +203,12 @@ def encoded(text: Column | str, model: str, threads: int = THREADS) -> Column:
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(content, threads)
         for column in batches:
-            texts = [t or "" for t in column]
-            ids, decoded, parity = [], [], []
-            for at in range(0, len(texts), BATCH_TEXTS):
-                part = texts[at : at + BATCH_TEXTS]
-                made = codec.encode(part)
-                ids += made
-                decoded += codec.decode(made)
-                parity += [a == b for a, b in zip(made, codec.reference(part))]
-            yield pd.DataFrame({"ids": ids, "decoded": decoded, "parity": parity})
+            for texts in _parts(column):
+                made = codec.encode(texts)
+                parity = [a == b for a, b in zip(made, codec.reference(texts))]
+                # A few bytes an id, and no more than one part's ids at a time, whatever Arrow's batches hold.
+                ids = pd.Series([np.array(x, dtype=np.int32) for x in made], dtype=object)
+                yield pd.DataFrame({"ids": ids, "decoded": codec.decode(made), "parity": parity})
 
     return apply(text)
 
