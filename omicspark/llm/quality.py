@@ -22,9 +22,13 @@ STATISTICS = (
 _MARKS = [ord(c) for c in ".,;:'\"()-?"]
 
 
+#: Added to the whole of a share, so that the shares of a text of a few words say little.
+SHARE_PRIOR = 20
+
+
 def _share(part: float, whole: float) -> float:
-    """Angle of a share: its variance hardly depends on the share."""
-    return math.asin(math.sqrt(min(1.0, part / whole))) if whole > 0 else 0.0
+    """Angle of a share, whose variance hardly depends on the share, drawn to zero for a small whole."""
+    return math.asin(math.sqrt(part / (whole + SHARE_PRIOR))) if part > 0 else 0.0
 
 
 def statistics_of(text: str | None) -> list[float]:
@@ -118,7 +122,7 @@ def _moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"label": [0, 1], "moments": list(total)})
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_col: str, shrinkage: float = 0.05, ridge: float = 1e-3) -> Discriminant:
+def fit(stats: DataFrame, labels: DataFrame, label_col: str, shrinkage: float = 0.2, ridge: float = 1e-3) -> Discriminant:
     """The discriminant of all rows of ``labels`` to learn from. ``stats`` has columns id and stats.
 
     Tasks reduce their rows to moments; what reaches the driver is one row per class, place and no more.
@@ -140,7 +144,7 @@ def score_documents(
     text_col: str = "text",
     label_col: str = "quality",
     threshold: float = 0.3,
-    shrinkage: float = 0.05,
+    shrinkage: float = 0.2,
     ridge: float = 1e-3,
 ) -> DataFrame:
     """(id, held_out, score, predicted), one row per input row; label 1 likelier the higher the score.
