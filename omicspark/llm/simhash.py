@@ -183,7 +183,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         .where("_wins")
     )
     alone = F.col("_rows").eqNullSafe(1) & F.col("_id").isNotNull()
-    single = docs.join(ids.where(alone).select("_id"), docs[id_col] == F.col("_id"), "left_semi")
+    # Texts move once, to the ids that stay: a sort-merge join at every size, so the cost follows the input.
+    single = docs.join(ids.where(alone).select("_id").hint("merge"), docs[id_col] == F.col("_id"), "left_semi")
+    if ids.where(~alone).isEmpty():
+        return single
     several = docs.join(ids.where(~alone).select("_id"), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
     winners = found.where(wins).select(
         F.col(id_col).alias("_id"), F.col("fingerprint").alias("_fp"), F.col("component_key").alias("_key")
