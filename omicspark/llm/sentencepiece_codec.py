@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -21,6 +24,10 @@ UNIGRAM, BPE = 1, 2
 MARK = "▁"
 #: Texts and characters that are encoded together, and threads that encode them.
 BATCH_TEXTS, PART_CHARS, THREADS = 256, 1 << 20, 2
+#: Words whose ids a worker remembers; beyond this the memory starts anew.
+KNOWN_WORDS = 1 << 19
+_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_SPACES = re.compile(" {2,}")
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -114,12 +121,13 @@ def _merges(model: Model) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
-def rebuild(model: Model) -> Tokenizer:
-    """A tokenizers pipeline that gives the ids of the model.
+def keeps_words_apart(model: Model) -> bool:
+    """True where no piece holds the space marker after another character, so no token crosses into the next word."""
+    return not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind == NORMAL)
 
-    Where no piece holds the space marker after another character, no token crosses from a word to the next
-    marker, and the text is cut there, which keeps words short and known ones remembered.
-    """
+
+def rebuild(model: Model) -> Tokenizer:
+    """A tokenizers pipeline that gives the ids of the model."""
     if any(kind == USER_DEFINED for _, _, kind in model.pieces):
         raise ValueError("user-defined pieces are not supported")
     unknown = model.pieces[model.unknown][0]
@@ -134,15 +142,20 @@ def rebuild(model: Model) -> Tokenizer:
         raise ValueError("only unigram and BPE models are supported")
     tokenizer = Tokenizer(core)
     tokenizer.normalizer = _normalizer(model)
-    if not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind == NORMAL):
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
+    if keeps_words_apart(model):
+        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(_WORD.pattern), "isolated")
     steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     tokenizer.decoder = decoders.Sequence(steps + ([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []))
     return tokenizer
 
 
 class Codec:
-    """Encodes and decodes batches by the rebuilt pipeline, with the model's own library for parity."""
+    """Encodes and decodes batches by the rebuilt pipeline, with the model's own library for parity.
+
+    Where words stay apart, the ids of a text are those of its words one after the other. The words of a batch
+    that are not yet known go through the pipeline and the model's library together, on several threads, and are
+    remembered.
+    """
 
     def __init__(self, content: bytes, threads: int = THREADS):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -151,10 +164,73 @@ class Codec:
         self.tokenizer = rebuild(self.model)
         self.own = sentencepiece.SentencePieceProcessor(model_proto=content)
         self.threads = threads
+        self.apart = keeps_words_apart(self.model)
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
+        self.known: dict[str, bytes] = {}
+        self.altered: dict[str, str] = {}
+        self.unlike: set[str] = set()
+        # Parity of a text is that of its normal form and of each of its words, where the library can be given a
+        # word as it stands in a text; else the text itself is encoded by both.
+        self.checks_words = self.apart and self.model.escape_spaces and (self.model.dummy_prefix or not self.model.squeeze_spaces)
+
+    def normalise(self, text: str) -> str:
+        """The text as the pieces see it: the same steps as the pipeline's normalizer, without its bookkeeping."""
+        if self.charsmap is not None:
+            text = self.charsmap.normalize_str(text)
+        if self.model.squeeze_spaces:
+            text = _SPACES.sub(" ", text.strip(" "))
+        if self.model.dummy_prefix and text:
+            text = " " + text
+        return text.replace(" ", MARK) if self.model.escape_spaces else text
+
+    def learn(self, words: set[str]) -> None:
+        """Ids of words; the decoded text of those that decoding does not give back; those without parity."""
+        new = list(words)
+        ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
+        self.known.update(zip(new, map(_packed, ids)))
+        for word, text in zip(new, self.words.decode_batch(ids, skip_special_tokens=False)):
+            if text != word.replace(MARK, " "):
+                self.altered[word] = text
+        if self.checks_words:
+            # The model's library sets the first marker itself, but not for an empty text.
+            bare = [w[self.model.dummy_prefix and w[0] == MARK :].replace(MARK, " ") for w in new]
+            own = [x if t else [self.own.piece_to_id(MARK)] for t, x in zip(bare, self.reference(bare))]
+            self.unlike.update(w for w, a, b in zip(new, ids, own) if a != b)
+
+    def round(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
+        """(ids as int32 bytes, decoded text, parity with the model's own library) of each text."""
+        if not self.apart:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return list(zip(map(_packed, ids), self.decode(ids), map(eq, ids, self.reference(texts))))
+        plain = [self.normalise(t) for t in texts]
+        cut = [_WORD.findall(t) for t in plain]
+        seen = set().union(*cut)
+        new = seen - self.known.keys()
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known, self.altered, self.unlike, new = {}, {}, set(), seen
+        self.learn(new)
+        made = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        if self.checks_words:
+            parity = [self.own.normalize(t) == p and self.unlike.isdisjoint(w) for t, p, w in zip(texts, plain, cut)]
+        else:
+            parity = [ids == _packed(own) for ids, own in zip(made, self.reference(texts))]
+        decoded = []
+        for text, words in zip(plain, cut):
+            if self.altered and not self.altered.keys().isdisjoint(words):
+                text = "".join([self.altered.get(w, w) for w in words])
+            text = text.replace(MARK, " ")
+            decoded.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+        for word in new:
+            if len(word) > 64:
+                self.altered.pop(word, None)
+                self.unlike.discard(word)
+                del self.known[word]
+        return list(zip(made, decoded, parity))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [e.ids for e in found]
+        return [np.frombuffer(ids, dtype=np.int32).tolist() for ids, _, _ in self.round(texts)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -164,6 +240,10 @@ class Codec:
         return self.own.encode(texts, num_threads=self.threads)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 @functools.lru_cache(maxsize=2)
 def _codec(content: bytes, threads: int) -> Codec:
     return Codec(content, threads)
@@ -195,7 +275,7 @@ def encoded(text: Column | str, model: str, threads: int = THREADS) -> Column:
     """Struct (ids, decoded, parity) of a text column under the model file at the path ``model``.
 
     ``ids`` are those of the tokenizers pipeline; ``parity`` says whether the model's own library gives the
-    same; ``decoded`` is the text of the ids. The file, under a MB, is read on the driver and travels along.
+    same (see ``Codec``); ``decoded`` is the text of the ids. The file, under a MB, is read on the driver and travels along.
     """
     content = _content(model)
 
@@ -204,11 +284,10 @@ def encoded(text: Column | str, model: str, threads: int = THREADS) -> Column:
         codec = _codec(content, threads)
         for column in batches:
             for texts in _parts(column):
-                made = codec.encode(texts)
-                parity = [a == b for a, b in zip(made, codec.reference(texts))]
+                made = codec.round(texts)
                 # A few bytes an id, and no more than one part's ids at a time, whatever Arrow's batches hold.
-                ids = pd.Series([np.array(x, dtype=np.int32) for x in made], dtype=object)
-                yield pd.DataFrame({"ids": ids, "decoded": codec.decode(made), "parity": parity})
+                ids = pd.Series([np.frombuffer(x, dtype=np.int32) for x, _, _ in made], dtype=object)
+                yield pd.DataFrame({"ids": ids, "decoded": [x[1] for x in made], "parity": [x[2] for x in made]})
 
     return apply(text)
 

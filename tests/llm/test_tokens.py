@@ -105,6 +105,16 @@ def test_unigram_models(byte_fallback, squeeze):
     codec = sentencepiece_codec.Codec(unigram(byte_fallback, squeeze))
     texts = ["the cats", "cat  the", " the cat ", "chat é cat", "", "   ", "the\ncat"]
     assert codec.encode(texts) == codec.reference(texts)
+    assert all(parity for _, _, parity in codec.round(texts))
+
+
+def test_a_difference_is_noticed():
+    codec = sentencepiece_codec.Codec(open(PIECES, "rb").read())
+    pieces = [(p, i) for i, (p, _, _) in enumerate(codec.model.pieces)]
+    wrong = {p: i for p, i in pieces} | {"▁the": 300, pieces[300][0]: dict(pieces)["▁the"]}
+    model = sentencepiece_codec.models.BPE(wrong, sentencepiece_codec._merges(codec.model), unk_token="<unk>", byte_fallback=True)
+    codec.words = Tokenizer(model)
+    assert [parity for _, _, parity in codec.round(["of the sea", "of sea"])] == [False, True]
 
 
 def test_a_cut_off_file_is_refused():
@@ -128,3 +138,21 @@ def test_encode_and_decode_rows(spark):
     nothing = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert sentencepiece_codec.decode(nothing, PIECES).first().text is None
     assert sentencepiece_codec.encode(spark.createDataFrame([], "doc_id long, text string"), PIECES).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=60) | st.text(alphabet="ab▁ é\n1", max_size=30), max_size=4))
+def test_words_one_by_one_equal_the_whole_pipeline(codec, texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    whole = [e.ids for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    made = codec.round(texts)
+    assert codec.encode(texts) == whole
+    assert [text for _, text, _ in made] == codec.decode(whole)
+    assert [parity for _, _, parity in made] == [a == b for a, b in zip(whole, codec.reference(texts))]
+
+
+def test_known_words_are_bounded(codec, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "KNOWN_WORDS", 5)
+    texts = ["one two three", "four five six seven eight", "one nine"]
+    assert [codec.encode([t])[0] for t in texts] == codec.reference(texts)
+    assert codec.encode(texts) == codec.reference(texts)
