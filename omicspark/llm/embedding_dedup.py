@@ -14,12 +14,12 @@ from omicspark.llm.components import connected_components, merge
 from omicspark.session import cut_lineage
 
 #: Vectors of one block of a tile.
-TILE_ROWS = 4096
+TILE_ROWS = 2048
 _SIDE = 1024
 #: Products of int8 codes of so many dimensions are whole numbers that a float32 sum holds exactly.
 _EXACT_DIMS = 1024
 _CODED = (
-    "label long, dims int, rep long, copies long, codes binary, scale double, length double, error double, raw binary"
+    "label string, dims int, rep long, copies long, codes binary, scale double, length double, error double, raw binary"
 )
 
 
@@ -114,7 +114,8 @@ def _tile(threshold: float, kind: str):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         rep, copies = (np.asarray(table[c]) for c in ("rep", "copies"))
-        label, dims = np.asarray(table["label"]), np.asarray(table["dims"])
+        label = np.asarray(table["label"].combine_chunks().dictionary_encode().indices)
+        dims = np.asarray(table["dims"])
         first, second, own = (np.asarray(table[c]) for c in ("first", "second", "own"))
         out_rep, out_root, out_links = [], [], []
         order = np.lexsort((dims, label))
@@ -171,11 +172,11 @@ def near_duplicates(
     own = own.withColumn("vector", F.when(can_link, F.col("vector")))
     classes = cut_lineage(
         own.where("vector IS NOT NULL")
-        .groupBy(F.xxhash64("label").alias("label_key"), "label", "vector")
+        .groupBy("label", "vector")
         .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     )
     coded = cut_lineage(
-        classes.select("label_key", F.size("vector").alias("dims"), F.col("rep").cast("long"), "copies", "vector").mapInArrow(
+        classes.select(F.col("label").cast("string"), F.size("vector").alias("dims"), F.col("rep").cast("long"), "copies", "vector").mapInArrow(
             _encode, _CODED
         )
     )
