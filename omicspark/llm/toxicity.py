@@ -166,7 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             if left >= 0:
                 picked.append((row["id"], row["mark"], label))
     chosen = spark.createDataFrame(picked, f"id {own.schema['id'].dataType.simpleString()}, mark long, label int")
-    rows = own.join(chosen, "id").where(F.xxhash64("text") == F.col("mark")).select("label", "mark", "text").collect()
+    # At most two times SAMPLE_DOCS rows of three numbers, so no text has to move to meet them.
+    rows = own.join(F.broadcast(chosen), "id").where(F.xxhash64("text") == F.col("mark")).select("label", "mark", "text").collect()
     texts = {(r["label"], r["mark"]): r["text"] for r in rows}
     return fit(*([texts[k] for k in sorted(texts) if k[0] == label] for label in (1, 0)), log_odds)
 
