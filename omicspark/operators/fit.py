@@ -8,6 +8,7 @@ grouped-map task never holds more rows than the design has samples.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,9 +29,11 @@ from omicspark.session import cut_lineage
 LEVEL = "level"
 ZERO_VARIANCE = 1e-10
 HUBER_K = 1.345
+#: The unscaled covariance of coefficients i and j is inverse[i] where i = j, plus shifts[i] . shifts[j]:
+#: a number per condition and, with batches, one more per batch.
 FIT_SCHEMA = (
-    "protein string, conditions array<string>, coef array<double>, "
-    "cov array<array<double>>, sigma double, df double, n bigint"
+    "protein string, conditions array<string>, coef array<double>, inverse array<double>, "
+    "shifts array<array<double>>, sigma double, df double, n bigint"
 )
 
 
@@ -112,27 +115,58 @@ def contrast_group_means(
 # ----------------------------------------------------------------- robust models
 
 
-def _indicator(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted names and the 0/1 column of each."""
-    codes, names = pd.factorize(values, sort=True)
-    x = np.zeros((len(values), len(names)))
-    x[np.arange(len(values)), codes] = 1.0
-    return names, x
-
-
-def _weighted(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Coefficients, unscaled covariance and rank of a weighted fit."""
-    cross = x.T @ (x * w[:, None])
-    right = x.T @ (w * y)
-    total = np.diag(cross)
-    if np.count_nonzero(cross) == np.count_nonzero(total):
-        # Indicator columns that do not overlap: plain weighted means.
-        inverse = np.divide(1.0, total, out=np.zeros_like(total), where=total > 0)
-        return inverse * right, np.diag(inverse), int((total > 0).sum())
-    values, vectors = np.linalg.eigh(cross)
-    keep = values > max(values.max(), 0) * 1e-10
-    inverse = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T
-    return inverse @ right, inverse, int(keep.sum())
+@dataclass
+class Groups:
+    """Rows by condition and, if asked for, by batch, as codes; no design matrix is built."""
+
+    condition: np.ndarray
+    names: np.ndarray
+    batch: np.ndarray | None = None
+    batches: int = 0
+
+    @classmethod
+    def of(cls, conditions: np.ndarray, batches: np.ndarray | None = None) -> Groups:
+        codes, names = pd.factorize(conditions, sort=True)
+        if batches is None:
+            return cls(codes, names)
+        batch, found = pd.factorize(batches, sort=True)
+        return cls(codes, names, batch, len(found))
+
+    def solve(self, y: np.ndarray, w: np.ndarray) -> Solution:
+        """Weighted least squares of condition means and batch shifts from the first batch.
+
+        Conditions are solved for the batches, so only a batch x batch matrix is decomposed.
+        """
+        k = len(self.names)
+        total = np.bincount(self.condition, w, k)
+        inverse = np.divide(1.0, total, out=np.zeros(k), where=total > 0)
+        mean = inverse * np.bincount(self.condition, w * y, k)
+        rank = int((total > 0).sum())
+        if self.batch is None:
+            return Solution(mean, np.zeros(0), inverse, np.zeros((k, 0)), rank)
+        b = self.batches
+        cross = np.bincount(self.condition * b + self.batch, w, k * b).reshape(k, b)[:, 1:]
+        share = inverse[:, None] * cross
+        rest = np.diag(np.bincount(self.batch, w, b)[1:]) - cross.T @ share
+        right = np.bincount(self.batch, w * y, b)[1:] - cross.T @ mean
+        values, vectors = np.linalg.eigh(rest) if b > 1 else (np.zeros(0), np.zeros((0, 0)))
+        keep = values > max(total.max(initial=0.0), 1e-300) * 1e-10
+        root = vectors[:, keep] / np.sqrt(values[keep])
+        shift = root @ (root.T @ right)
+        return Solution(mean - share @ shift, shift, inverse, share @ root, rank + int(keep.sum()))
+
+    def fitted(self, solution: Solution) -> np.ndarray:
+        out = solution.coef[self.condition]
+        return out if self.batch is None else out + np.concatenate([[0.0], solution.shift])[self.batch]
+
+
+@dataclass
+class Solution:
+    coef: np.ndarray
+    shift: np.ndarray
+    inverse: np.ndarray
+    shifts: np.ndarray
+    rank: int
 
 
 def _middle(values: np.ndarray) -> float:
@@ -141,47 +175,46 @@ def _middle(values: np.ndarray) -> float:
 
 
 def huber_fit(
-    x: np.ndarray, y: np.ndarray, robust: bool = True, rounds: int = 10, tolerance: float = 1e-6
-) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Coefficients, unscaled covariance, sigma and residual df of an M-estimate."""
+    groups: Groups, y: np.ndarray, robust: bool = True, rounds: int = 10, tolerance: float = 1e-6
+) -> tuple[Solution, float, float]:
+    """Solution, sigma and residual df of an M-estimate."""
     w = np.ones(len(y))
-    beta, cov, rank = _weighted(x, y, w)
+    found = groups.solve(y, w)
     if robust:
         for _ in range(rounds):
-            rest = y - x @ beta
+            rest = y - groups.fitted(found)
             scale = _middle(np.abs(rest - _middle(rest))) / 0.6745
             if not np.isfinite(scale) or scale < 1e-12:
                 break
             size = np.abs(rest) / scale
             w = np.where(size <= HUBER_K, 1.0, HUBER_K / np.maximum(size, 1e-300))
-            new, cov, rank = _weighted(x, y, w)
-            moved = np.abs(new - beta).max()
-            beta = new
+            new = groups.solve(y, w)
+            moved = max(np.abs(new.coef - found.coef).max(), np.abs(new.shift - found.shift).max(initial=0.0))
+            found = new
             if moved < tolerance:
                 break
-    freedom = float(w.sum() - rank)
-    rest = y - x @ beta
+    freedom = float(w.sum() - found.rank)
+    rest = y - groups.fitted(found)
     sigma = math.sqrt(float((w * rest**2).sum()) / freedom) if freedom > 0 else math.nan
-    return beta, cov, sigma, freedom
+    return found, sigma, freedom
 
 
 def fit_models(df: DataFrame, robust: bool = True, max_rounds: int = 10, use_batch: bool = False) -> DataFrame:
     """One model per protein: condition means, with batch shifts where asked for.
 
     Cache or write the result: it is fitted once and tested for every contrast.
+    Ten rounds of weights are the method's definition.
     """
 
     def run(protein: str, columns: Columns) -> Columns:
-        conditions, x = _indicator(columns["condition"])
-        k = len(conditions)
-        if use_batch:
-            x = np.hstack([x, _indicator(columns["batch"])[1][:, 1:]])
-        beta, cov, sigma, freedom = huber_fit(x, columns[LEVEL], robust, max_rounds)
+        groups = Groups.of(columns["condition"], columns["batch"] if use_batch else None)
+        found, sigma, freedom = huber_fit(groups, columns[LEVEL], robust, max_rounds)
         return {
             "protein": [protein],
-            "conditions": [list(conditions)],
-            "coef": [beta[:k].tolist()],
-            "cov": [cov[:k, :k].tolist()],
+            "conditions": [list(groups.names)],
+            "coef": [found.coef.tolist()],
+            "inverse": [found.inverse.tolist()],
+            "shifts": [found.shifts.tolist()],
             "sigma": [None if math.isnan(sigma) else sigma],
             "df": [freedom],
             "n": [len(columns[LEVEL])],
@@ -213,34 +246,26 @@ def contrast_models(
     terms = contrasts.groupBy("comparison_id").agg(F.count(F.lit(1)).alias("terms"))
     weighted = contrasts.join(terms, "comparison_id")
     spread = fits.select(
-        "protein", "test_sigma", "test_df",
-        F.posexplode(F.arrays_zip("conditions", "coef", "cov")).alias("at", "z"),
-    ).select(
-        "protein", "test_sigma", "test_df", "at",
-        F.col("z.conditions").alias("condition"),
-        F.col("z.coef").alias("coef"),
-        F.col("z.cov").alias("cov"),
-    )
+        "protein", "test_sigma", "test_df", F.explode(F.arrays_zip("conditions", "coef", "inverse", "shifts")).alias("z")
+    ).select("protein", "test_sigma", "test_df", F.col("z.conditions").alias("condition"), "z.coef", "z.inverse", "z.shifts")
     joined = spread.join(weighted, "condition")
-    # The list holds one entry per term of one contrast.
-    part = F.struct(F.col("at"), F.col("weight"), F.col("cov"))
+    w = F.col("weight")
     grouped = joined.groupBy("protein", "comparison_id").agg(
-        F.sum(F.col("weight") * F.col("coef")).alias("log2_fold_change"),
-        F.collect_list(part).alias("parts"),
+        F.sum(w * F.col("coef")).alias("log2_fold_change"),
+        F.sum(w * w * F.col("inverse")).alias("own"),
+        # One number per batch for each term of one contrast.
+        F.collect_list(F.transform("shifts", lambda v: v * w)).alias("shifted"),
+        F.count(F.lit(1)).alias("found"),
         F.max("terms").alias("terms"),
         F.max("test_sigma").alias("s"),
         F.max("test_df").alias("df"),
-    ).where(F.size("parts") == F.col("terms"))
-    unscaled = F.aggregate(
-        "parts",
-        F.lit(0.0),
-        lambda total, a: total
-        + F.aggregate(
-            "parts",
-            F.lit(0.0),
-            lambda inner, b: inner + a["weight"] * b["weight"] * F.get(a["cov"], b["at"]),
-        ),
+    ).where(F.col("found") == F.col("terms"))
+    summed = F.aggregate(
+        "shifted",
+        F.transform(F.get("shifted", F.lit(0)), lambda v: v * 0),
+        lambda total, part: F.zip_with(total, part, lambda a, b: a + b),
     )
+    unscaled = F.col("own") + F.aggregate(summed, F.lit(0.0), lambda total, v: total + v * v)
     out = grouped.select(
         "protein", "comparison_id", "log2_fold_change",
         (F.col("s") * F.sqrt(unscaled)).alias("standard_error"),
@@ -306,17 +331,16 @@ def remove_batch_effect(df: DataFrame) -> DataFrame:
 
     def run(protein: str, columns: Columns) -> Columns:
         y = columns[LEVEL]
-        _, x = _indicator(columns["condition"])
-        _, batch = _indicator(columns["batch"])
-        # Sum-to-zero coding keeps the mean over batches.
-        z = batch[:, :-1] - batch[:, -1:]
-        beta, _, _ = _weighted(np.hstack([x, z]), y, np.ones(len(y)))
+        groups = Groups.of(columns["condition"], columns["batch"])
+        shift = np.concatenate([[0.0], groups.solve(y, np.ones(len(y))).shift])
+        # Shifts around their mean keep the mean over batches.
+        effect = (shift - shift.mean())[groups.batch]
         return {
             "protein": np.repeat(protein, len(y)).astype(object),
             "sample": columns["sample"],
             "condition": columns["condition"],
             "batch": columns["batch"],
-            LEVEL: y - z @ beta[x.shape[1]:],
+            LEVEL: y - effect,
         }
 
     schema = "protein string, sample string, condition string, batch string, level double"

@@ -247,10 +247,44 @@ def test_flat_proteins_get_no_test(spark):
 
 
 def test_huber_fit_resists_an_outlier():
-    x = np.ones((9, 1))
     y = np.array([1.0, 1.1, 0.9, 1.05, 0.95, 1.0, 1.02, 0.98, 50.0])
-    beta, _, _, _ = fit.huber_fit(x, y, rounds=50)
-    assert abs(beta[0] - 1.0) < 0.2
+    found, _, _ = fit.huber_fit(fit.Groups.of(np.repeat("a", 9)), y, rounds=50)
+    assert abs(found.coef[0] - 1.0) < 0.2
+
+
+@pytest.mark.parametrize("batches", [None, ["x", "y", "z"]])
+def test_models_equal_dense_least_squares(spark, batches):
+    rng = np.random.default_rng(6)
+    n = 60
+    condition = rng.choice(["A", "B", "C", "D"], n)
+    batch = rng.choice(batches, n) if batches else np.repeat("x", n)
+    y, w = rng.normal(size=n), rng.uniform(0.2, 1, n)
+    x = np.stack([condition == c for c in "ABCD"], axis=1).astype(float)
+    if batches:
+        x = np.hstack([x, np.stack([batch == b for b in batches[1:]], axis=1)])
+    cov = np.linalg.inv(x.T @ (x * w[:, None]))
+    beta = cov @ x.T @ (w * y)
+    found = fit.Groups.of(condition, batch if batches else None).solve(y, w)
+    assert np.allclose(found.coef, beta[:4]) and np.allclose(found.shift, beta[4:]) and found.rank == x.shape[1]
+    assert np.allclose(np.diag(found.inverse) + found.shifts @ found.shifts.T, cov[:4, :4])
+    rows = [("p", f"s{i}", str(c), str(b), float(v)) for i, (c, b, v) in enumerate(zip(condition, batch, y))]
+    weights = {"A": 0.5, "B": 0.5, "C": -1.0}
+    contrast = spark.createDataFrame([("k", c, v) for c, v in weights.items()], CONTRAST_SCHEMA)
+    models = fit.fit_models(spark.createDataFrame(rows, LEVELS), robust=False, use_batch=bool(batches))
+    row = fit.contrast_models(models, contrast).first()
+    cov = np.linalg.inv(x.T @ x)
+    beta = cov @ x.T @ y
+    l = np.array([weights.get(c, 0.0) for c in "ABCD"] + [0.0] * (x.shape[1] - 4))
+    sigma = math.sqrt(((y - x @ beta) ** 2).sum() / (n - x.shape[1]))
+    assert row["log2_fold_change"] == pytest.approx(l @ beta)
+    assert row["standard_error"] == pytest.approx(sigma * math.sqrt(l @ cov @ l))
+
+
+def test_a_model_of_many_conditions_stays_small():
+    k = 2000
+    condition, batch = np.repeat(np.arange(k), 3), np.tile(["x", "y", "z"], k)
+    found = fit.Groups.of(condition, batch).solve(np.arange(3.0 * k), np.ones(3 * k))
+    assert found.inverse.shape == (k,) and found.shifts.shape == (k, 2) and found.rank == k + 2
 
 
 def test_batch_effect_is_removed(spark):
