@@ -599,7 +599,7 @@ ORDER_COMPARISONS = [
 
 @query(
     "contrasts_by_criteria",
-    "J3 P17",
+    "J19 P17",
     """WITH c AS (SELECT DISTINCT o_orderpriority AS drug, o_orderstatus AS time, o_orderpriority || '_' || o_orderstatus AS condition FROM orders),
 side AS (SELECT 'F+1-URGENT_vs_5-LOW+F' AS id, condition, 1 AS sign FROM c WHERE drug = '1-URGENT' AND time = 'F'
   UNION ALL SELECT 'F+1-URGENT_vs_5-LOW+F', condition, -1 FROM c WHERE drug = '5-LOW' AND time = 'F'
@@ -613,7 +613,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "unmatched_comparisons",
-    "J3 P17",
+    "J19 P17",
     """SELECT 'F_vs_never' AS comparison_id, 'group2' AS side, 'never' AS label FROM orders WHERE o_orderstatus <> 'never' LIMIT 1""",
 )
 def _(t: Tables) -> DataFrame:

@@ -206,10 +206,14 @@ SELECT protein, feature, l.sample, round({_shift}, 6) AS log2_abundance FROM log
 @query(
     "normalize_quantiles",
     "J2",
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY log2_abundance, protein, feature) AS rk FROM logs),
-m AS (SELECT rk, avg(log2_abundance) AS v FROM r GROUP BY rk),
-k AS (SELECT r.*, avg(m.v) OVER (PARTITION BY r.sample, r.log2_abundance) AS nv FROM r JOIN m USING (rk))
-SELECT protein, feature, sample, round(nv, 6) AS log2_abundance FROM k""",
+    """WITH s AS (SELECT *, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY sample) AS n, lead(log2_abundance) OVER w AS nxt
+  FROM logs WINDOW w AS (PARTITION BY sample ORDER BY log2_abundance)),
+f AS (SELECT count(*) - 1 AS final FROM (SELECT DISTINCT protein, feature FROM logs)),
+grid AS (SELECT sample, j, CASE WHEN n = 1 THEN 0 ELSE j * (n - 1) / final END AS x FROM (SELECT DISTINCT sample, n FROM s), f, generate_series(0, final) AS g(j)),
+profile AS (SELECT j, avg(log2_abundance + (x - p) * coalesce(nxt - log2_abundance, 0)) AS m FROM grid JOIN s ON s.sample = grid.sample AND p = floor(x) GROUP BY j),
+stepped AS (SELECT j, m, coalesce(lead(m) OVER (ORDER BY j), m) AS m1 FROM profile),
+ranked AS (SELECT s.*, CASE WHEN n = 1 THEN final / 2 ELSE avg(p) OVER (PARTITION BY sample, log2_abundance) * final / (n - 1) END AS place FROM s, f)
+SELECT protein, feature, sample, round(m + (place - j) * (m1 - m), 6) AS log2_abundance FROM ranked JOIN stepped ON j = floor(place)""",
     ("logs",),
 )
 def _(t: Tables) -> DataFrame:

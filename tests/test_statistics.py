@@ -197,6 +197,25 @@ def test_top_features_and_quantile_normalisation(spark):
         assert np.allclose(np.sort(out[column]), np.sort(out.iloc[:, 0]))
 
 
+def test_quantiles_of_samples_with_gaps(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30, 4)).round(1)
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 3] = np.nan
+    x[4, 3] = 2.5
+    grid = np.arange(30) / 29
+    sorted_values = [np.sort(c[~np.isnan(c)]) for c in x.T]
+    profile = np.mean([np.interp(grid, np.linspace(0, 1, len(v)), v) if len(v) > 1 else np.repeat(v, 30) for v in sorted_values], axis=0)
+    rows = [(f"p{i}", "f", f"s{j}", float(v)) for i, r in enumerate(x) for j, v in enumerate(r) if not np.isnan(v)]
+    rows += [(f"p{i}", "f", "s0", None) for i in range(30) if np.isnan(x[i, 0])]
+    found = {(r[0], r[2]): r[3] for r in normalize.normalize_quantiles(spark.createDataFrame(rows, FEATURES)).collect()}
+    for j, v in enumerate(sorted_values):
+        for i in np.flatnonzero(~np.isnan(x[:, j])):
+            rank = np.flatnonzero(v == x[i, j]).mean()
+            place = rank / (len(v) - 1) if len(v) > 1 else 0.5
+            assert found[f"p{i}", f"s{j}"] == pytest.approx(np.interp(place, grid, profile), abs=1e-9)
+
+
 def level_rows(rng, proteins=30, effect=4.0):
     rows = []
     for p in range(proteins):
