@@ -66,6 +66,20 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, value))
 
 
+def normal_tail(z: np.ndarray) -> np.ndarray:
+    """P(Z >= z) for z >= 0: a continued fraction from 1 on, the series of the distribution below."""
+    far, near = np.maximum(z, 1.0), np.minimum(z, 1.0)
+    fraction = far.copy()
+    for k in range(200, 0, -1):
+        fraction = far + k / fraction
+    term = total = near
+    for k in range(1, 40):
+        term = term * near * near / (2 * k + 1)
+        total = total + term
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    return np.where(z >= 1.0, density / fraction, 0.5 - density * total)
+
+
 def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """P(|T| >= |t|) of Student's t; the normal tail for infinite df."""
     t, df = np.broadcast_arrays(np.asarray(t, dtype=float), np.asarray(df, dtype=float))
@@ -77,7 +91,7 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
         d, s = df[use], t[use] ** 2
         out[use] = incomplete_beta(d / 2, np.full(d.shape, 0.5), d / (d + s))
     if (ok & wide).any():
-        out[ok & wide] = [math.erfc(abs(v) / math.sqrt(2)) for v in t[ok & wide]]
+        out[ok & wide] = 2 * normal_tail(np.abs(t[ok & wide]))
     out[np.isinf(t) & (df > 0)] = 0.0
     return out
 

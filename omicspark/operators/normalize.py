@@ -127,13 +127,17 @@ def global_standards(df: DataFrame, standards: list[str], value: str = "log2_abu
 def missing_cells(df: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """(protein, feature, sample) cells of the feature x sample matrix without a value.
 
-    A feature lists its own samples (as many as the design has), so only the
-    gaps become rows; the full grid is never built.
+    A feature lists the numbers of its own samples (as many as the design has),
+    so only the gaps become rows; the full grid is never built.
     """
-    names = (samples if samples is not None else df).agg(F.sort_array(F.collect_set("sample"))).scalar()
-    have = df.groupBy(*FEATURE).agg(F.collect_set("sample").alias("__have"))
-    gaps = have.withColumn("__all", names)
-    return gaps.select(*FEATURE, F.explode(F.array_except("__all", "__have")).alias("sample"))
+    names = (samples if samples is not None else df).select("sample").where("sample IS NOT NULL").distinct()
+    # One row per sample of the design.
+    index = cut_lineage(names.withColumn("__at", F.row_number().over(Window.orderBy("sample")) - 1))
+    count = index.count()
+    have = df.join(index, "sample", "left").groupBy(*FEATURE).agg(F.collect_set("__at").alias("__have"))
+    every = F.sequence(F.lit(0), F.lit(count - 1)) if count else F.array().cast("array<int>")
+    gaps = have.select(*FEATURE, F.explode(F.array_except(every, F.col("__have"))).alias("__at"))
+    return gaps.join(index, "__at").select(*FEATURE, "sample")
 
 
 def impute(
