@@ -26,6 +26,7 @@ MARK = "▁"
 BATCH_TEXTS, PART_CHARS, THREADS = 256, 1 << 20, 2
 #: Words whose ids a worker remembers; beyond this the memory starts anew.
 KNOWN_WORDS = 1 << 19
+_TWO_MARKS = MARK * 2
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _SPACES = re.compile(" {2,}")
 
@@ -168,6 +169,8 @@ class Codec:
         self.words = Tokenizer(self.tokenizer.model)
         self.words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
+        self.lead = MARK if self.model.dummy_prefix and self.model.escape_spaces else ""
+        self.texts = [p if kind == NORMAL else None for p, _, kind in self.model.pieces]
         self.known: dict[str, bytes] = {}
         self.altered: dict[str, str] = {}
         self.unlike: set[str] = set()
@@ -185,19 +188,36 @@ class Codec:
             text = " " + text
         return text.replace(" ", MARK) if self.model.escape_spaces else text
 
-    def learn(self, words: set[str]) -> None:
+    def keys(self, plain: str) -> list[str]:
+        """The words of a normal form. Where each begins with a marker, their keys go without that one."""
+        if not self.lead:
+            return _WORD.findall(plain)
+        if _TWO_MARKS in plain or plain[-1:] == MARK:
+            return [w[1:] for w in _WORD.findall(plain)]
+        return plain[1:].split(MARK) if plain else []
+
+    def learn(self, keys: set[str]) -> None:
         """Ids of words; the decoded text of those that decoding does not give back; those without parity."""
-        new = list(words)
-        ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
+        new = list(keys)
+        words = [self.lead + k for k in new]
+        ids = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
         self.known.update(zip(new, map(_packed, ids)))
-        for word, text in zip(new, self.words.decode_batch(ids, skip_special_tokens=False)):
-            if text != word.replace(MARK, " "):
-                self.altered[word] = text
+        other, piece = [], self.texts.__getitem__
+        for i, (word, found) in enumerate(zip(words, ids)):
+            try:
+                same = "".join(map(piece, found)) == word
+            except TypeError:  # a byte or unknown piece
+                same = False
+            if not same:
+                other.append(i)
+        for i, text in zip(other, self.words.decode_batch([ids[i] for i in other], skip_special_tokens=False)):
+            if text != words[i].replace(MARK, " "):
+                self.altered[new[i]] = text
         if self.checks_words:
             # The model's library sets the first marker itself, but not for an empty text.
-            bare = [w[self.model.dummy_prefix and w[0] == MARK :].replace(MARK, " ") for w in new]
+            bare = [k.replace(MARK, " ") for k in new]
             own = [x if t else [self.own.piece_to_id(MARK)] for t, x in zip(bare, self.reference(bare))]
-            self.unlike.update(w for w, a, b in zip(new, ids, own) if a != b)
+            self.unlike.update(k for k, a, b in zip(new, ids, own) if a != b)
 
     def round(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
         """(ids as int32 bytes, decoded text, parity with the model's own library) of each text."""
@@ -205,28 +225,28 @@ class Codec:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return list(zip(map(_packed, ids), self.decode(ids), map(eq, ids, self.reference(texts))))
         plain = [self.normalise(t) for t in texts]
-        cut = [_WORD.findall(t) for t in plain]
+        cut = [self.keys(t) for t in plain]
         seen = set().union(*cut)
         new = seen - self.known.keys()
         if len(self.known) + len(new) > KNOWN_WORDS:
             self.known, self.altered, self.unlike, new = {}, {}, set(), seen
         self.learn(new)
-        made = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        made = [b"".join(map(self.known.__getitem__, keys)) for keys in cut]
         if self.checks_words:
-            parity = [self.own.normalize(t) == p and self.unlike.isdisjoint(w) for t, p, w in zip(texts, plain, cut)]
+            parity = [self.own.normalize(t) == p and self.unlike.isdisjoint(k) for t, p, k in zip(texts, plain, cut)]
         else:
             parity = [ids == _packed(own) for ids, own in zip(made, self.reference(texts))]
         decoded = []
-        for text, words in zip(plain, cut):
-            if self.altered and not self.altered.keys().isdisjoint(words):
-                text = "".join([self.altered.get(w, w) for w in words])
+        for text, keys in zip(plain, cut):
+            if self.altered and not self.altered.keys().isdisjoint(keys):
+                text = "".join([self.altered.get(k, self.lead + k) for k in keys])
             text = text.replace(MARK, " ")
             decoded.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
-        for word in new:
-            if len(word) > 64:
-                self.altered.pop(word, None)
-                self.unlike.discard(word)
-                del self.known[word]
+        for key in new:
+            if len(key) > 64:
+                self.altered.pop(key, None)
+                self.unlike.discard(key)
+                del self.known[key]
         return list(zip(made, decoded, parity))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
