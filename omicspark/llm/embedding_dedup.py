@@ -182,7 +182,8 @@ def near_duplicates(
     )
     sizes = cut_lineage(coded.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("members")))
     total = sizes.where(F.col("members") <= tile_rows).agg(F.sum("members")).first()[0] or 0
-    shared_tiles = max(1, -(-total // tile_rows))
+    # Four times as many tiles as would hold them, since a few labels fall unevenly.
+    shared_tiles = 4 * max(1, -(-total // tile_rows))
     big = F.col("members") > tile_rows
     tiles = (
         coded.join(sizes, ["label", "dims"])
