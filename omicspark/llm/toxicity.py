@@ -21,8 +21,9 @@ from omicspark.session import cut_lineage
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 24 << 20
 #: Sizes of the two dictionaries, words of a window, and the range of a window's saving in bytes.
 ORDINARY_BYTES, TOXIC_BYTES, WINDOW_WORDS, SAVING = 8192, 1024, 16, 24
-#: A piece of text teaches the toxic dictionary if its chi-square share reaches this part of the best one's.
-PIECE_SHARE = 0.2
+#: A word teaches the toxic dictionary if its log likelihood ratio statistic (G) between the classes reaches this,
+#: however often other words stand in toxic texts. With one toxic document in nine it takes 16 toxic documents.
+PIECE_EVIDENCE = 70.0
 _LEVEL = 9
 #: ASCII letters become small and every other ASCII character but a digit a space.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -75,16 +76,21 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
 
 
 def _toxic_pieces(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
-    """Words whose share of toxic documents exceeds that of ordinary ones by far, each document counted once."""
+    """Words that stand in toxic documents significantly more often, each document counted once.
+
+    Small samples cannot reach the level; there the words with at least half of the best one's evidence count.
+    """
     inside, outside = Counter(w for d in toxic for w in set(d)), Counter(w for d in ordinary for w in set(d))
     n, m = max(1, len(toxic)), max(1, len(ordinary))
-    weight = {}
+    evidence = {}
     for word, count in inside.items():
-        lead = count / n - outside[word] / m
-        if lead > 0 and count > 1:
-            weight[word] = lead * lead / ((count + outside[word]) / (n + m))
-    best = max(weight.values(), default=0.0)
-    return {w for w, x in weight.items() if x >= PIECE_SHARE * best}
+        other = outside[word]
+        if count > 1 and count / n > other / m:
+            expected = (count + other) * n / (n + m)
+            rest = other * math.log(other / (count + other - expected)) if other else 0.0
+            evidence[word] = 2 * (count * math.log(count / expected) + rest)
+    level = min(PIECE_EVIDENCE, max(evidence.values(), default=0.0) / 2)
+    return {w for w, x in evidence.items() if x >= level}
 
 
 @dataclass(frozen=True)

@@ -114,3 +114,16 @@ def test_windows_cover_the_whole_text():
     text = "One, two. " * 501
     assert b"".join(toxicity.windows(text)).split() == [b"one", b"two"] * 501
     assert toxicity.windows(None) == toxicity.windows(" .. ") == []
+
+
+def test_rare_toxic_words_are_learned_beside_a_common_one():
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i:x}ord{i * 7919 % 1000}" for i in range(400)])
+    rare = ["grumblefax", "snidewort", "vilethorn", "muckspite", "harshgib", "oafdrool", "blightcur", "toadknave", "dungpriss", "quillboor"]
+    plain = lambda: list(rng.choice(words, 40))
+    ordinary = [" ".join(plain()) for _ in range(2000)]
+    toxic = [" ".join([*plain(), "dreadful" if i % 2 else rare[i // 2 % 10], *plain()]) for i in range(500)]
+    model = toxicity.fit(toxic, ordinary, float(np.log(500 / 2000)))
+    for word in ("dreadful", *rare):
+        assert np.mean(model.score([" ".join([*plain(), word, *plain()]) for _ in range(50)]) >= 0.5) > 0.8, word
+    assert np.mean(model.score([" ".join(plain()) for _ in range(200)]) >= 0.5) < 0.02
