@@ -156,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model of a bounded sample of labelled rows that are not held out.
 
     Of each class the documents with the smallest hashes of their text are taken, each distinct text once, up
-    to SAMPLE_DOCS documents and SAMPLE_BYTES of text. Only they reach the driver.
+    to SAMPLE_DOCS documents and SAMPLE_BYTES of text; a text that does not fit is passed over. Only they reach
+    the driver.
     """
     spark: SparkSession = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
@@ -168,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for label in (0, 1):
         left = SAMPLE_BYTES
         for row in known.where(F.col("label") == label).orderBy("mark", "id").limit(SAMPLE_DOCS).collect():
-            left -= row["size"]
-            if left >= 0:
+            if row["size"] <= left:
+                left -= row["size"]
                 picked.append((row["id"], row["mark"], label))
     chosen = spark.createDataFrame(picked, f"id {own.schema['id'].dataType.simpleString()}, mark long, label int")
     # At most two times SAMPLE_DOCS rows of three numbers, so no text has to move to meet them.

@@ -127,3 +127,17 @@ def test_rare_toxic_words_are_learned_beside_a_common_one():
     for word in ("dreadful", *rare):
         assert np.mean(model.score([" ".join([*plain(), word, *plain()]) for _ in range(50)]) >= 0.5) > 0.8, word
     assert np.mean(model.score([" ".join(plain()) for _ in range(200)]) >= 0.5) < 0.02
+
+
+def test_long_labelled_texts_do_not_end_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 4000)
+    ids = [i for i in range(1, 200) if not held(i)]
+    texts = [(i, "awful " * 900 if i % 3 == 0 else f"{'awful' if i % 2 else 'nice'} day number {i}") for i in ids]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ids], LABELS)
+    docs = docs.union(docs.where("doc_id % 3 = 0").selectExpr("doc_id", "concat(text, doc_id)"))
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary, odds: taken.append((toxic, ordinary)))
+    toxicity.train(docs, labels)
+    ((toxic, ordinary),) = taken
+    assert len(toxic) > 40 and len(ordinary) > 40
