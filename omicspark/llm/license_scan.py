@@ -54,15 +54,18 @@ class Template:
     label: str
     words: frozenset[str]
     needed: int
+    #: Words of the notice with repeats, up to a multiple of four.
+    length: int = 0
 
 
 def templates(pairs: Sequence[tuple[str, str]], threshold: float) -> list[Template]:
     """Templates of (label, text) pairs; containment means needed / distinct words >= ``threshold``."""
     made = []
     for label, text in pairs:
-        words = frozenset(words_of(text))
+        listed = words_of(text)
+        words = frozenset(listed)
         if words:
-            made.append(Template(label, words, max(1, math.ceil(threshold * len(words) - 1e-9))))
+            made.append(Template(label, words, max(1, math.ceil(threshold * len(words) - 1e-9)), -(-len(listed) // 4) * 4))
     return made
 
 
@@ -94,6 +97,30 @@ def phrase_columns(text: Column, phrases: Sequence[tuple[str, str]] = PHRASES) -
     }
 
 
+def _line_blocks(vocabulary: Sequence[str], fewest: int) -> Column:
+    """The known words of each line of ``body``, where there are enough."""
+    lines = F.split(F.translate("body", _UPPER, _LOWER), _LINE_END)
+    known = F.transform(lines, lambda line: F.array_intersect(F.split(line, _BETWEEN), _texts(vocabulary)))
+    return F.filter(known, lambda words: F.size(words) >= fewest)
+
+
+def _window_blocks(wanted: Sequence[Template]) -> tuple[Column, Column]:
+    """(column ``every`` of all words, column of (length, known words)) of windows of twice a notice's length that start every length, where there are enough."""
+    every = F.filter(F.split(F.translate("body", _UPPER, _LOWER), _BETWEEN), lambda word: word != "")
+
+    def of_length(length: int) -> Column:
+        own = [t for t in wanted if t.length == length]
+        known, fewest = _texts(sorted(set().union(*(t.words for t in own)))), min(t.needed for t in own)
+        starts = F.sequence(F.lit(1), F.greatest(F.size("every") - length, F.lit(1)), F.lit(length))
+        words = F.transform(starts, lambda at: F.array_intersect(F.slice("every", at, 2 * length), known))
+        enough = F.filter(words, lambda block: F.size(block) >= fewest)
+        return F.transform(enough, lambda block: F.struct(F.lit(length).alias("length"), block.alias("words")))
+
+    lengths = sorted({t.length for t in wanted})
+    empty = F.array().cast("array<struct<length:int,words:array<string>>>")
+    return every, F.flatten(F.array(*map(of_length, lengths))) if lengths else empty
+
+
 def scan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -101,10 +128,14 @@ def scan(
     notices: Sequence[tuple[str, str]] = TEMPLATES,
     phrases: Sequence[tuple[str, str]] = PHRASES,
     threshold: float = 0.85,
+    windows: bool = False,
 ) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row per input row.
 
-    A block is a line of a text. A block matches a notice if it holds at least ``threshold`` of the notice's
+    A block is a line of a text, as in the SQL of the registered query; a notice wrapped over lines is then not
+    found, and a text without line breaks is one block. With ``windows`` line breaks count for nothing: blocks of
+    a notice are windows of twice its length (up to a multiple of four words) that overlap by half, so any stretch
+    of its length lies in one. A block matches a notice if it holds at least ``threshold`` of the notice's
     distinct words. The join is exact: words outside all notices cannot add to an overlap and go first; blocks
     with too few words left go by length; the words of blocks and notices stand in one order, rare in the
     corpus before common; a pair can reach the overlap only if it shares a word among the first
@@ -120,34 +151,42 @@ def scan(
     vocabulary = sorted(set().union(*(t.words for t in wanted))) if wanted else [""]
     fewest = min((t.needed for t in wanted), default=1)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(F.translate("body", _UPPER, _LOWER), _LINE_END)
-    known = F.transform(lines, lambda line: F.array_intersect(F.split(line, _BETWEEN), _texts(vocabulary)))
     own = docs.select(F.col(id_col).alias("id"), text.alias("body"))
+    if windows:
+        every, cut = _window_blocks(wanted)
+        own = own.withColumn("every", every)
+    else:
+        cut = _line_blocks(vocabulary, fewest)
     marked = cut_lineage(
         own.select(
             "id",
             F.monotonically_increasing_id().alias("row"),
             *[c.alias(n) for n, c in phrase_columns(F.col("body"), phrases).items()],
-            F.filter(known, lambda words: F.size(words) >= fewest).alias("blocks"),
+            cut.alias("blocks"),
         )
     )
-    blocks = marked.select("row", F.posexplode("blocks").alias("block", "words"))
+    if windows:
+        blocks = marked.select("row", F.posexplode("blocks").alias("block", "cut")).select("row", "block", "cut.words", "cut.length")
+    else:
+        blocks = marked.select("row", F.posexplode("blocks").alias("block", "words"))
+    length = ["length"] if windows else []
     counted = blocks.select(F.explode("words").alias("word")).groupBy("word").count().collect()
     often = {r["word"]: r["count"] for r in counted}
     order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
-    index = []
+    index: list[tuple] = []
     for number, t in enumerate(wanted):
         ordered = [w for w in order if w in t.words]
         prefix = ordered[: len(ordered) - t.needed + 1]
-        index += [(w, number, t.label, i, len(ordered), t.needed, ordered) for i, w in enumerate(prefix)]
-    shape = "word string, notice int, label string, place int, members int, needed int, members_in_order array<string>"
+        tail = (ordered, t.length) if windows else (ordered,)
+        index += [(w, number, t.label, i, len(ordered), t.needed, *tail) for i, w in enumerate(prefix)]
+    shape = "word string, notice int, label string, place int, members int, needed int, members_in_order array<string>" + (", length int" if windows else "")
     prefixes = F.broadcast(spark.createDataFrame(index, shape))
 
-    ranked = blocks.select("row", "block", F.array_intersect(_texts(order), F.col("words")).alias("words"))
+    ranked = blocks.select("row", "block", *length, F.array_intersect(_texts(order), F.col("words")).alias("words"))
     size = F.size("words")
     probe = ranked.select("*", F.posexplode(F.slice("words", 1, size - (fewest - 1))).alias("at", "word"))
     rest = 1 + F.least(F.col("members") - F.col("place"), size - F.col("at")) - 1
-    candidates = probe.join(prefixes, "word").where(
+    candidates = probe.join(prefixes, ["word", *length]).where(
         (size >= F.col("needed")) & (F.col("at") <= size - F.col("needed")) & (rest >= F.col("needed"))
     )
     overlap = F.size(F.array_intersect("words", "members_in_order"))

@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import duckdb
 
@@ -65,3 +66,24 @@ def test_containment_threshold(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "e d c x"), (3, "a b c"), (4, "a a a a b")], "doc_id long, text string")
     found = license_scan.scan(docs, notices=[("l", "a b c d e")], threshold=0.6).collect()
     assert {r.doc_id: (r.labels, round(r.score, 3)) for r in found} == {1: ("l", 0.8), 2: ("l", 0.6), 3: ("l", 0.6), 4: ("", 0.0)}
+
+
+def test_windows_find_wrapped_notices_and_no_scattered_words(spark):
+    texts, want = [], []
+    for label, notice in license_scan.TEMPLATES:
+        for width in (20, 40, 72):
+            body = "# " + "\n# ".join(textwrap.wrap(f"Some file, version 3. Copyright by nobody. {notice}, and so on as usual.", width))
+            texts.append(body)
+            want.append(label)
+    filler = " ".join(f"w{i}" for i in range(100))
+    scattered = f" {filler} ".join(["Released", "under", "the", "MIT", "License"])
+    long = f"{filler} " * 50 + "Released under the MIT License " + f"{filler} " * 50
+    rows = list(enumerate([*texts, scattered, long, None, "", "mit"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in license_scan.scan(docs, windows=True).collect()}
+    assert len(found) == len(rows)
+    n = len(texts)
+    assert all(label in found[i].labels.split(",") for i, label in enumerate(want))
+    assert [(found[i].labels, found[i].score) for i in range(n, n + 5)] == [("", 0.0), ("mit,spdx:mit", 1.0), ("", 0.0), ("", 0.0), ("", 0.0)]
+    assert license_scan.scan(docs, notices=(), windows=True).where("score > 0").count() == 0
+    assert "Python" not in license_scan.scan(docs, windows=True)._jdf.queryExecution().toString()
