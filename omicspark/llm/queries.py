@@ -12,6 +12,7 @@ from omicspark.llm import (
     bpe_count,
     embedding_dedup,
     license_scan,
+    periodic_runs,
     quality,
     secret_scan,
     sentencepiece_codec,
@@ -83,12 +84,30 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = periodic_runs.periodic_runs(docs, planted=F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
             op1_embedding_dedup, op2_secret_scan, op3_bpe_count, op4_quality, op5_license_scan,
             op6_toxicity, op7_topk_search, op8_sentencepiece, op9_source_mix, op10_simhash,
+            op12_periodic_runs,
         )
     }
 
