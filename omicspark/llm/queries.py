@@ -12,6 +12,7 @@ from omicspark.llm import (
     bpe_count,
     embedding_dedup,
     license_scan,
+    merkle,
     periodic_runs,
     quality,
     secret_scan,
@@ -101,13 +102,28 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = merkle.edited_fingerprints(table(spark, folder, "documents"))
+    own, edited = F.col("fingerprint"), F.col("edited_fingerprint")
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        merkle.likeness(own, edited).alias("near_edited"),
+        merkle.likeness(own, F.col("next_fingerprint")).alias("near_next"),
+        merkle.edited_span(own, edited).alias("span"),
+    ).select("*", F.col("span.start").alias("edit_start"), F.col("span.stop").alias("edit_stop")).drop("span")
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
             op1_embedding_dedup, op2_secret_scan, op3_bpe_count, op4_quality, op5_license_scan,
             op6_toxicity, op7_topk_search, op8_sentencepiece, op9_source_mix, op10_simhash,
-            op12_periodic_runs,
+            op12_periodic_runs, op13_fingerprints,
         )
     }
 
@@ -275,6 +291,94 @@ SELECT doc_id, size, source_size, target, sum(part)::BIGINT AS taken
 FROM counted GROUP BY doc_id, size, source_size, target, mark, stop
 """
 
+_OP13 = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+speaker AS (SELECT doc_id, arg_min(t, md5(t)) AS t FROM doc WHERE doc_id IS NOT NULL GROUP BY doc_id),
+following AS (
+  SELECT doc_id, coalesce(lead(t) OVER (ORDER BY doc_id), first(t) OVER (ORDER BY doc_id)) AS next FROM speaker
+),
+pair AS (
+  SELECT r, doc.doc_id, t, next,
+    left(t, length(t) - length(t) // 4) || CASE WHEN next IS NULL THEN '' ELSE left(next, length(t) // 4) END AS edited
+  FROM doc LEFT JOIN following ON doc.doc_id = following.doc_id
+),
+body AS (SELECT t FROM pair UNION SELECT edited FROM pair UNION SELECT next FROM pair WHERE next IS NOT NULL),
+cut AS (
+  SELECT t, list_transform(regexp_extract_all(t, '[^\n]*\n+|[^\n]+'), lambda l: struct_pack(
+    blank := contains(l, chr(10) || chr(10)), s := regexp_extract_all(l, '[^.!?\n]*[.!?\n]+|[^.!?\n]+'))) AS p
+  FROM body
+),
+hashed AS (
+  SELECT t, list_transform(p, lambda x: struct_pack(
+    h := sha256(array_to_string(list_transform(x.s, lambda s: sha256(s)), '')), blank := x.blank,
+    l := array_to_string(list_transform(x.s, lambda s: to_base64(unhex(left(sha256(s), 12))) || length(s)), ','))) AS p
+  FROM cut
+),
+closed AS (
+  SELECT t, list_transform(p, lambda x: struct_pack(h := x.h, l := x.l, e := CASE WHEN x.blank OR x.h[1] = '0' THEN '|' ELSE ';' END)) AS p
+  FROM hashed
+),
+joined AS (
+  SELECT t, array_to_string(list_transform(p, lambda x: x.h || x.e), '') AS h, array_to_string(list_transform(p, lambda x: x.l || x.e), '') AS l
+  FROM closed
+),
+section AS (
+  SELECT t, list_transform(string_split(CASE WHEN h = '' THEN '' ELSE h[:-2] END, '|'), lambda x: sha256(x)) AS h,
+    string_split(CASE WHEN l = '' THEN '' ELSE l[:-2] END, '|') AS l
+  FROM joined
+),
+tree AS (
+  SELECT t, sha256(array_to_string(h, '')) AS root, list_transform(list_zip(h, l), lambda x: left(x[1], 16) || ':' || x[2]) AS branches
+  FROM section
+),
+sides AS (
+  SELECT r, 'edited' AS side, a.root = b.root AS same, a.branches AS x, b.branches AS y
+  FROM pair JOIN tree a ON a.t = pair.t JOIN tree b ON b.t = pair.edited
+  UNION ALL
+  SELECT r, 'next', a.root = b.root, a.branches, b.branches FROM pair JOIN tree a ON a.t = pair.t JOIN tree b ON b.t = pair.next
+),
+apart AS (
+  SELECT r, side, same, x, y, list_distinct(list_filter(x, lambda v: list_contains(y, v))) AS common,
+    list_filter(x, lambda v: NOT list_contains(y, v)) AS dx, list_filter(y, lambda v: NOT list_contains(x, v)) AS dy
+  FROM sides
+),
+leaf AS (
+  SELECT r, side, same,
+    flatten(list_transform(common, lambda v: regexp_extract_all(substr(v, 18), '[^,;]+'))) AS common,
+    list_distinct(flatten(list_transform(dx, lambda v: regexp_extract_all(substr(v, 18), '[^,;]+')))) AS dx,
+    list_distinct(flatten(list_transform(dy, lambda v: regexp_extract_all(substr(v, 18), '[^,;]+')))) AS dy,
+    flatten(list_transform(x, lambda v: regexp_extract_all(substr(v, 18), '[^,;]+'))) AS lx,
+    flatten(list_transform(y, lambda v: regexp_extract_all(substr(v, 18), '[^,;]+'))) AS ly
+  FROM apart
+),
+sized AS (
+  SELECT r, side, same, lx, ly,
+    coalesce(list_sum(list_transform(common, lambda v: substr(v, 9)::BIGINT)), 0)::DOUBLE AS c,
+    coalesce(list_sum(list_transform(list_filter(dx, lambda v: list_contains(dy, v)), lambda v: substr(v, 9)::BIGINT)), 0)::DOUBLE AS i,
+    coalesce(list_sum(list_transform(dx, lambda v: substr(v, 9)::BIGINT)), 0)::DOUBLE AS nx,
+    coalesce(list_sum(list_transform(dy, lambda v: substr(v, 9)::BIGINT)), 0)::DOUBLE AS ny,
+    coalesce(list_position(list_transform(list_zip(lx, ly), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false), len(lx) + 1) - 1 AS ahead,
+    coalesce(list_position(list_transform(list_zip(list_reverse(lx), list_reverse(ly)), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false),
+      len(lx) + 1) - 1 AS behind
+  FROM leaf
+),
+found AS (
+  SELECT r, side, CASE WHEN same THEN 1.0 WHEN 2 * c + nx + ny = 0 THEN 0.0 ELSE 2.0 * (c + i) / (2 * c + nx + ny) END AS near,
+    CASE WHEN same THEN NULL ELSE coalesce(list_sum(list_transform(lx[:ahead], lambda v: substr(v, 9)::BIGINT)), 0) END AS start,
+    coalesce(list_sum(list_transform(lx[:len(lx) - behind], lambda v: substr(v, 9)::BIGINT)), 0) AS stop
+  FROM sized
+)
+SELECT doc_id, length(pair.t)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+  a.root || '|' || array_to_string(a.branches, '|') AS fingerprint, b.root || '|' || array_to_string(b.branches, '|') AS edited_fingerprint,
+  e.near::DOUBLE AS near_edited, coalesce(n.near, 0.0)::DOUBLE AS near_next,
+  e.start::BIGINT AS edit_start, CASE WHEN e.start IS NOT NULL THEN greatest(e.start, e.stop) END::BIGINT AS edit_stop
+FROM pair JOIN tree a ON a.t = pair.t JOIN tree b ON b.t = pair.edited
+JOIN found e ON e.r = pair.r AND e.side = 'edited' LEFT JOIN found n ON n.r = pair.r AND n.side = 'next'
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": _OP1, "op5_license_scan": _license_sql(), "op7_topk_search": _OP7, "op9_source_mix": _OP9}
+    return {
+        "op1_embedding_dedup": _OP1, "op5_license_scan": _license_sql(), "op7_topk_search": _OP7, "op9_source_mix": _OP9,
+        "op13_fingerprints": _OP13,
+    }
