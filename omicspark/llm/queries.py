@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from omicspark.llm import (
     bpe_count,
+    collocations,
     embedding_dedup,
     license_scan,
     merkle,
@@ -85,6 +86,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = periodic_runs.periodic_runs(docs, planted=F.crc32(F.col("doc_id").cast("string").cast("binary")))
@@ -123,7 +128,7 @@ def queries() -> dict[str, Query]:
         for f in (
             op1_embedding_dedup, op2_secret_scan, op3_bpe_count, op4_quality, op5_license_scan,
             op6_toxicity, op7_topk_search, op8_sentencepiece, op9_source_mix, op10_simhash,
-            op12_periodic_runs, op13_fingerprints,
+            op11_collocations, op12_periodic_runs, op13_fingerprints,
         )
     }
 
@@ -291,6 +296,42 @@ SELECT doc_id, size, source_size, target, sum(part)::BIGINT AS taken
 FROM counted GROUP BY doc_id, size, source_size, target, mark, stop
 """
 
+_OP11 = r"""
+WITH body AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+),
+piece AS (SELECT lang, unnest(regexp_extract_all(text, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM body),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+placed AS (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM listed, (VALUES (1), (2), (3), (4)) AS sizes(m)),
+gram AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*)::BIGINT AS f FROM placed GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM gram WHERE m = 1 GROUP BY lang),
+candidate AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM gram WHERE m > 1 AND f >= 30),
+cut AS (
+  SELECT lang, m, phrase, a, k, array_to_string(w[:k], ' ') AS part, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM candidate)
+),
+cost AS (
+  SELECT cut.*, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cut JOIN gram x ON x.lang = cut.lang AND x.phrase = part JOIN gram y ON y.lang = cut.lang AND y.phrase = rest
+),
+lowest AS (
+  SELECT * FROM cost QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+),
+inner_phrase AS (
+  SELECT lang, a, array_to_string(w[i:i + s - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(generate_series(1, m - s + 1)) AS i FROM (SELECT *, unnest(generate_series(2, m - 1)) AS s FROM candidate WHERE m > 2))
+),
+covered AS (SELECT lang, phrase, max(a) AS most FROM inner_phrase GROUP BY lang, phrase),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN covered USING (lang, phrase)
+  WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 _OP13 = r"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 speaker AS (SELECT doc_id, arg_min(t, md5(t)) AS t FROM doc WHERE doc_id IS NOT NULL GROUP BY doc_id),
@@ -380,5 +421,5 @@ JOIN found e ON e.r = pair.r AND e.side = 'edited' LEFT JOIN found n ON n.r = pa
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_dedup": _OP1, "op5_license_scan": _license_sql(), "op7_topk_search": _OP7, "op9_source_mix": _OP9,
-        "op13_fingerprints": _OP13,
+        "op11_collocations": _OP11, "op13_fingerprints": _OP13,
     }

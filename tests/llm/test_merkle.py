@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,7 +59,9 @@ def test_query_with_odd_rows(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, before int, tree string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op13_fingerprints(spark, str(tmp_path))
-    assert oracle.compare(got, oracle.connect(str(tmp_path)), queries.oracle_sql()["op13_fingerprints"]) is None
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert oracle.compare(got, con, queries.oracle_sql()["op13_fingerprints"]) is None
     found = sorted((r for r in got.collect()), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"]))
     speak = {}
     for i, t, _, _ in rows:
