@@ -19,7 +19,7 @@ SCALE = 2_000_000
 #: A candidate gives way to a longer one with at least this share of its count, in percent.
 COVERED_PERCENT = 80
 #: Words that are counted together before their phrases leave a task.
-BATCH_WORDS = 1 << 20
+BATCH_WORDS = 1 << 19
 #: Size of a filter over phrases; a filled filter lets more phrases be counted and changes no result.
 FILTER_BITS = 1 << 25
 #: The first frontier reaches as many pairs as this many limits; each next one is ``WIDER`` times as wide.
@@ -89,12 +89,26 @@ def _spots(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
 Choice = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _counted(lang: str, tokens: list[bytes], size: int, choice: Choice | None) -> pa.RecordBatch:
-    """(lang, phrase, f) of the phrases of ``size`` words in ``tokens`` that ``choice`` takes."""
-    vocabulary = {_BREAK: 0}
-    for w in tokens:
-        vocabulary.setdefault(w, len(vocabulary))
-    codes = np.fromiter(map(vocabulary.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+class _Held:
+    """Words of one language that wait to be counted, as codes; 0 is a break."""
+
+    def __init__(self) -> None:
+        self.vocabulary = {_BREAK: 0}
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, text: str) -> None:
+        tokens = _tokens(text)
+        for w in set(tokens).difference(self.vocabulary):
+            self.vocabulary[w] = len(self.vocabulary)
+        self.parts.append(np.fromiter(map(self.vocabulary.__getitem__, tokens), dtype=np.int32, count=len(tokens)))
+        self.size += len(tokens)
+
+
+def _counted(lang: str, held: _Held, size: int, choice: Choice | None) -> pa.RecordBatch:
+    """(lang, phrase, f) of the phrases of ``size`` words in ``held`` that ``choice`` takes."""
+    vocabulary = held.vocabulary
+    codes = np.concatenate(held.parts).astype(np.int64)
     spelled = pa.array(list(vocabulary)[1:], pa.binary()).cast(pa.string())
     whole = np.flatnonzero(codes)
     if size == 1:
@@ -127,17 +141,17 @@ def count_phrases(docs: DataFrame, size: int, choice: Choice | None = None, leas
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list[bytes]] = {}
+        waiting: dict[str, _Held] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 lang = lang.as_py()
-                held = waiting.setdefault(lang, [])
-                held += _tokens(text.as_py())
-                if len(held) >= BATCH_WORDS:
+                held = waiting.setdefault(lang, _Held())
+                held.add(text.as_py())
+                if held.size >= BATCH_WORDS:
                     yield _counted(lang, waiting.pop(lang), size, choice)
             # Languages may be many: together they hold no more than a few batches.
-            while sum(map(len, waiting.values())) >= 4 * BATCH_WORDS:
-                lang = max(waiting, key=lambda x: len(waiting[x]))
+            while sum(x.size for x in waiting.values()) >= 2 * BATCH_WORDS:
+                lang = max(waiting, key=lambda x: waiting[x].size)
                 yield _counted(lang, waiting.pop(lang), size, choice)
         for lang, held in waiting.items():
             yield _counted(lang, held, size, choice)
