@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,10 @@ from omicspark.operators.psm import InvalidInput
 
 
 _SOURCE = "__source_file"
+#: Above the size of a file, so that each file is one partition.
+_ONE_FILE = 1 << 40
+#: First lines that one job reads.
+_FILES_PER_JOB = 256
 #: The columns of result shards that hold numbers; all others are text.
 RESULT_NUMBERS = (
     "logFC", "log2FC", "pvalue", "pval", "adj.pvalue", "adjPval", "adj_pvalue", "SE", "se", "Tvalue", "t", "DF", "df",
@@ -33,23 +39,30 @@ def header_separator(header: str) -> str:
     raise InvalidInput(f"cannot tell the delimiter of {header[:200]!r}")
 
 
-def files_by_header(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, list[str]]:
-    """First line -> files that begin with it, in one scan of the files' first blocks.
+def first_lines(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, str]:
+    """File -> its first line; files without a line are left out.
 
-    Files without a line are left out. One row per file reaches the driver, which lists the files anyway.
+    Each file is one partition under a limit of one row, so its task ends after one buffer and the bytes read
+    grow with the number of files and not with their size. The files of a job are one union of such reads. The
+    settings that keep a file whole belong to a session of its own.
     """
-    lines = spark.read.text(_many(paths)).select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
-    # The path comes percent-encoded, in which a plus stands for itself.
-    plain = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(_ONE_FILE))
+    session.conf.set("spark.sql.files.openCostInBytes", str(_ONE_FILE))
+    files = sorted(unquote(f) for f in session.read.text(_many(paths)).inputFiles())
+    found: dict[str, str] = {}
+    for at in range(0, len(files), _FILES_PER_JOB):
+        group = files[at : at + _FILES_PER_JOB]
+        heads = [session.read.text(f).limit(1).select(F.lit(i).alias("file"), "value") for i, f in enumerate(group)]
+        found |= {group[i]: line for i, line in reduce(DataFrame.unionAll, heads).collect()}
+    return found
+
+
+def files_by_header(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, list[str]]:
+    """First line -> files that begin with it. One row per file reaches the driver, which lists the files anyway."""
     groups: dict[str, list[str]] = {}
-    for row in first.select("header", plain.alias("path")).orderBy("path").collect():
-        groups.setdefault(row["header"].lstrip("\ufeff").rstrip("\r"), []).append(row["path"])
+    for path, line in sorted(first_lines(spark, paths).items()):
+        groups.setdefault(line.lstrip("\ufeff").rstrip("\r"), []).append(path)
     return groups
 
 

@@ -249,3 +249,31 @@ def test_rows_must_be_preprocessed(spark):
         psm.assert_preprocessed(rows.drop("Unique_PSM"))
     good = rows.where("Unique_PSM = 'p'").withColumn("Contaminant", F.lit("False"))
     assert psm.assert_preprocessed(good).count() == 1
+
+
+def bytes_read(spark):
+    """Bytes that the stages so far have read."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).inputBytes() for i in range(stages.size()))
+
+
+def test_headers_cost_a_buffer_of_each_file(spark, tmp_path):
+    lines = "".join(f"{i}\tPEPTIDE{i}\n" for i in range(300_000))
+    for i in range(3):
+        write(tmp_path / f"part {i}+x.txt", "Charge\tSequence\n" + lines)
+    write(tmp_path / "other.txt", "Sequence,Charge\nA,1\n")
+    write(tmp_path / "empty.txt", "")
+    before = bytes_read(spark)
+    groups = readers.files_by_header(spark, str(tmp_path))
+    assert bytes_read(spark) - before <= 4 * 65536 < len(lines)
+    assert {h: len(files) for h, files in groups.items()} == {"Charge\tSequence": 3, "Sequence,Charge": 1}
+    assert readers.read_psm(spark, str(tmp_path)).count() == 900_001
+
+
+def test_headers_of_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "_FILES_PER_JOB", 4)
+    for i in range(11):
+        write(tmp_path / f"{i}.txt", f"a\tb{i % 2}\n1\t2\n")
+    assert {h: len(files) for h, files in readers.files_by_header(spark, str(tmp_path)).items()} == {"a\tb0": 6, "a\tb1": 5}
