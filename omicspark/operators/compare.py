@@ -258,16 +258,21 @@ def neighbours(corr: DataFrame, item: str) -> DataFrame:
     return both.where(F.col("correlation").isNotNull())
 
 
-def nearest_and_least(corr: DataFrame, item: str, k: int = 10) -> DataFrame:
-    """The k most and the k least correlated comparisons; ties by name."""
-    if not 1 <= k <= 100:
-        raise ValueError("k must be between 1 and 100")
-    others = neighbours(corr, item)
+def nearest_and_least(others: DataFrame, k: int = 10) -> DataFrame:
+    """The k most and the k least correlated rows of ``others`` (comparison, correlation, support); ties by name."""
+    if k < 1:
+        raise ValueError("k is at least 1")
     top = others.orderBy(F.col("correlation").desc(), "comparison").limit(k)
     low = others.orderBy("correlation", "comparison").limit(k)
     return top.withColumn("side", F.lit("nearest")).unionByName(low.withColumn("side", F.lit("least")))
 
 
+def comparison_positions(fc: DataFrame) -> DataFrame:
+    """(comparison, position): places from 0 by name; there are as many rows as comparisons."""
+    names = fc.select("comparison").where("comparison IS NOT NULL").distinct()
+    return names.withColumn("position", F.row_number().over(Window.orderBy("comparison")) - 1)
+
+
 def matrix_tile(
     corr: DataFrame, index: DataFrame, level: int, row: int, column: int, size: int = 256
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from omicspark.functions import expressions as E
+from omicspark.operators.correlation_store import CorrelationStore, write_store
 from omicspark.operators import compare, pca, query as reads
 from omicspark.registry.base import Tables, query
 from omicspark.registry.quality import Q, quart, rounded
@@ -367,6 +368,13 @@ def _(t: Tables) -> DataFrame:
     return rounded(compare.similar_features(t.view("fc"), "P5"), ["similarity"], 9)
 
 
+def correlations(t: Tables, min_support: int = 100) -> CorrelationStore:
+    """The matrix of the test comparisons, written in blocks of eight, with its pyramid."""
+    fc = t.view("fc")
+    corr = rounded(compare.pairwise_pearson(fc, min_support), ["correlation"], 9)
+    return write_store(corr, compare.comparison_positions(fc), side=8)
+
+
 @query(
     "nearest_comparisons",
     "G4",
@@ -377,8 +385,7 @@ UNION ALL SELECT * FROM (SELECT *, 'least' FROM m ORDER BY correlation, comparis
     ("fc",),
 )
 def _(t: Tables) -> DataFrame:
-    corr = rounded(compare.pairwise_pearson(t.view("fc")), ["correlation"], 9)
-    return compare.nearest_and_least(corr, "K3", 5)
+    return compare.nearest_and_least(correlations(t).row(t.spark, "K3"), 5)
 
 
 @query(
@@ -388,7 +395,7 @@ def _(t: Tables) -> DataFrame:
     ("fc",),
 )
 def _(t: Tables) -> DataFrame:
-    return rounded(compare.cell(compare.pairwise_pearson(t.view("fc")), "K4", "K12"), ["correlation"])
+    return rounded(correlations(t).cell(t.spark, "K4", "K12"), ["correlation"])
 
 
 @query(
@@ -402,13 +409,20 @@ WHERE floor(i / 2) BETWEEN 4 AND 7 AND floor(j / 2) BETWEEN 8 AND 11 GROUP BY AL
     ("fc",),
 )
 def _(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
+    return rounded(correlations(t, 1).tile(t.spark, 1, 1, 2, size=4), ["correlation"])
 
-    fc = t.view("fc")
-    index = fc.select("comparison").distinct()
-    index = index.withColumn("position", F.row_number().over(Window.orderBy("comparison")) - 1)
-    corr = compare.pairwise_pearson(fc, 1)
-    return rounded(compare.matrix_tile(corr, index, 1, 1, 2, size=4), ["correlation"])
+
+@query(
+    "correlation_top_tile",
+    "G10",
+    f"""WITH {PAIR_SUMS}, idx AS (SELECT comparison, row_number() OVER (ORDER BY comparison) - 1 AS p FROM (SELECT DISTINCT comparison FROM fc)),
+c AS (SELECT i.p AS i, j.p AS j, {R} AS c, n FROM pairs JOIN idx i ON i.comparison = l JOIN idx j ON j.comparison = r),
+s AS (SELECT i, j, c, n FROM c UNION ALL SELECT j, i, c, n FROM c WHERE i <> j)
+SELECT CAST(floor(i / 8) AS BIGINT) AS "row", CAST(floor(j / 8) AS BIGINT) AS "column", round(avg(c), 6) AS correlation, max(n) AS support FROM s GROUP BY ALL""",
+    ("fc",),
+)
+def _(t: Tables) -> DataFrame:
+    return rounded(correlations(t, 1).tile(t.spark, 3, 0, 0), ["correlation"])
 
 
 @query(

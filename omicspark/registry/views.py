@@ -299,5 +299,6 @@ define_view(
        CASE l_suppkey % 4 WHEN 3 THEN 'Reference/Bridge' ELSE 'Sample' END AS Role,
        CASE l_suppkey % 4 WHEN 0 THEN 'DMSO_1' WHEN 1 THEN 'DMSO_2' WHEN 2 THEN 'INCZ_1' ELSE 'Norm_2' END AS BioReplicate,
        l_quantity AS Abundance
-FROM {lineitem} LEFT JOIN {proteome} ON 'S' || CAST(l_partkey AS STRING) = accession""",
+FROM {lineitem} LEFT JOIN (SELECT accession, substr(sequence, 1, 40) AS sequence FROM {proteome}) AS heads
+  ON 'S' || CAST(l_partkey AS STRING) = accession""",
 )

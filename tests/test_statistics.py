@@ -333,7 +333,7 @@ def test_pairwise_correlation_and_support(spark):
         assert got[("c0", "c2")] == (pytest.approx(-1.0), 110)
         assert got[("c0", "c3")] == (None, 50)
     corr = compare.pairwise_pearson(fc, 100)
-    sides = {r["side"]: r["comparison"] for r in compare.nearest_and_least(corr, "c0", 1).collect()}
+    sides = {r["side"]: r["comparison"] for r in compare.nearest_and_least(compare.neighbours(corr, "c0"), 1).collect()}
     assert sides == {"nearest": "c1", "least": "c2"}
     assert compare.pairwise_spearman(fc, "c0", "c2").first()["correlation"] == pytest.approx(-1.0)
 
