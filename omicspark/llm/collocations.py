@@ -124,11 +124,19 @@ def _counted(lang: str, held: _Held, size: int, choice: Choice | None) -> pa.Rec
             first = _joined_hash(first, hashes[whole + k])
             last = _joined_hash(last, hashes[whole + 1 + k])
         whole = whole[choice(first, last)]
-        ids = codes[whole]
-        for k in range(1, size):
-            _, ids = np.unique(ids * len(vocabulary) + codes[whole + k], return_inverse=True)
-        _, at, counts = np.unique(ids, return_index=True, return_counts=True)
-        words = [spelled.take(pa.array(codes[whole[at] + k] - 1)) for k in range(size)]
+        # Numbers of the distinct beginnings, one word longer at each step; their digits spell the phrases again.
+        base = len(vocabulary)
+        ids, distinct = codes[whole], []
+        for k in range(1, size - 1):
+            shorter, ids = np.unique(ids * base + codes[whole + k], return_inverse=True)
+            distinct.append(shorter)
+        last, counts = np.unique(ids * base + codes[whole + size - 1], return_counts=True)
+        words = []
+        for shorter in reversed(distinct):
+            words.append(last % base)
+            last = shorter[last // base]
+        words += [last % base, last // base]
+        words = [spelled.take(pa.array(w - 1)) for w in reversed(words)]
         phrases = pc.binary_join_element_wise(*words, " ")
     langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(phrases), dtype=np.int64)))
     return pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts, pa.int64())], names=["lang", "phrase", "f"])
@@ -243,17 +251,14 @@ def collocations(
     pair_scores = cut_lineage(scored(pairs, frequent, 2))
     is_pair = PhraseFilter(pairs, filter_bits)
     counts = frequent.unionByName(pairs)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"))
+    # How many pairs reach each score that occurs; scores are whole numbers up to a million.
+    upto = Window.partitionBy("lang").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heights = pair_scores.groupBy("lang", "score").agg(F.count(F.lit(1)).alias("pairs"))
+    heights = cut_lineage(heights.select("lang", "score", F.sum("pairs").over(upto).alias("reached")))
     pending = totals.select("lang")
     settled, width = [], FIRST_WIDTH * limit
     while True:
-        level = (
-            pair_scores.withColumn("place", F.row_number().over(order))
-            .where(F.col("place") <= width)
-            .groupBy("lang")
-            .agg(F.max("place").alias("reached"), F.min("score").alias("score"))
-            .where(F.col("reached") == width)
-        )
+        level = heights.where(F.col("reached") >= width).groupBy("lang").agg(F.max("score").alias("score"))
         floors = cut_lineage(
             pending.join(level, "lang", "left").select("lang", F.coalesce("score", F.lit(0)).cast("long").alias("floor"))
         )
