@@ -300,14 +300,14 @@ def assign_batch(samples: DataFrame, design: DataFrame, sample: str = "sample_id
         left = joined.where(F.col("__b").isNull()).select(sample)
         named = design.where(F.coalesce(F.col("experiment"), F.lit("")) != "")
         named = named.groupBy("experiment").agg(F.min("batch").alias("batch"))
-        # Every piece of a sample id is listed once, so "contains" is an equi join.
-        text = F.col(sample)
+        # Only pieces as long as some experiment's name are listed: their number grows with the id's length, and
+        # "contains" is an equi join. The lengths that occur are few and come to the rows as one array.
+        text, size = F.col(sample), F.char_length(sample)
+        lengths = named.agg(F.collect_set(F.char_length("experiment"))).scalar()
         pieces = F.flatten(
             F.transform(
-                F.sequence(F.lit(1), F.length(text)),
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), F.length(text) - i + 1), lambda n: F.substr(text, i, n)
-                ),
+                F.filter(lengths, lambda n: n <= size),
+                lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(text, i, n)),
             )
         )
         listed = left.select(sample, F.explode(F.array_distinct(pieces)).alias("experiment"))
@@ -322,6 +322,17 @@ def assign_batch(samples: DataFrame, design: DataFrame, sample: str = "sample_id
     return joined
 
 
+def with_batches(design: DataFrame, batches: DataFrame, sample: str = "Sample_Origination") -> DataFrame:
+    """The design with the batch that ``batches`` gives each sample: by its id, else by the experiment inside it.
+
+    ``batches`` has Sample_Origination, batch and perhaps experiment, one row per sample or experiment. A sample
+    without a batch is an error that names it.
+    """
+    samples = design.select(sample).where(F.col(sample).isNotNull()).distinct()
+    found = assign_batch(samples, batches, sample).select(sample, "batch")
+    return design.drop("batch").join(found, sample, "left")
+
+
 def batch_confounded(samples: DataFrame) -> DataFrame:
     """One row: does every condition lie in exactly one batch?"""
     per = samples.groupBy("condition").agg(F.countDistinct("batch").alias("batches"))

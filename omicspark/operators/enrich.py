@@ -24,6 +24,8 @@ MIN_SIZE, MAX_SIZE = 15, 500
 PERMUTATIONS, SEED = 1000, 123
 #: Permutations that one task scores, and the decimals at which scores are compared.
 PERMUTATIONS_PER_TASK, SCORE_DECIMALS = 100, 9
+#: Members, of all its sets together, that one row of a ranking's sets holds on average.
+MEMBERS_PER_TASK = 1 << 18
 NES_CUT, FDR_CUT = 1.0, 0.25
 
 
@@ -161,9 +163,10 @@ def null_scores(ranked: DataFrame, sets: DataFrame, permutations: int = PERMUTAT
     """(by, set, permutation, es) under random gene labels.
 
     Every permutation orders the genes by a hash of seed, permutation and gene,
-    so a lost task draws the same labels. A task gets a ranking, which is as
-    long as a genome has genes, and the members of the sets in it, and scores a
-    block of permutations at once.
+    so a lost task draws the same labels. The sets of a ranking are dealt into
+    blocks of about ``MEMBERS_PER_TASK`` members by a hash of their names. A task
+    gets a ranking, which is as long as a genome has genes, one block of sets and
+    one block of permutations, and scores them at once.
     """
     keys = [*by] or ["__all"]
     whole = lambda df: df if by else df.withColumn("__all", F.lit(0))
@@ -173,8 +176,10 @@ def null_scores(ranked: DataFrame, sets: DataFrame, permutations: int = PERMUTAT
     listed = listed.select(*keys, F.col("r.gene").alias("genes"), F.col("r.metric").alias("metrics"))
     members = whole(set_members(ranked, sets, min_size, max_size, by)).where(F.col("set_size") < F.col("gene_count"))
     grouped = members.groupBy(*keys, "set").agg(F.collect_list(F.col("position").cast("bigint")).alias("places"))
-    grouped = grouped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("set", "places"))).alias("s"))
-    grouped = grouped.select(*keys, F.col("s.set").alias("names"), F.col("s.places").alias("places"))
+    held = grouped.groupBy(*keys).agg(F.ceil(F.sum(F.size("places")) / MEMBERS_PER_TASK).cast("int").alias("parts"))
+    dealt = same_keys(grouped, held, keys).withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int"))
+    grouped = dealt.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("set", "places"))).alias("s"))
+    grouped = grouped.select(*keys, "part", F.col("s.set").alias("names"), F.col("s.places").alias("places"))
     blocks = -(-permutations // PERMUTATIONS_PER_TASK)
     units = same_keys(listed, grouped, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -197,7 +202,7 @@ def null_scores(ranked: DataFrame, sets: DataFrame, permutations: int = PERMUTAT
         return out[[*by, "set", "permutation", "es"]]
 
     kinds = "".join(f"`{k}` {ranked.schema[k].dataType.simpleString()}, " for k in by)
-    return units.groupBy(*keys, "block").applyInPandas(run, f"{kinds}set string, permutation int, es double")
+    return units.groupBy(*keys, "part", "block").applyInPandas(run, f"{kinds}set string, permutation int, es double")
 
 
 def prerank(ranked: DataFrame, sets: DataFrame, permutations: int = PERMUTATIONS, seed: int = SEED,

@@ -79,4 +79,7 @@ def peptide_places(pairs: DataFrame, entries: DataFrame, block_peptides: int = B
     block = F.pmod(F.xxhash64("peptide"), F.coalesce("blocks", F.lit(1)))
     gathered = dealt.groupBy("entry", block.alias("block")).agg(F.collect_list("peptide").alias("peptides"))
     met = entries.select("entry", "sequence").where("sequence <> ''").join(gathered, "entry")
-    return met.select("entry", "sequence", "peptides").mapInArrow(_search, "entry string, peptide string, starts array<int>")
+    # The work per byte is high, so partitions must not be merged for being small.
+    partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.select("entry", "sequence", "peptides").repartition(partitions, "entry", "peptides")
+    return met.mapInArrow(_search, "entry string, peptide string, starts array<int>")

@@ -306,10 +306,16 @@ def run_tmt(
 def run_dia(
     spark: SparkSession, paths: Sequence[str], metadata: Mapping[str, Mapping[str, object]],
     comparisons: Sequence[Mapping[str, Mapping[str, object]]], options: Options = Options(),
-    gene_map: str | None = None,
+    gene_map: str | None = None, batches: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Label-free protein study: one export per sample. ``gene_map`` is the path of a gene map."""
+    """Label-free protein study: one export per sample. ``gene_map`` is the path of a gene map.
+
+    ``batches`` (Sample_Origination, batch, experiment) gives each sample its batch, by its id or else by the
+    experiment whose name the id contains.
+    """
     frame = design.design_from_metadata(spark, metadata)
+    if batches is not None:
+        frame = cut_lineage(design.with_batches(frame, batches))
     return _study(spark, prepare_dia(spark, paths, frame), frame, metadata, comparisons, options, gene_map, "dia")
 
 

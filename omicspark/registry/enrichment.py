@@ -178,7 +178,33 @@ def _(t: Tables) -> DataFrame:
     return rounded(enrich.enrichment_score(all_rankings(t), gene_sets(t), by=["comparison_id"]), ["es"])
 
 
-@query("permutation_enrichment_by_comparison", "N2")
+EACH = "comparison_id, set_name"
+ALL_NULLS = f"""{ALL_POSITIONED},
+real_es AS (SELECT {EACH}, set_size, round({ENDS}, 9) AS es FROM ({member_walk('member', EACH)}) GROUP BY ALL),
+drawn AS (SELECT comparison_id, gene, p, row_number() OVER (PARTITION BY comparison_id, p ORDER BY md5('123:' || p || ':' || gene)) - 1 AS place
+  FROM pos, generate_series(1, 1000) AS g(p)),
+drawn_member AS (SELECT m.comparison_id, set_name, set_size, m.gene_count, p, d.place, abs(pos.metric) AS w FROM member m
+  JOIN drawn d ON d.comparison_id = m.comparison_id AND d.gene = m.gene JOIN pos ON pos.comparison_id = m.comparison_id AND pos.position = d.place),
+null_es AS (SELECT {EACH}, p, round({ENDS}, 9) AS es FROM ({member_walk('drawn_member', EACH + ', p')}) GROUP BY {EACH}, p),
+side AS (SELECT {EACH}, avg(es) FILTER (WHERE es >= 0) AS up, avg(-es) FILTER (WHERE es < 0) AS down FROM null_es GROUP BY {EACH}),
+base AS (SELECT {EACH}, set_size, es, es >= 0 AS positive, round(es / CASE WHEN es >= 0 THEN up ELSE down END, 9) AS nes FROM real_es JOIN side USING ({EACH})),
+tail AS (SELECT b.comparison_id, b.set_name, count(*) FILTER (WHERE abs(n.es) >= abs(b.es)) / count(*) AS pval FROM base b JOIN null_es n
+  ON n.comparison_id = b.comparison_id AND n.set_name = b.set_name AND (n.es >= 0) = b.positive GROUP BY ALL),
+scaled AS (SELECT comparison_id, es >= 0 AS positive, round(abs(es / CASE WHEN es >= 0 THEN up ELSE down END), 9) AS size FROM null_es JOIN side USING ({EACH})),
+null_share AS (SELECT b.comparison_id, b.set_name, count(*) FILTER (WHERE size >= abs(b.nes)) / count(size) AS null_share
+  FROM base b JOIN scaled s ON s.comparison_id = b.comparison_id AND s.positive = b.positive GROUP BY ALL),
+seen_share AS (SELECT b.comparison_id, b.set_name, count(*) FILTER (WHERE abs(o.nes) >= abs(b.nes)) / count(o.nes) AS seen_share
+  FROM base b JOIN base o ON o.comparison_id = b.comparison_id AND o.positive = b.positive GROUP BY ALL)"""
+
+
+@query(
+    "permutation_enrichment_by_comparison",
+    "N2",
+    f"""WITH {ALL_NULLS} SELECT comparison_id, set_name AS "set", set_size, round(es, 6) AS es, round(nes, 6) AS nes, round(coalesce(pval, 1), 6) AS pval,
+  round(least(coalesce(null_share / seen_share, 1), 1), 6) AS fdr
+FROM base LEFT JOIN tail USING ({EACH}) LEFT JOIN null_share USING ({EACH}) LEFT JOIN seen_share USING ({EACH})""",
+    ("rankings", "gene_sets"),
+)
 def _(t: Tables) -> DataFrame:
     out = enrich.prerank(cut_lineage(all_rankings(t)), gene_sets(t), by=["comparison_id"])
     return rounded(out, ["es", "nes", "pval", "fdr"])

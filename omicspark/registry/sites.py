@@ -81,7 +81,7 @@ SITE_VIEWS = ("ptm_rows", "proteome")
 
 def sited(t: Tables) -> DataFrame:
     chosen, _ = ptm.split_target_background(ptm.with_peptide(t.view("ptm_rows")), TARGET)
-    return cut_lineage(ptm.localize(chosen, t.view("proteome"), TARGET))
+    return cut_lineage(ptm.localize(cut_lineage(chosen), t.view("proteome"), TARGET))
 
 
 def study_design(t: Tables) -> DataFrame:

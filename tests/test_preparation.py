@@ -277,3 +277,18 @@ def test_headers_of_many_files(spark, tmp_path, monkeypatch):
     for i in range(11):
         write(tmp_path / f"{i}.txt", f"a\tb{i % 2}\n1\t2\n")
     assert {h: len(files) for h, files in readers.files_by_header(spark, str(tmp_path)).items()} == {"a\tb0": 6, "a\tb1": 5}
+
+
+def test_batches_by_sample_and_by_contained_experiment(spark):
+    frame = spark.createDataFrame(
+        [("f1", "drug_A_1"), ("f2", "exp7x_A_2"), ("f3", "longexp7_B_1"), ("f4", "Ünexp_B_2"), ("f5", None)], "filename string, Sample_Origination string"
+    )
+    batches = spark.createDataFrame(
+        [("drug_A_1", "b0", None), (None, "b1", "exp7"), (None, "b2", "longexp7"), (None, "b9", ""), (None, "b3", "Ün"), (None, "b8", "x" * 40)],
+        "Sample_Origination string, batch string, experiment string",
+    )
+    got = {r["filename"]: r["batch"] for r in design.with_batches(frame, batches).collect()}
+    # Of several experiments inside an id the first by name gives the batch.
+    assert got == {"f1": "b0", "f2": "b1", "f3": "b1", "f4": "b3", "f5": None}
+    with pytest.raises(design.InvalidDesign):
+        design.with_batches(frame, batches.where("batch <> 'b3'"))

@@ -399,7 +399,7 @@ def test_enrichment(spark):
     assert set(edge) <= set(sets["top"]) and len(edge) >= 15
 
 
-def test_permuted_scores_are_those_of_relabelled_lists(spark):
+def test_permuted_scores_are_those_of_relabelled_lists(spark, monkeypatch):
     rng = np.random.default_rng(4)
     frames, sets = [], {"s": [f"g{i:03d}" for i in range(0, 60, 2)], "t": [f"g{i:03d}" for i in range(20)]}
     rankings = {c: {f"g{i:03d}": float(v) for i, v in enumerate(rng.normal(size=150))} for c in ("one", "two")}
@@ -420,6 +420,10 @@ def test_permuted_scores_are_those_of_relabelled_lists(spark):
     single = enrich.with_positions(ranked.where("k = 'one'").select("gene", "metric"))
     alone = {(r["set"], r["permutation"]): r["es"] for r in enrich.null_scores(single, frame, 120).collect()}
     assert all(alone[s, p] == pytest.approx(found["one", s, p], abs=1e-12) for s, p in alone) and len(alone) == 240
+    # One set a block gives the same scores as all in one.
+    monkeypatch.setattr(enrich, "MEMBERS_PER_TASK", 8)
+    apart = {(r["k"], r["set"], r["permutation"]): r["es"] for r in enrich.null_scores(ranked, frame, 120, by=["k"]).collect()}
+    assert apart == pytest.approx(found, abs=1e-12)
 
 
 def test_cv_quality_rules(spark):
