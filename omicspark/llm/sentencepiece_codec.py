@@ -9,6 +9,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, filterfalse
 from operator import eq
 
 import numpy as np
@@ -26,6 +27,8 @@ MARK = "▁"
 BATCH_TEXTS, PART_CHARS, THREADS = 256, 1 << 20, 2
 #: Words whose ids a worker remembers; beyond this the memory starts anew.
 KNOWN_WORDS = 1 << 19
+#: New words that are encoded as one text.
+WORDS_TOGETHER = 64
 _TWO_MARKS = MARK * 2
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _SPACES = re.compile(" {2,}")
@@ -150,6 +153,13 @@ def rebuild(model: Model) -> Tokenizer:
     return tokenizer
 
 
+def _spelling(piece: str, kind: int) -> bytes | None:
+    """The bytes a piece stands for; None for the unknown piece and controls."""
+    if kind == BYTE:
+        return bytes([int(piece[3:-1], 16)])
+    return piece.encode() if kind == NORMAL else None
+
+
 class Codec:
     """Encodes and decodes batches by the rebuilt pipeline, with the model's own library for parity.
 
@@ -170,7 +180,8 @@ class Codec:
         self.words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
         self.lead = MARK if self.model.dummy_prefix and self.model.escape_spaces else ""
-        self.texts = [p if kind == NORMAL else None for p, _, kind in self.model.pieces]
+        self.spelling = [_spelling(p, kind) for p, _, kind in self.model.pieces]
+        self.opens = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self.known: dict[str, bytes] = {}
         self.altered: dict[str, str] = {}
         self.unlike: set[str] = set()
@@ -197,19 +208,41 @@ class Codec:
         return plain[1:].split(MARK) if plain else []
 
     def learn(self, keys: set[str]) -> None:
-        """Ids of words; the decoded text of those that decoding does not give back; those without parity."""
-        new = list(keys)
+        """Ids of words; the decoded text of those that decoding does not give back; those without parity.
+
+        Words go through the pipeline, and through the model's library, as one text for many of them: no token
+        crosses into the next word, and a word begins where a piece begins with the marker. A group that does
+        not come out alike on all counts is gone through word by word.
+        """
+        joined = [k for k in keys if k and MARK not in k] if self.lead and self.checks_words else []
+        groups = [joined[at : at + WORDS_TOGETHER] for at in range(0, len(joined), WORDS_TOGETHER)]
+        bodies = [self.lead + self.lead.join(g) for g in groups]
+        found = [e.ids for e in self.words.encode_batch_fast(bodies, add_special_tokens=False)]
+        own = self.reference([b[1:].replace(MARK, " ") for b in bodies])
+        alone = set(keys).difference(joined)
+        for group, body, ids, theirs in zip(groups, bodies, found, own):
+            packed = array("i", ids)
+            starts = np.flatnonzero(self.opens[np.frombuffer(packed, dtype=np.int32)])
+            if ids != theirs or len(starts) != len(group) or not self.spells(ids, body):
+                alone.update(group)
+                continue
+            data, cuts = packed.tobytes(), (starts * 4).tolist()
+            self.known.update(zip(group, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)]))))
+        self.learn_alone(list(alone))
+
+    def spells(self, ids: list[int], text: str) -> bool:
+        """Whether the bytes of the pieces, one after the other, are those of the text, which decoding then gives."""
+        try:
+            return b"".join(map(self.spelling.__getitem__, ids)) == text.encode("utf-8", "replace")
+        except TypeError:  # an unknown piece
+            return False
+
+    def learn_alone(self, new: list[str]) -> None:
+        """What ``learn`` does, each word by itself."""
         words = [self.lead + k for k in new]
         ids = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
         self.known.update(zip(new, map(_packed, ids)))
-        other, piece = [], self.texts.__getitem__
-        for i, (word, found) in enumerate(zip(words, ids)):
-            try:
-                same = "".join(map(piece, found)) == word
-            except TypeError:  # a byte or unknown piece
-                same = False
-            if not same:
-                other.append(i)
+        other = [i for i, (word, found) in enumerate(zip(words, ids)) if not self.spells(found, word)]
         for i, text in zip(other, self.words.decode_batch([ids[i] for i in other], skip_special_tokens=False)):
             if text != words[i].replace(MARK, " "):
                 self.altered[new[i]] = text
@@ -226,10 +259,9 @@ class Codec:
             return list(zip(map(_packed, ids), self.decode(ids), map(eq, ids, self.reference(texts))))
         plain = [self.normalise(t) for t in texts]
         cut = [self.keys(t) for t in plain]
-        seen = set().union(*cut)
-        new = seen - self.known.keys()
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(cut)))
         if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known, self.altered, self.unlike, new = {}, {}, set(), seen
+            self.known, self.altered, self.unlike, new = {}, {}, set(), set().union(*cut)
         self.learn(new)
         made = [b"".join(map(self.known.__getitem__, keys)) for keys in cut]
         if self.checks_words:
