@@ -19,7 +19,7 @@ SCALE = 2_000_000
 #: A candidate gives way to a longer one with at least this share of its count, in percent.
 COVERED_PERCENT = 80
 #: Words that are counted together before their phrases leave a task.
-BATCH_WORDS = 1 << 19
+BATCH_WORDS = 1 << 18
 #: Size of a filter over phrases; a filled filter lets more phrases be counted and changes no result.
 FILTER_BITS = 1 << 25
 #: The first frontier reaches as many pairs as this many limits; each next one is ``WIDER`` times as wide.
@@ -66,6 +66,10 @@ class PhraseFilter:
             table[at : at + len(part)] = part
         self._table = phrases.sparkSession.sparkContext.broadcast(table)
 
+    def release(self) -> None:
+        """Executors need not keep the table; what was counted with it has been written."""
+        self._table.unpersist()
+
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         table = self._table.value
         spot = hashes & np.uint64(len(table) * 8 - 1)
@@ -248,6 +252,7 @@ def collocations(
     frequent = cut_lineage(words.where(F.col("f") >= least))
     known = PhraseFilter(frequent, filter_bits)
     pairs = cut_lineage(count_phrases(texts, 2, lambda p, q: known(p) & known(q), least))
+    known.release()
     pair_scores = cut_lineage(scored(pairs, frequent, 2))
     is_pair = PhraseFilter(pairs, filter_bits)
     counts = frequent.unionByName(pairs)
@@ -262,7 +267,7 @@ def collocations(
         floors = cut_lineage(
             pending.join(level, "lang", "left").select("lang", F.coalesce("score", F.lit(0)).cast("long").alias("floor"))
         )
-        top = cut_lineage(_reaching(texts, pair_scores, pairs, counts, is_pair, floors, least, filter_bits))
+        top = _reaching(texts, pair_scores, pairs, counts, is_pair, floors, least, filter_bits)
         ready = cut_lineage(
             floors.join(top.groupBy("lang").agg(F.count(F.lit(1)).alias("found")), "lang", "left").select(
                 "lang", ((F.col("floor") == 0) | (F.coalesce("found", F.lit(0)) >= limit)).alias("done")
@@ -273,6 +278,7 @@ def collocations(
         if pending.isEmpty():
             break
         width *= WIDER
+    is_pair.release()
     survivors = settled[0]
     for more in settled[1:]:
         survivors = survivors.unionByName(more)
@@ -315,4 +321,7 @@ def _reaching(
         wide = lambda x, by: F.col(x).cast("decimal(19,0)") * F.lit(by).cast("decimal(4,0)")
         free = F.col("longest_f").isNull() | (wide("longest_f", 100) < wide("a", COVERED_PERCENT))
         kept = kept.unionByName(held.where(free).select(*columns))
+    kept = cut_lineage(kept)
+    for table in (grows, starts, grows3, starts3, good3):
+        table.release()
     return kept
