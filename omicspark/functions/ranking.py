@@ -5,7 +5,8 @@ distinct value of a group in one aggregation buffer) and a plain window over
 the group are both out. Everything here first counts values in bins whose
 number is monotone in the value. The histogram of a group is small, so its
 running sum is a cheap window; only rows inside one bin are ever ordered
-together. Results are exact: bins decide where a value lies, never its value.
+together. Places of rows come from ranges of the whole order, counted one by
+one. Results are exact: bins decide where a value lies, never its value.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from omicspark.session import cut_lineage
+
 BINS_PER_OCTAVE = 256
-TIE_PREFIX = 4
 
 
 def finite(column: Column | str) -> Column:
@@ -181,51 +183,36 @@ def positions(
     descending: bool = True,
     total: str | None = None,
 ) -> DataFrame:
-    """0-based place of each row in its group, by ``value`` then ``tie`` ascending.
+    """0-based place of each row in its group, by ``value`` then ``tie`` ascending; ``total`` names the group's size.
 
-    Equal values are split further by the leading characters of ``tie``, so a
-    value shared by a third of the rows is ordered by many tasks.
+    Rows are dealt into ranges of (group, value, tie), with a hash of the row behind them, so neither a group nor
+    a value that a third of the rows share lies in one task. Each range is ordered by itself and written; the
+    counts of the ranges, one row per range and group, give where a range begins.
     """
     rows, by = _keyed(df, keys)
-    rows = rows.where(F.col(value).isNotNull()).withColumn(
-        "__t", F.substring(F.coalesce(F.col(tie).cast("string"), F.lit("")), 1, TIE_PREFIX)
-    )
-    sign = -1 if descending else 1
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    counts = (
-        rows.groupBy(*by, value, "__t")
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__b", order_bin(F.col(value)) * sign)
-    )
-    inside = (
-        Window.partitionBy(*by, "__b")
-        .orderBy(order, "__t")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    counts = counts.withColumn("__in", F.coalesce(F.sum("__c").over(inside), F.lit(0)))
+    rows = rows.where(F.col(value).isNotNull())
+    order = [F.col(k).asc_nulls_first() for k in by]
+    order.append(F.col(value).desc() if descending else F.col(value).asc())
+    order.append(F.col(tie).cast("string").asc_nulls_first())
+    order.append(F.xxhash64(*df.columns).asc())
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The number of a row holds that of its range and its place there; written, both stay what they are.
+    ordered = cut_lineage(ordered.withColumn("__id", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("__part", F.shiftright("__id", 33))
+    parts = ordered.groupBy(*by, "__part").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__c"))
     group = Window.partitionBy(*by)
-    running = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = (
-        counts.groupBy(*by, "__b")
-        .agg(F.sum("__c").alias("__bc"))
-        .select(
-            *by,
-            "__b",
-            F.coalesce(F.sum("__bc").over(running), F.lit(0)).alias("__start"),
-            F.sum("__bc").over(group).alias("__n"),
-        )
-    )
-    starts = same_keys(counts, histogram, [*by, "__b"]).select(
-        *by, value, "__t", (F.col("__start") + F.col("__in")).alias("__before"), "__n"
-    )
-    placed = same_keys(rows, starts, [*by, value, "__t"])
-    local = Window.partitionBy(*by, value, "__t").orderBy(F.col(tie).asc_nulls_first())
-    placed = placed.withColumn(
-        out, (F.col("__before") + F.row_number().over(local) - 1).cast("bigint")
+    earlier = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *by,
+        "__part",
+        (F.col("__first") - F.coalesce(F.sum("__c").over(earlier), F.lit(0))).alias("__zero"),
+        F.sum("__c").over(group).alias("__n"),
     )
+    placed = same_keys(ordered, cut_lineage(parts), [*by, "__part"])
+    placed = placed.withColumn(out, (F.col("__id") - F.col("__zero")).cast("bigint"))
     if total:
         placed = placed.withColumn(total, F.col("__n"))
-    return placed.drop("__t", "__before", "__n", "__all")
+    return placed.drop("__id", "__part", "__zero", "__n", "__all")
 
 
 def running_total(

@@ -301,13 +301,17 @@ def assign_batch(samples: DataFrame, design: DataFrame, sample: str = "sample_id
         named = design.where(F.coalesce(F.col("experiment"), F.lit("")) != "")
         named = named.groupBy("experiment").agg(F.min("batch").alias("batch"))
         # Only pieces as long as some experiment's name are listed: their number grows with the id's length, and
-        # "contains" is an equi join. The lengths that occur are few and come to the rows as one array.
+        # "contains" is an equi join. The lengths that occur are few numbers.
         text, size = F.col(sample), F.char_length(sample)
-        lengths = named.agg(F.collect_set(F.char_length("experiment"))).scalar()
+        lengths = sorted(r[0] for r in named.select(F.char_length("experiment")).distinct().collect())
         pieces = F.flatten(
-            F.transform(
-                F.filter(lengths, lambda n: n <= size),
-                lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(text, i, n)),
+            F.array(
+                F.array().cast("array<string>"),
+                *[
+                    F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i, n=n: F.substr(text, i, F.lit(n))))
+                    .otherwise(F.array().cast("array<string>"))
+                    for n in lengths
+                ],
             )
         )
         listed = left.select(sample, F.explode(F.array_distinct(pieces)).alias("experiment"))

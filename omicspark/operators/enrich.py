@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from omicspark.functions import expressions as E
 from omicspark.functions.ranking import finite, order_bin, positions, running_total, same_keys
+from omicspark.operators.query import Cursor, page_of
 from omicspark.session import cut_lineage
 
 MIN_SIZE, MAX_SIZE = 15, 500
@@ -300,14 +301,14 @@ def gsea_summary(results: DataFrame) -> DataFrame:
 
 def list_terms(
     results: DataFrame, significant_only: bool = False, search: str = "", sort_by: str = "nes",
-    order: str = "desc", page: int = 1, size: int = 50,
+    order: str = "desc", page: int = 1, size: int = 50, after: Cursor | None = None,
 ) -> DataFrame:
+    """A page of terms; nulls last both ways, ties by name. ``after`` is the last row of the page before."""
     rows = results.where(significant_term()) if significant_only else results
     if search:
         rows = rows.where(E.contains_text([F.col("set")], search))
-    key = F.col(sort_by if sort_by in {"nes", "pval", "fdr", "matched_genes"} else "nes")
-    key = key.desc_nulls_last() if order.lower() == "desc" else key.asc_nulls_last()
-    return rows.orderBy(key, "set").offset((page - 1) * size).limit(size)
+    key = sort_by if sort_by in {"nes", "pval", "fdr", "matched_genes"} else "nes"
+    return page_of(rows, key, order.lower() == "desc", "set", page, size, after)
 
 
 def top_terms(results: DataFrame, n: int = 5) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from omicspark.functions.ranking import (
     exact_quantiles,
     finite,
-    positions,
+    value_counts_before,
     same_keys,
 )
 from omicspark.session import cut_lineage
@@ -63,28 +63,34 @@ def normalize_quantiles(df: DataFrame, value: str = "log2_abundance") -> DataFra
     A sample with gaps is stretched first: its sorted values are interpolated
     to as many places as the table has features, so every place of the profile
     is a mean over all samples, and its values are read back at their relative
-    ranks. Ranks come from histograms, so no sample is sorted by one task.
+    ranks. Ranks are counted per distinct value, so no sample is sorted by one
+    task and a value that many features share is one row.
     """
-    keyed = df.withColumn("__f", F.concat_ws("\x1f", *FEATURE))
     total = df.select(*FEATURE).distinct().count()
-    placed = positions(keyed, ["sample"], value, "__f", out="__p", descending=False, total="__size")
-    placed = cut_lineage(placed.select("sample", "__p", "__size", F.col(value).cast("double").alias("__v")))
+    counts = value_counts_before(df, ["sample"], value)
+    # A value takes the ranks from __p to __end.
+    placed = cut_lineage(
+        counts.select(
+            "sample", F.col(value).cast("double").alias("__v"), F.col("n_before").alias("__p"),
+            (F.col("n_before") + F.col("n_equal") - 1).alias("__end"), F.col("n_total").alias("__size"),
+        )
+    )
     last, gaps = F.lit(max(total - 1, 0)), F.col("__size") - 1
-    following = placed.select("sample", (F.col("__p") - 1).alias("__p"), F.col("__v").alias("__next"))
-    steps = placed.join(following, ["sample", "__p"], "left").withColumn("__next", F.coalesce("__next", "__v"))
-    # Place j lies between the ranks p and p + 1 where p * last <= j * gaps < (p + 1) * last.
+    following = placed.select("sample", (F.col("__p") - 1).alias("__end"), F.col("__v").alias("__next"))
+    steps = placed.join(following, ["sample", "__end"], "left").withColumn("__next", F.coalesce("__next", "__v"))
+    # Place j lies between the ranks p and end + 1 where p * last <= j * gaps < (end + 1) * last.
     first = F.when(gaps == 0, F.lit(0)).otherwise(F.ceil(F.col("__p") * last / gaps))
-    until = F.when((gaps == 0) | (F.col("__p") == gaps), last).otherwise(F.ceil((F.col("__p") + 1) * last / gaps) - 1)
+    until = F.when((gaps == 0) | (F.col("__end") == gaps), last).otherwise(F.ceil((F.col("__end") + 1) * last / gaps) - 1)
     steps = steps.withColumn("__first", first.cast("bigint")).withColumn("__until", until.cast("bigint"))
     spread = steps.where("__until >= __first").withColumn("__j", F.explode(F.sequence("__first", "__until")))
-    into = F.when((gaps == 0) | (last == 0), 0.0).otherwise(F.col("__j") * gaps / last - F.col("__p"))
+    beyond = F.greatest(F.col("__j") * gaps / last - F.col("__end"), F.lit(0.0))
+    into = F.when((gaps == 0) | (last == 0), 0.0).otherwise(beyond)
     profile = spread.groupBy("__j").agg(F.avg(F.col("__v") + into * (F.col("__next") - F.col("__v"))).alias("__m"))
     profile = cut_lineage(profile)
     ahead = profile.select((F.col("__j") - 1).alias("__j"), F.col("__m").alias("__m1"))
     profile = profile.join(ahead, "__j", "left").withColumn("__m1", F.coalesce("__m1", "__m"))
-    ranks = placed.groupBy("sample", "__v").agg(F.avg("__p").alias("__r"), F.max("__size").alias("__size"))
-    at = F.when(gaps == 0, last / 2).otherwise(F.col("__r") * last / gaps)
-    ranks = ranks.withColumn("__at", at).withColumn("__j", F.floor("__at").cast("bigint"))
+    at = F.when(gaps == 0, last / 2).otherwise((F.col("__p") + F.col("__end")) / 2 * last / gaps)
+    ranks = placed.withColumn("__at", at).withColumn("__j", F.floor("__at").cast("bigint"))
     read = F.col("__m") + (F.col("__at") - F.col("__j")) * (F.col("__m1") - F.col("__m"))
     new = ranks.join(profile, "__j").select("sample", F.col("__v").alias(value), read.alias("__new"))
     joined = same_keys(df, new, ["sample", value])

@@ -1,7 +1,8 @@
 """Principal components and spectral embedding with the features spread out.
 
-Only sample-by-few arrays ever reach the driver: a Gram matrix while the
-number of samples is small, otherwise one vector per Lanczos step.
+One solver serves every size: a block of vectors is multiplied in one pass over
+the rows, and the passes go on until the wanted pairs have settled. Only
+sample-by-block arrays ever reach the driver.
 """
 
 from __future__ import annotations
@@ -10,14 +11,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from omicspark.functions.ranking import finite
 from omicspark.session import cut_lineage
 
-MAX_GRAM_SAMPLES = 512
-MAX_DENSE_ITEMS = 512
+#: Vectors that one pass multiplies; up to as many samples, the first pass gives the whole matrix.
+BLOCK_VECTORS = 64
+#: Samples whose sums travel in one row, and partial sums that one task adds up.
+CHUNK_SAMPLES, BRANCHES = 256, 64
 
 
 def complete_features(df: DataFrame, samples: int, feature: str, value: str) -> DataFrame:
@@ -56,74 +60,94 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
                 yield np.vstack(rows[at : at + step])
 
 
-def gram(rows: DataFrame, n: int) -> np.ndarray:
-    """Sample x sample product of the rows; each partition adds up its own first."""
+def _added(rows: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], np.ndarray], n: int, width: int) -> np.ndarray:
+    """Sum over the partitions of the (n, width) arrays that ``partial`` makes of them, by a tree of additions."""
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n, n))
-        for block in _batches(frames):
-            total += block.T @ block
-        i, j = np.triu_indices(n)
-        yield pd.DataFrame({"i": i, "j": j, "g": total[i, j]})
+    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = partial(frames)
+        leaf = TaskContext.get().partitionId() % BRANCHES
+        for at in range(0, n, CHUNK_SAMPLES):
+            yield pd.DataFrame({"chunk": [at], "leaf": [leaf], "g": [total[at : at + CHUNK_SAMPLES].ravel().tolist()]})
 
-    cells = rows.mapInPandas(partial, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
-    pdf = cells.toPandas()  # n * (n + 1) / 2 numbers, n <= MAX_GRAM_SAMPLES
-    matrix = np.zeros((n, n))
-    matrix[pdf["i"], pdf["j"]] = pdf["g"]
-    return matrix + np.triu(matrix, 1).T
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[[0]].copy()
+        first["g"] = [np.sum(np.stack(pdf["g"].to_list()), axis=0).tolist()]
+        return first
 
+    schema = "chunk int, leaf int, g array<double>"
+    sums = rows.mapInPandas(emit, schema).groupBy("chunk", "leaf").applyInPandas(add, schema)
+    sums = sums.groupBy("chunk").applyInPandas(add, schema)
+    out = np.zeros((n, width))
+    for row in sums.toLocalIterator():  # n * width numbers
+        part = np.asarray(row["g"]).reshape(-1, width)
+        out[row["chunk"] : row["chunk"] + len(part)] = part
+    return out
 
-def gram_times(rows: DataFrame, n: int) -> Callable[[np.ndarray], np.ndarray]:
-    """x -> ZᵀZx, one pass over the rows per call."""
 
-    def apply(vector: np.ndarray) -> np.ndarray:
-        def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(n)
-            for block in _batches(frames):
-                total += block.T @ (block @ vector)
-            yield pd.DataFrame({"i": np.arange(n), "g": total})
+Product = Callable[[np.ndarray], np.ndarray]
 
-        summed = rows.mapInPandas(partial, "i int, g double").groupBy("i").agg(F.sum("g").alias("g"))
-        pdf = summed.toPandas()  # one number per sample
-        out = np.zeros(n)
-        out[pdf["i"]] = pdf["g"]
-        return out
+
+def gram_times(rows: DataFrame, n: int) -> Product:
+    """X -> ZᵀZX, one pass over the rows per call."""
+
+    def apply(block: np.ndarray) -> np.ndarray:
+        def partial(frames: Iterator[pd.DataFrame]) -> np.ndarray:
+            total = np.zeros(block.shape)
+            for z in _batches(frames):
+                total += z.T @ (z @ block)
+            return total
+
+        return _added(rows, partial, n, block.shape[1])
+
+    return apply
+
+
+def matrix_times(cells: DataFrame, n: int) -> Product:
+    """X -> AX for a symmetric matrix whose ``cells`` (i, j, c) lie above the diagonal, which holds ones."""
+
+    def apply(block: np.ndarray) -> np.ndarray:
+        def partial(frames: Iterator[pd.DataFrame]) -> np.ndarray:
+            total = np.zeros(block.shape)
+            for pdf in frames:
+                i, j, c = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["c"].to_numpy()
+                for to, of in ((i, j), (j, i)):
+                    for k in range(block.shape[1]):
+                        total[:, k] += np.bincount(to, c * block[of, k], n)
+            return total
+
+        return block + _added(cells, partial, n, block.shape[1])
 
     return apply
 
 
-def lanczos(
-    times: Callable[[np.ndarray], np.ndarray], n: int, k: int = 2, tolerance: float = 1e-12
-) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest eigenpairs of a symmetric operator, with full re-orthogonalisation.
+def block_krylov(times: Product, n: int, k: int = 2, width: int = BLOCK_VECTORS, tolerance: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenpairs of a symmetric operator on n numbers.
 
-    Goes on until the pairs have settled, at the latest after n steps, when
-    they are exact.
+    The space spanned by a block and its images grows by one pass at a time, kept orthogonal, until the residuals
+    of the pairs are below ``tolerance`` of the largest value or the space is whole, when they are exact. Up to
+    ``width`` numbers the block is the identity, so one pass is enough.
     """
-    rng = np.random.default_rng(7)
-    q = rng.standard_normal(n)
-    q /= np.linalg.norm(q)
-    basis, alpha, beta = [q], [], []
-    for step in range(n):
-        w = times(basis[-1])
-        alpha.append(float(basis[-1] @ w))
+    block = np.eye(n) if n <= width else np.linalg.qr(np.random.default_rng(7).standard_normal((n, width)))[0]
+    basis, images = block, times(block)
+    last = images
+    while True:
+        small = basis.T @ images
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+        rest = np.linalg.norm(images @ vectors - (basis @ vectors) * values, axis=0)
+        if basis.shape[1] >= n or np.all(rest <= tolerance * max(abs(values[0]), 1e-300)):
+            break
+        size = np.linalg.norm(last)
         for _ in range(2):
-            for v in basis:
-                w = w - (v @ w) * v
-        size = float(np.linalg.norm(w))
-        small = np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1)
-        values, vectors = np.linalg.eigh(small)
-        if len(alpha) >= k:
-            gaps = size * np.abs(vectors[-1, -k:])
-            if np.all(gaps < tolerance * max(abs(values[-1]), 1e-300)) or size < 1e-12:
-                break
-        if step + 1 == n or size < 1e-12:
+            last = last - basis @ (basis.T @ last)
+        left, strength, _ = np.linalg.svd(last, full_matrices=False)
+        block = left[:, strength > 1e-13 * max(size, 1e-300)][:, : n - basis.shape[1]]
+        if not block.shape[1]:
             break
-        beta.append(size)
-        basis.append(w / size)
-    order = np.argsort(values)[::-1][:k]
-    matrix = np.array(basis[: len(alpha)]).T
-    return values[order], matrix @ vectors[:, order]
+        block = np.linalg.qr(block - basis @ (basis.T @ block))[0]
+        last = times(block)
+        basis, images = np.hstack([basis, block]), np.hstack([images, last])
+    return values, basis @ vectors
 
 
 def fix_signs(vectors: np.ndarray) -> np.ndarray:
@@ -142,13 +166,13 @@ def pca(
     sample: str = "sample_id",
     value: str = "processed_log2_abundance",
     k: int = 2,
-    max_gram: int = MAX_GRAM_SAMPLES,
+    width: int = BLOCK_VECTORS,
 ) -> DataFrame:
     """(sample, pc1.., pc1_variance..): scores over features complete in all samples.
 
     With fewer than two samples or complete features every score is zero and
-    ``method`` is 'unavailable'. Up to ``max_gram`` samples the product matrix
-    is decomposed as a whole, beyond that by steps; both give the same scores.
+    ``method`` is 'unavailable'. The entry of largest size of each component is
+    positive. ``width`` vectors are multiplied in one pass.
     """
     names = (samples if samples is not None else df).select(sample).distinct()
     # One row per sample of the design.
@@ -159,11 +183,7 @@ def pca(
     rows = cut_lineage(standardized_rows(df, index, feature, sample, value, n)) if n >= 2 else None
     scores, shares, method = np.zeros((n, k)), np.zeros(k), "unavailable"
     if rows is not None and len(rows.take(2)) == 2:
-        if n <= max_gram:
-            values, vectors = np.linalg.eigh(gram(rows, n))
-            values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
-        else:
-            values, vectors = lanczos(gram_times(rows, n), n, k)
+        values, vectors = block_krylov(gram_times(rows, n), n, k, width)
         method, found = "exact", len(values)
         values = np.maximum(values, 0)
         total = rows.agg(F.sum(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
@@ -178,24 +198,25 @@ def pca(
 def pca_comparisons(fc: DataFrame, k: int = 2) -> DataFrame:
     """Comparisons as points: gaps filled with the feature's mean, then :func:`pca`.
 
-    ``fc`` is (feature, comparison, value). Each feature lists the comparisons
-    it lacks, so only gaps become rows.
+    ``fc`` is (feature, comparison, value). Each feature lists the numbers of the
+    comparisons it has, so only gaps become rows.
     """
-    names = fc.agg(F.collect_set("comparison")).scalar()
+    names = fc.select("comparison").where("comparison IS NOT NULL").distinct()
+    # One row per comparison; features list whole numbers and not names.
+    index = cut_lineage(names.withColumn("__at", F.row_number().over(Window.orderBy("comparison")) - 1))
+    count = index.count()
     known = fc.where(finite("value").isNotNull())
-    have = known.groupBy("feature").agg(
-        F.collect_set("comparison").alias("__have"), F.avg("value").alias("value")
-    )
-    gaps = have.withColumn("__all", names).select(
-        "feature", F.explode(F.array_except("__all", "__have")).alias("comparison"), "value"
+    have = known.join(index, "comparison").groupBy("feature").agg(
+        F.collect_set("__at").alias("__have"), F.avg("value").alias("value")
     )
+    every = F.sequence(F.lit(0), F.lit(count - 1)) if count else F.array().cast("array<int>")
+    gaps = have.select("feature", F.explode(F.array_except(every, F.col("__have"))).alias("__at"), "value")
+    gaps = gaps.join(index, "__at").select("feature", "comparison", "value")
     filled = known.select("feature", "comparison", "value").unionByName(gaps)
     return pca(filled, feature="feature", sample="comparison", value="value", k=k)
 
 
-def embed(
-    correlation: DataFrame, items: DataFrame | None = None, max_dense: int = MAX_DENSE_ITEMS
-) -> DataFrame:
+def embed(correlation: DataFrame, items: DataFrame | None = None, width: int = BLOCK_VECTORS) -> DataFrame:
     """(item, x, y): top-two eigenvectors of a correlation matrix times the root of their values.
 
     ``correlation`` is (left, right, correlation) above the diagonal; gaps
@@ -219,30 +240,7 @@ def embed(
         .select("i", "j", value.alias("c"))
         .where(F.col("c") != 0)
     )
-    if n <= max_dense:
-        pdf = cells.toPandas()  # at most n * (n - 1) / 2 cells, n <= max_dense
-        matrix = np.eye(n)
-        matrix[pdf["i"], pdf["j"]] = pdf["c"]
-        matrix[pdf["j"], pdf["i"]] = pdf["c"]
-        values, vectors = np.linalg.eigh(matrix)
-        values, vectors = values[::-1][:2], vectors[:, ::-1][:, :2]
-    else:
-        both = cut_lineage(cells.unionByName(cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "c")))
-
-        def times(vector: np.ndarray) -> np.ndarray:
-            def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                total = np.zeros(n)
-                for pdf in frames:
-                    np.add.at(total, pdf["i"].to_numpy(), pdf["c"].to_numpy() * vector[pdf["j"].to_numpy()])
-                yield pd.DataFrame({"i": np.arange(n), "g": total})
-
-            summed = both.mapInPandas(partial, "i int, g double").groupBy("i").agg(F.sum("g").alias("g"))
-            pdf = summed.toPandas()  # one number per item
-            out = vector.copy()  # the diagonal of ones
-            out[pdf["i"]] += pdf["g"]
-            return out
-
-        values, vectors = lanczos(times, n, 2)
+    values, vectors = block_krylov(matrix_times(cut_lineage(cells), n), n, 2, width)
     coords = fix_signs(vectors) * np.sqrt(np.maximum(values, 0))
     return spark.createDataFrame(
         [(o, float(coords[i, 0]), float(coords[i, 1])) for i, o in enumerate(order)],

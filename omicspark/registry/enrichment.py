@@ -235,6 +235,22 @@ def _(t: Tables) -> DataFrame:
     return enrich.list_terms(rows, search="BRAND#1", page=2, size=10)
 
 
+@query(
+    "term_page_after",
+    "G7",
+    """SELECT term AS "set", nes, pval, fdr, matched_genes FROM terms ORDER BY matched_genes NULLS LAST, term LIMIT 30 OFFSET 60""",
+    ("terms",),
+)
+def _(t: Tables) -> DataFrame:
+    """The third page of thirty, each page behind the last row of the one before."""
+    rows, order = t.view("terms").withColumnRenamed("term", "set"), {"sort_by": "matched_genes", "order": "asc", "size": 30}
+    after = None
+    for _ in range(2):
+        last = enrich.list_terms(rows, after=after, **order).collect()[-1]
+        after = enrich.Cursor(last["matched_genes"], last["set"])
+    return enrich.list_terms(rows, after=after, **order)
+
+
 @query(
     "top_terms",
     "G6",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from omicspark.functions import ranking
 from omicspark.operators import artifacts, fit, normalize, protein, summarize
+from omicspark.registry import fits
 from omicspark.registry.base import Tables, query
 from omicspark.session import cut_lineage
 
@@ -300,16 +301,32 @@ for _method, _agg in (("sum", "sum"), ("mean", "avg")):
         return out.withColumn("log2_abundance", F.round("log2_abundance", 5))
 
 
-for _method in ("medianPolish", "linear", "robustSummary"):
+SWEEPS_SQL = {"medianPolish": (fits.POLISH, "polished"), "linear": (fits.LINEAR, "fitted"), "robustSummary": (fits.ROBUST, "fitted")}
 
-    @query(f"summary_{_method}", {"medianPolish": "J10 J9", "linear": "J11", "robustSummary": "J9"}[_method])
+for _method in SWEEPS_SQL:
+
+    @query(
+        f"summary_{_method}",
+        {"medianPolish": "J10 J9", "linear": "J11", "robustSummary": "J9"}[_method],
+        f"WITH {SWEEPS_SQL[_method][0].format(source='logs', digits=5)} SELECT * FROM {SWEEPS_SQL[_method][1]}",
+        ("logs",),
+    )
     def _(t: Tables, method: str = _method) -> DataFrame:
-        return summarize.summarize(t.view("logs"), method)
+        out = summarize.summarize(t.view("logs"), method)
+        return out.withColumn("log2_abundance", F.round("log2_abundance", 5))
 
 
-@query("summary_top_features", "J10 F12")
+@query(
+    "summary_top_features",
+    "J10 F12",
+    f"""WITH m AS (SELECT protein, feature, avg(log2_abundance) AS v FROM logs GROUP BY ALL),
+best AS (SELECT protein, feature FROM (SELECT *, row_number() OVER (PARTITION BY protein ORDER BY round(v, 9) DESC, feature) AS rn FROM m) WHERE rn <= 3),
+chosen AS (SELECT logs.* FROM logs JOIN best USING (protein, feature)), {fits.polished_or_median('chosen')} SELECT * FROM summary""",
+    ("logs",),
+)
 def _(t: Tables) -> DataFrame:
-    return summarize.summarize_tmp(t.view("logs"), subset="topN", n_top=3)
+    out = summarize.summarize_tmp(t.view("logs"), subset="topN", n_top=3)
+    return out.withColumn("log2_abundance", F.round("log2_abundance", 5))
 
 
 @query("censored_imputation", "J12")
@@ -367,22 +384,75 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("group_mean_tests", "J18 J20 F7")
+def tests_shown(tests: DataFrame) -> DataFrame:
+    """Tests in comparable digits; a vanishing error makes t and p a matter of the last bit."""
+    sure = F.col("standard_error") > 1e-6
+    zero = lambda c: F.col(c) + F.lit(0.0)
+    return tests.select(
+        "protein", "comparison_id", F.round(zero("log2_fold_change"), 5).alias("log2_fold_change"),
+        F.round(zero("standard_error"), 5).alias("standard_error"), F.round("df", 4).alias("df"),
+        F.when(sure, F.round(zero("statistic"), 3)).alias("statistic"), F.when(sure, F.round("p_value", 5)).alias("p_value"),
+    )
+
+
+GROUP_MODEL = f"""{GROUP_FIT}, coefficient AS (SELECT protein, condition AS g, m, 1 / n AS inverse FROM means),
+model AS (SELECT protein, sqrt(v) AS sigma, df FROM pooled)"""
+
+
+@query(
+    "group_mean_tests",
+    "J18 J20 F7",
+    f"WITH {GROUP_MODEL}, {fits.contrasts('model', CONTRAST_SQL)} {fits.SHOWN}",
+    ("levels",),
+)
 def _(t: Tables) -> DataFrame:
-    return fit.contrast_group_means(fit.fit_group_means(t.view("levels")), contrast_frame(t))
+    return tests_shown(fit.contrast_group_means(fit.fit_group_means(t.view("levels")), contrast_frame(t)))
 
 
-@query("robust_model_tests", "J17 J20 J21 J22")
+@query(
+    "group_mean_adjusted",
+    "J18 F7",
+    f"WITH {GROUP_MODEL}, {fits.contrasts('model', CONTRAST_SQL)} SELECT protein, comparison_id, round(adjusted, 5) AS adjusted_p_value FROM test WHERE se > 1e-6",
+    ("levels",),
+)
+def _(t: Tables) -> DataFrame:
+    tests = fit.contrast_group_means(fit.fit_group_means(t.view("levels")).where("variance > 1e-10"), contrast_frame(t))
+    return tests.select("protein", "comparison_id", F.round("adjusted_p_value", 5).alias("adjusted_p_value"))
+
+
+@query(
+    "robust_model_tests",
+    "J17 J20 J21 J22",
+    f"WITH {fits.HUBER}, {fits.PRIOR}, {fits.contrasts('tested', CONTRAST_SQL, flat=True)} {fits.SHOWN}",
+    ("levels",),
+)
 def _(t: Tables) -> DataFrame:
     levels = t.view("levels")
     fits = cut_lineage(fit.fit_models(levels))
-    return fit.contrast_models(fits, contrast_frame(t), moderated=True, flat=fit.zero_variance(levels))
+    return tests_shown(fit.contrast_models(fits, contrast_frame(t), moderated=True, flat=fit.zero_variance(levels)))
 
 
-@query("batch_model_tests", "J17 J20")
+@query(
+    "moderated_variance",
+    "J21 J17",
+    f"WITH {fits.HUBER}, {fits.PRIOR} SELECT m.protein, round(m.sigma, 5) AS sigma, round(m.df, 4) AS df, round(t.sigma, 5) AS test_sigma, round(t.df, 3) AS test_df FROM model m JOIN tested t USING (protein)",
+    ("levels",),
+)
+def _(t: Tables) -> DataFrame:
+    found = fit.moderate_variance(cut_lineage(fit.fit_models(t.view("levels"))))
+    digits = {"sigma": 5, "df": 4, "test_sigma": 5, "test_df": 3}
+    return found.select("protein", *[F.round(F.col(c) + F.lit(0.0), d).alias(c) for c, d in digits.items()])
+
+
+@query(
+    "batch_model_tests",
+    "J17 J20",
+    f"WITH {fits.BATCHED}, {fits.contrasts('model', CONTRAST_SQL, tilted=True)} {fits.SHOWN}",
+    ("levels",),
+)
 def _(t: Tables) -> DataFrame:
     fits = cut_lineage(fit.fit_models(t.view("levels"), robust=False, use_batch=True))
-    return fit.contrast_models(fits, contrast_frame(t))
+    return tests_shown(fit.contrast_models(fits, contrast_frame(t)))
 
 
 @query(
@@ -395,9 +465,15 @@ def _(t: Tables) -> DataFrame:
     return fit.zero_variance(t.view("levels"))
 
 
-@query("batch_effect_removed", "J16")
+@query(
+    "batch_effect_removed",
+    "J16",
+    f"""WITH {fits.BATCHED} SELECT protein, sample, g AS condition, batch,
+  round(y - shift * (second - CASE WHEN count(DISTINCT batch) OVER (PARTITION BY protein) > 1 THEN 0.5 ELSE 0 END), 5) AS level FROM marked JOIN solved USING (protein)""",
+    ("levels",),
+)
 def _(t: Tables) -> DataFrame:
-    return fit.remove_batch_effect(t.view("levels"))
+    return fit.remove_batch_effect(t.view("levels")).withColumn("level", F.round("level", 5))
 
 
 ADJUST = {

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from omicspark.functions import ranking
 from omicspark.functions.expressions import finite
 from omicspark.operators import pca, qc
+from omicspark.registry import fits
 from omicspark.registry.base import Tables, query
 
 Q = "processed_log2_abundance"
@@ -307,22 +308,38 @@ def _(t: Tables) -> DataFrame:
     return placed.select("protein_accession", "feature_order")
 
 
-@query("sample_pca", "J25")
-def _(t: Tables) -> DataFrame:
-    rows = t.view("levels").withColumnsRenamed(
-        {"protein": "protein_accession", "sample": "sample_id", "level": "processed_log2_abundance"}
-    )
-    return pca.pca(rows)
+def components(value: str, item: str) -> str:
+    """SQL of the two first components of a CTE ``value`` (feature, item, x)."""
+    held = "(SELECT count(*) FROM whole) >= 2"
+    shown = ", ".join(f"coalesce(CASE WHEN {held} THEN round({x}, {d}) END, 0.0) AS {n}" for x, d, n in (
+        ("a.v * sqrt(greatest(a.value, 0))", 4, "pc1"), ("b.v * sqrt(greatest(b.value, 0))", 4, "pc2"),
+        ("100 * a.value / total", 5, "pc1_variance"), ("100 * b.value / total", 5, "pc2_variance"),
+    ))
+    return f"""WITH {value}, {fits.GRAM}, {fits.top_pairs('product')}
+SELECT item AS {item}, {shown}, CASE WHEN {held} THEN 'exact' ELSE 'unavailable' END AS method
+FROM place LEFT JOIN pair1 a USING (i) LEFT JOIN pair2 b USING (i), total"""
 
 
-@query("sample_pca_lanczos", "J25")
-def _(t: Tables) -> DataFrame:
-    rows = t.view("levels").withColumnsRenamed(
-        {"protein": "protein_accession", "sample": "sample_id", "level": "processed_log2_abundance"}
-    )
-    return pca.pca(rows, max_gram=0)
+LEVEL_VALUES = "value AS (SELECT protein AS feature, sample AS item, level AS x FROM levels)"
+FILLED_VALUES = """value AS (SELECT f.feature, c.comparison AS item, coalesce(fc.value, f.m) AS x FROM (SELECT feature, avg(value) AS m FROM fc GROUP BY 1) f
+  CROSS JOIN (SELECT DISTINCT comparison FROM fc) c LEFT JOIN fc ON fc.feature = f.feature AND fc.comparison = c.comparison)"""
+
+
+def components_shown(scores: DataFrame) -> DataFrame:
+    out = rounded(scores, ["pc1", "pc2"], 4)
+    return rounded(out, ["pc1_variance", "pc2_variance"], 5)
+
+
+for _name, _width in (("sample_pca", 64), ("sample_pca_lanczos", 4)):
+
+    @query(_name, "J25", components(LEVEL_VALUES, "sample_id"), ("levels",))
+    def _(t: Tables, width: int = _width) -> DataFrame:
+        rows = t.view("levels").withColumnsRenamed(
+            {"protein": "protein_accession", "sample": "sample_id", "level": "processed_log2_abundance"}
+        )
+        return components_shown(pca.pca(rows, width=width))
 
 
-@query("comparison_pca", "J26")
+@query("comparison_pca", "J26", components(FILLED_VALUES, "comparison"), ("fc",))
 def _(t: Tables) -> DataFrame:
-    return pca.pca_comparisons(t.view("fc"))
+    return components_shown(pca.pca_comparisons(t.view("fc")))

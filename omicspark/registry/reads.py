@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from omicspark.functions import expressions as E
 from omicspark.operators.correlation_store import CorrelationStore, write_store
-from omicspark.operators import compare, pca, query as reads
+from omicspark.operators import compare, pca, ptm, qc, query as reads
+from omicspark.registry import fits
 from omicspark.registry.base import Tables, query
 from omicspark.registry.quality import Q, quart, rounded
 
@@ -69,6 +70,20 @@ def _(t: Tables) -> DataFrame:
     return reads.list_results(t.view("diff"), "", page=3, size=50)[0]
 
 
+@query(
+    "result_page_after",
+    "G1",
+    f"{PAGE} WHERE comparison_id = '{FIRST}' AND result_layer = 'protein' ORDER BY psm_count DESC NULLS LAST, protein_accession LIMIT 40 OFFSET 40",
+    ("diff",),
+)
+def _(t: Tables) -> DataFrame:
+    """The page behind the last row of the first one, by its cursor."""
+    rows, order = t.view("diff"), {"sort_by": "psm_count", "order": "desc"}
+    seen = reads.list_results(rows, FIRST, size=40, **order)[0].select("master_protein_accessions").collect()
+    after = reads.result_cursor(rows, FIRST, seen[-1][0], "psm_count") if seen else reads.Cursor(None, None)
+    return reads.list_results(rows, FIRST, size=40, after=after, **order)[0]
+
+
 @query(
     "result_page_filtered",
     "G1 B13",
@@ -235,13 +250,47 @@ def _(t: Tables) -> DataFrame:
     ("plong",),
 )
 def _(t: Tables) -> DataFrame:
-    from omicspark.operators import qc
+    return rounded(per_sample(t)["protein_intensity"], ["abundance_q1", "abundance_median", "abundance_q3"])
 
+
+def per_sample(t: Tables) -> dict[str, DataFrame]:
     peptides = t.view("peptides")
-    frames = reads.qc_per_sample(
+    return reads.qc_per_sample(
         qc.qc_sample_metrics(t.view("plong")), qc.psm_completeness(peptides), qc.psm_intensity(peptides)
     )
-    return rounded(frames["protein_intensity"], ["abundance_q1", "abundance_median", "abundance_q3"])
+
+
+@query(
+    "qc_per_sample_proteins",
+    "P16 E15",
+    f"SELECT sample_id, min(condition) AS condition, count({Q}) AS present, count(*) - count({Q}) AS missing, count(*) AS total FROM plong GROUP BY sample_id",
+    ("plong",),
+)
+def _(t: Tables) -> DataFrame:
+    return per_sample(t)["protein_completeness"]
+
+
+@query(
+    "qc_per_sample_psms",
+    "P16 E15",
+    f"""WITH p AS (SELECT * FROM peptides WHERE result_layer = 'protein'), n AS (SELECT count(DISTINCT peptide_id) AS total FROM p),
+c AS (SELECT sample_id, condition, count(DISTINCT peptide_id) FILTER (WHERE {Q} IS NOT NULL) AS present FROM p GROUP BY ALL)
+SELECT sample_id, condition, total, present, total - present AS missing FROM c, n""",
+    ("peptides",),
+)
+def _(t: Tables) -> DataFrame:
+    return per_sample(t)["psm_completeness"]
+
+
+@query(
+    "qc_per_sample_intensity",
+    "P16 E16",
+    f"""SELECT result_layer, condition, coalesce(replicate, sample_id) AS replicate, count(DISTINCT sample_id) AS sample_count, {quart(Q)}
+FROM peptides WHERE {Q} IS NOT NULL AND result_layer = 'protein' GROUP BY result_layer, condition, coalesce(replicate, sample_id)""",
+    ("peptides",),
+)
+def _(t: Tables) -> DataFrame:
+    return rounded(per_sample(t)["psm_intensity"], ["q1", "median", "q3"])
 
 
 # ------------------------------------------------------------------- comparisons
@@ -305,6 +354,24 @@ def _(t: Tables) -> DataFrame:
     return rounded(compare.layer_correlation(fc)["pairs"], ["correlation"])
 
 
+@query(
+    "site_layer_correlation",
+    "J31 F9",
+    """WITH r AS (SELECT 'S' || CAST(CAST(substr(split_part(protein_accession, ';', 1), 2) AS BIGINT) % 97 AS VARCHAR) AS feature, comparison_id AS comparison, log2_fold_change,
+  CAST(substr(split_part(protein_accession, ';', 1), 2) AS BIGINT) AS row_order FROM diff WHERE result_layer = 'ptm'),
+f AS (SELECT feature, comparison, arg_max(log2_fold_change, row_order) AS value FROM r WHERE log2_fold_change IS NOT NULL GROUP BY ALL),
+pairs AS (SELECT a.comparison AS l, b.comparison AS r, count(*) AS n, corr(a.value, b.value) AS c FROM f a JOIN f b ON a.feature = b.feature AND a.comparison < b.comparison GROUP BY ALL)
+SELECT l AS "left", r AS "right", n AS matched, round(CASE WHEN n >= 2 THEN c END, 6) AS correlation FROM pairs""",
+    ("diff",),
+)
+def _(t: Tables) -> DataFrame:
+    """Many rows of a feature and comparison: the last by row order counts."""
+    number = F.expr("cast(substr(split_part(protein_accession, ';', 1), 2) as bigint)")
+    rows = t.view("diff").where("result_layer = 'ptm'").withColumn("row_order", number)
+    rows = rows.withColumn("protein_accession", F.concat(F.lit("S"), (F.col("row_order") % 97).cast("string")))
+    return rounded(compare.layer_correlation(ptm.matched_correlation_input(rows))["pairs"], ["correlation"])
+
+
 @query(
     "comparison_rank_correlation",
     "J28 D15 F6",
@@ -437,14 +504,17 @@ def _(t: Tables) -> DataFrame:
     return compare.correlation_bars(scores)
 
 
-@query("comparison_embedding", "J32")
-def _(t: Tables) -> DataFrame:
-    return pca.embed(compare.pairwise_pearson(t.view("fc")))
+EMBEDDED = f"""WITH {PAIR_SUMS}, place AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS i FROM (SELECT DISTINCT comparison AS item FROM fc)),
+half AS (SELECT a.i, b.i AS j, CASE WHEN n >= 100 THEN {R} ELSE 0 END AS v FROM pairs JOIN place a ON a.item = l JOIN place b ON b.item = r WHERE l <> r),
+matrix AS MATERIALIZED (SELECT i, j, v FROM half UNION ALL SELECT j, i, v FROM half UNION ALL SELECT i, i, 1.0::DOUBLE FROM place), {fits.top_pairs('matrix')}
+SELECT item, round(a.v * sqrt(greatest(a.value, 0)), 4) AS x, round(b.v * sqrt(greatest(b.value, 0)), 4) AS y
+FROM place JOIN pair1 a USING (i) JOIN pair2 b USING (i)"""
 
+for _name, _width in (("comparison_embedding", 64), ("comparison_embedding_lanczos", 4)):
 
-@query("comparison_embedding_lanczos", "J32")
-def _(t: Tables) -> DataFrame:
-    return pca.embed(compare.pairwise_pearson(t.view("fc")), max_dense=0)
+    @query(_name, "J32", EMBEDDED, ("fc",))
+    def _(t: Tables, width: int = _width) -> DataFrame:
+        return rounded(pca.embed(compare.pairwise_pearson(t.view("fc")), width=width), ["x", "y"], 4)
 
 
 CHOSEN = ["D1_vs_DMSO", "D2_vs_DMSO", "D3_vs_DMSO"]

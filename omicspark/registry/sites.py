@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from omicspark.functions import expressions as E
 from omicspark.operators import design, ptm, qc, summarize
 from omicspark.plans import workflows
-from omicspark.registry import proteins
+from omicspark.registry import fits, proteins
 from omicspark.registry.base import Tables, query
 from omicspark.registry.preparation import PTM_CHANNELS
 from omicspark.registry.quality import rounded
@@ -318,10 +320,40 @@ def _(t: Tables) -> DataFrame:
     return rounded(site_tables(t)["ptm_input"], ["Intensity"], 5)
 
 
-@query("site_layer_summary", "J13 P4")
+def second(text: str) -> str:
+    """The rule of ``covered`` under other names, for a query that needs it twice."""
+    return re.sub(r"\b(need|grid|passing)\b", r"\g<1>2", text)
+
+
+# Both layers are polished together; a layer's name before a protein keeps them apart.
+LAYERS = f"""{SITES}, {covered('ProteinName', 'feat', '0.40')},
+m AS (SELECT Channel, quantile_cont(log2(Abundance), 0.5) AS m FROM feat WHERE Channel IN ('126', '127N', '127C') GROUP BY 1),
+f AS (SELECT Channel, pow(2, m - (SELECT quantile_cont(m, 0.5) FROM m)) AS f FROM m),
+site_cell AS (SELECT 'ptm:' || ProteinName AS protein, Peptidoform || '|' || Charge AS feature, BioReplicate AS sample, log2(max(Abundance / coalesce(f, 1))) AS log2_abundance
+  FROM feat LEFT JOIN f ON f.Channel = feat.Channel WHERE ProteinName IN (SELECT item FROM passing) GROUP BY ALL HAVING max(Abundance / coalesce(f, 1)) > 0),
+form AS (SELECT Master_Protein_Accessions AS acc, upper(regexp_replace(CASE WHEN len(string_split(Annotated_Sequence, '.')) >= 3 THEN string_split(Annotated_Sequence, '.')[2] ELSE Annotated_Sequence END, '[^A-Za-z]', '', 'g'))
+  || '|' || coalesce(Modifications, '') AS form, Charge, Channel, Condition, Replicate, Role, BioReplicate, Abundance FROM ptm_rows),
+total AS (SELECT acc, form, Charge, Channel, Condition, Replicate, Role, BioReplicate, sum(Abundance) AS Abundance FROM form GROUP BY ALL),
+{second(covered('acc', 'total', '0.40'))},
+protein_cell AS (SELECT 'protein:' || acc AS protein, form || '|' || Charge AS feature, BioReplicate AS sample, log2(max(Abundance)) AS log2_abundance
+  FROM total WHERE acc IN (SELECT item FROM passing2) GROUP BY ALL HAVING max(Abundance) > 0),
+center AS (SELECT sample, quantile_cont(log2_abundance, 0.5) AS c FROM protein_cell GROUP BY sample),
+level AS (SELECT protein, feature, p.sample, log2_abundance - (c - (SELECT quantile_cont(c, 0.5) FROM center)) AS log2_abundance
+  FROM protein_cell p JOIN center ON center.sample = p.sample UNION ALL SELECT * FROM site_cell),
+{fits.polished_or_median('level')}"""
+
+
+@query(
+    "site_layer_summary",
+    "J13 P4",
+    f"""WITH {LAYERS}, kind AS (SELECT BioReplicate AS sample, min(Condition) AS condition FROM ptm_rows GROUP BY 1)
+SELECT substr(protein, strpos(protein, ':') + 1) AS protein_accession, s.sample AS sample_id, condition, log2_abundance AS processed_log2_abundance,
+  split_part(protein, ':', 1) AS result_layer FROM summary s JOIN kind ON kind.sample = s.sample WHERE condition <> 'Norm'""",
+    SITE_VIEWS,
+)
 def _(t: Tables) -> DataFrame:
     tables = site_tables(t)
-    return summarize.summarize_layers(tables["ptm_input"], tables["protein_input"])
+    return rounded(summarize.summarize_layers(tables["ptm_input"], tables["protein_input"]), ["processed_log2_abundance"], 5)
 
 
 @query("site_study_results", "P12 P17 J20 J21 J24")
@@ -358,6 +390,89 @@ def _(t: Tables) -> DataFrame:
     return qc.ptm_qc(shifted, psms, t.view("diff"))["site_completeness"]
 
 
+SITE_PSMS = "q AS (SELECT ProteinName || chr(31) || Peptidoform || chr(31) || CAST(CAST(Charge AS INTEGER) AS VARCHAR) AS k, Condition, Replicate, Sample, Abundance FROM s)"
+
+
+def site_frames(t: Tables) -> dict[str, DataFrame]:
+    """Quality frames of the sites, with an abundance that nothing normalised."""
+    features = ptm.sum_features(sited(t), ptm.FEATURE_KEYS)
+    features = cut_lineage(features.withColumn("NormalizedAbundance", F.col("Abundance")).withColumn("Imputed", F.lit(False)))
+    return qc.ptm_qc(features, ptm.feature_input(features, "ProteinName", "Abundance"), t.view("diff"))
+
+
+@query(
+    "site_qc_psm_completeness",
+    "P11 E15",
+    f"""WITH {ABUND}, {SITE_PSMS} SELECT Sample, count(DISTINCT k) FILTER (WHERE Abundance > 0) AS present, (SELECT count(DISTINCT k) FROM q) AS total,
+  (SELECT count(DISTINCT k) FROM q) - count(DISTINCT k) FILTER (WHERE Abundance > 0) AS missing FROM q GROUP BY Sample""",
+    SITE_VIEWS,
+)
+def _(t: Tables) -> DataFrame:
+    return site_frames(t)["psm_completeness"]
+
+
+@query(
+    "site_qc_psm_intensity",
+    "P11 E17",
+    f"""WITH {ABUND}, {SITE_PSMS}, m AS (SELECT *, quantile_cont(Abundance, 0.5) OVER (PARTITION BY Condition, Replicate) AS sm FROM q),
+g AS (SELECT quantile_cont(sm, 0.5) AS g FROM m),
+v AS (SELECT Condition, CAST(Replicate AS VARCHAR) AS Replicate, CASE WHEN Abundance > 0 THEN log2(Abundance * (g.g / sm)) END AS x FROM m, g),
+b AS (SELECT Condition, Replicate, min(x) AS lo, max(x) AS hi, count(x) AS value_count, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.5) AS md, quantile_cont(x, 0.75) AS c
+  FROM v GROUP BY ALL)
+SELECT Condition, Replicate, value_count, round(a, 6) AS q1, round(md, 6) AS median, round(c, 6) AS q3,
+  round(greatest(a - 1.5 * (c - a), lo), 6) AS lowerfence, round(least(c + 1.5 * (c - a), hi), 6) AS upperfence FROM b""",
+    SITE_VIEWS,
+)
+def _(t: Tables) -> DataFrame:
+    return rounded(site_frames(t)["intensity"], ["q1", "median", "q3", "lowerfence", "upperfence"])
+
+
+@query(
+    "site_qc_pvalues",
+    "P11 E20",
+    """WITH b AS (SELECT comparison_id, least(CAST(floor(p_value * 20) AS INTEGER), 19) AS bin FROM diff WHERE p_value BETWEEN 0 AND 1),
+g AS (SELECT comparison_id, CAST(r.range AS INTEGER) AS bin FROM (SELECT DISTINCT comparison_id FROM diff), range(20) r)
+SELECT g.comparison_id, g.bin, count(b.bin) AS count FROM g LEFT JOIN b ON b.comparison_id = g.comparison_id AND b.bin = g.bin GROUP BY ALL""",
+    ("diff",),
+)
+def _(t: Tables) -> DataFrame:
+    return site_frames(t)["pvalues"]
+
+
+@query(
+    "site_detail_peptidoforms",
+    "P14 E8",
+    f"""WITH {SITES}, {EVIDENCE}, one AS (SELECT min(ProteinName) AS site FROM ev),
+m AS (SELECT arg_min(token, id) AS SiteToken, arg_max(status, {STATUS_RANK}) AS LocalizationStatus, arg_min(mapping_status, id) AS MappingStatus FROM ev, one WHERE ProteinName = site)
+SELECT ProteinName, label AS SiteLabel, peptide || '|' || coalesce(mods, '') AS Peptidoform, Charge, count(*) AS PSMCount, SiteToken, LocalizationStatus, MappingStatus
+FROM ev, one, m WHERE ProteinName = site GROUP BY ALL""",
+    SITE_VIEWS,
+)
+def _(t: Tables) -> DataFrame:
+    """The peptidoforms of one site beside its metadata."""
+    details = first_site(t)
+    shown = details["site"].select("SiteToken", "LocalizationStatus", "MappingStatus")
+    return details["peptidoforms"].withColumn("__k", F.lit(0)).join(shown.withColumn("__k", F.lit(0)), "__k").drop("__k")
+
+
+def first_site(t: Tables) -> dict[str, DataFrame]:
+    evidence = cut_lineage(passing_evidence(t))
+    site = evidence.agg(F.min("ProteinName")).first()[0] or ""
+    return ptm.site_details(site, ptm.site_metadata(evidence, TARGET), evidence, ptm.peptidoform_counts(evidence))
+
+
+@query(
+    "site_detail_evidence",
+    "P14",
+    f"""WITH {SITES}, {EVIDENCE} SELECT status AS LocalizationStatus, source AS LocalizationSource, scores AS LocalizationScores, labels AS PeptidePositions, bar AS ProteinPositions, count(*) AS rows
+FROM ev WHERE ProteinName = (SELECT min(ProteinName) FROM ev) GROUP BY ALL""",
+    SITE_VIEWS,
+)
+def _(t: Tables) -> DataFrame:
+    columns = ["LocalizationStatus", "LocalizationSource", "LocalizationScores", "PeptidePositions", "ProteinPositions"]
+    return first_site(t)["evidence"].groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(
     "site_levels",
     "P11 C3",

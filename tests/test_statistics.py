@@ -352,8 +352,8 @@ def test_components_match_numpy(spark):
     x = matrix.T
     x = (x - x.mean(axis=0)) / x.std(axis=0)
     u, s, _ = np.linalg.svd(x, full_matrices=False)
-    for most in (512, 0):
-        out = pca.pca(df, max_gram=most).toPandas().sort_values("sample_id")
+    for width in (64, 9, 4, 2):
+        out = pca.pca(df, width=width).toPandas().sort_values("sample_id")
         assert np.allclose(np.abs(out["pc1"]), np.abs(u[:, 0] * s[0]), atol=1e-6)
         assert np.allclose(np.abs(out["pc2"]), np.abs(u[:, 1] * s[1]), atol=1e-6)
         assert out["pc1_variance"].iloc[0] == pytest.approx(s[0] ** 2 / (s**2).sum() * 100)
@@ -364,8 +364,23 @@ def test_embedding_matches_numpy(spark):
     rng = np.random.default_rng(12)
     fc = matrix_frame(spark, rng.normal(size=(60, 7)) + np.outer(rng.normal(size=60), rng.normal(size=7)))
     corr = compare.pairwise_pearson(fc, 3)
-    dense, sparse = (pca.embed(corr, max_dense=m).toPandas().sort_values("item") for m in (512, 0))
-    assert np.allclose(np.abs(dense[["x", "y"]]), np.abs(sparse[["x", "y"]]), atol=1e-6)
+    whole, steps = (pca.embed(corr, width=w).toPandas().sort_values("item") for w in (64, 2))
+    assert np.allclose(whole[["x", "y"]], steps[["x", "y"]], atol=1e-6)
+
+
+def test_block_krylov_needs_few_passes():
+    rng = np.random.default_rng(3)
+    root = rng.normal(size=(900, 700)) * np.linspace(1, 0.2, 700)
+    root[:, 0] *= 8
+    root[:, 1] *= 5
+    matrix, passes = root.T @ root, []
+    values, vectors = pca.block_krylov(lambda x: passes.append(1) or matrix @ x, 700)
+    want, full = np.linalg.eigh(matrix)
+    assert np.allclose(values, want[::-1][:2]) and len(passes) <= 8
+    assert np.allclose(np.abs(vectors.T @ full[:, ::-1][:, :2]), np.eye(2), atol=1e-6)
+    # Equal values and a matrix of low rank end as well.
+    assert np.allclose(pca.block_krylov(lambda x: x, 200, width=8)[0], 1)
+    assert np.allclose(pca.block_krylov(lambda x: np.zeros_like(x), 200, width=8)[0], 0)
 
 
 def es_reference(ranked, genes):

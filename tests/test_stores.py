@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from omicspark.operators import compare, search
+from omicspark.functions import ranking
+from omicspark.operators import compare, query, search
 from omicspark.operators.correlation_store import CorrelationStore, write_store
 
 
@@ -98,3 +99,50 @@ def test_peptide_places_in_blocks(spark):
         assert got[("a", "ABA")] == [0, 2, 4] and got[("a", "BA")] == [1, 3, 5] and got[("b", "XYZ")] == [0]
         assert {k[0] for k in got} == {"a", "b", "big"} and len(got) == 3 + 11
         assert got[("big", "AB" * 4998)] == [0, 2, 4]
+
+
+# ---------------------------------------------------------------- pages and places
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_cursors_walk_through_all_rows(spark, descending):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1.0, 2.0, 2.5, -1.0]), f"n{i:02d}") for i in range(40)] + [(None, None)]
+    df = spark.createDataFrame(rows, "k double, t string")
+    order = F.col("k").desc_nulls_last() if descending else F.col("k").asc_nulls_last()
+    want = [tuple(r) for r in df.orderBy(order, "t").collect()]
+    seen, after = [], None
+    while page := [tuple(r) for r in query.page_of(df, "k", descending, "t", 1, 7, after).collect()]:
+        seen += page
+        after = query.Cursor(*page[-1])
+    assert seen == want
+
+
+def test_a_cursor_page_skips_no_rows_by_offset(spark):
+    df = spark.createDataFrame([(float(i % 9), f"n{i}") for i in range(50)], "k double, t string")
+    plan = query.page_of(df, "k", False, "t", 1, 7, query.Cursor(3.0, "n3"))._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=7," in plan and "offset" not in plan.lower()
+
+
+def test_a_value_of_many_rows_is_ordered_by_many_tasks(spark, monkeypatch):
+    written = []
+    cut = ranking.cut_lineage
+    monkeypatch.setattr(ranking, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [("a", 1.0, f"prefix{i:05d}") for i in range(4000)] + [("b", float(i % 3), f"prefix{i}") for i in range(500)] + [("a", None, "z"), (None, 2.0, "y"), ("b", 2.0, None)]
+        df = spark.createDataFrame(rows, "g string, v double, t string")
+        got = {(r["g"], r["t"]): (r["at"], r["n"]) for r in ranking.positions(df, ["g"], "v", "t", out="at", total="n").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [got["a", f"prefix{i:05d}"] for i in range(4000)] == [(i, 4000) for i in range(4000)]
+    want = sorted(((-v, t is not None, t or "") for g, v, t in rows if g == "b"))
+    assert [got["b", t or None][0] for _, _, t in want] == list(range(501))
+    assert got[None, "y"] == (0, 1) and len(got) == 4502
+    shares = [r["count"] for r in written[0].where("g = 'a'").groupBy(F.shiftright("__id", 33).alias("p")).count().collect()]
+    assert len(shares) > 2 and max(shares) < 2500
+
+
+def test_rows_that_repeat_get_places_of_their_own(spark):
+    df = spark.createDataFrame([(1.0, "x")] * 5 + [(0.5, "x")], "v double, t string")
+    assert sorted(r["position"] for r in ranking.positions(df, [], "v", "t").collect()) == [0, 1, 2, 3, 4, 5]
