@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from omicspark.functions import expressions as E
@@ -304,16 +304,13 @@ def assign_batch(samples: DataFrame, design: DataFrame, sample: str = "sample_id
         # "contains" is an equi join. The lengths that occur are few numbers.
         text, size = F.col(sample), F.char_length(sample)
         lengths = sorted(r[0] for r in named.select(F.char_length("experiment")).distinct().collect())
-        pieces = F.flatten(
-            F.array(
-                F.array().cast("array<string>"),
-                *[
-                    F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i, n=n: F.substr(text, i, F.lit(n))))
-                    .otherwise(F.array().cast("array<string>"))
-                    for n in lengths
-                ],
-            )
-        )
+        none = F.array().cast("array<string>")
+
+        def windows(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
+            return F.when(size >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(none)
+
+        pieces = F.flatten(F.array(none, *[windows(n) for n in lengths]))
         listed = left.select(sample, F.explode(F.array_distinct(pieces)).alias("experiment"))
         inside = listed.join(named, "experiment")
         inside = inside.groupBy(sample).agg(F.min_by("batch", "experiment").alias("__x"))
