@@ -98,6 +98,13 @@ model AS (SELECT protein, any_value(rows - groups - told::INT)::DOUBLE AS df,
   FROM marked JOIN coefficient USING (protein, g) JOIN solved USING (protein) GROUP BY protein)"""
 
 
+def mean_model(levels: str) -> str:
+    """Condition means of ``levels`` (protein, g, y), one row per sample, with pooled spread."""
+    return f"""part AS (SELECT protein, g, count(*) AS n, avg(y) AS m, coalesce(var_samp(y), 0) * (count(*) - 1) AS ss FROM {levels} GROUP BY ALL),
+coefficient AS (SELECT protein, g, m, 1 / n AS inverse FROM part),
+model AS (SELECT protein, CAST(sum(n) - count(*) AS DOUBLE) AS df, CASE WHEN sum(n) > count(*) THEN sqrt(sum(ss) / (sum(n) - count(*))) END AS sigma FROM part GROUP BY protein)"""
+
+
 def t_tail(t: str, df: str, steps: int = 400) -> str:
     """Two-sided tail of Student's t: Simpson's rule over the angle whose tangent is t / sqrt(df)."""
     angle = f"atan(abs({t}) / sqrt({df}))"
@@ -141,10 +148,10 @@ def contrasts(model: str, comparisons: str, tilted: bool = False, flat: bool = F
     blank = lambda x: f"CASE WHEN NOT flat THEN {x} END" if flat else x
     known = "protein IN (SELECT protein FROM levels GROUP BY protein HAVING var_samp(level) < 1e-10)" if flat else "false"
     df = f"CASE WHEN isinf(df) THEN {ENDLESS} ELSE df END"
-    return f"""need AS (SELECT comparison_id, count(*) AS terms FROM {comparisons} GROUP BY 1),
+    return f"""terms_of AS (SELECT comparison_id, count(*) AS terms FROM {comparisons} GROUP BY 1),
 term AS (SELECT protein, comparison_id, sum(weight * m) AS fc, sum(weight * weight * inverse) + {tilt} AS u, count(*) AS found
   FROM coefficient JOIN {comparisons} ON k.condition = g GROUP BY ALL),
-raw AS (SELECT protein, comparison_id, fc, sigma * sqrt(u) AS se, df, {known} AS flat FROM term JOIN need USING (comparison_id) JOIN {model} USING (protein) WHERE found = terms),
+raw AS (SELECT protein, comparison_id, fc, sigma * sqrt(u) AS se, df, {known} AS flat FROM term JOIN terms_of USING (comparison_id) JOIN {model} USING (protein) WHERE found = terms),
 stat AS (SELECT protein, comparison_id, CASE WHEN flat THEN 0.0 ELSE fc END AS fc, {blank('se')} AS se, {blank('df')} AS df,
   {blank('CASE WHEN se <> 0 THEN fc / se END')} AS t FROM raw),
 pval AS (SELECT *, CASE WHEN t IS NOT NULL AND df > 0 THEN {t_tail('t', df)} END AS p FROM stat),

@@ -207,7 +207,8 @@ def _(t: Tables) -> DataFrame:
 
 
 STATUS_RANK = "CASE status WHEN 'Confident' THEN 2 WHEN 'Ambiguous' THEN 1 ELSE 0 END"
-EVIDENCE = f"{covered('ProteinName', 'feat', '0.40')}, ev AS (SELECT *, acc || '_' || token AS ProteinName FROM assigned WHERE acc || '_' || token IN (SELECT item FROM passing))"
+EV = "ev AS (SELECT *, acc || '_' || token AS ProteinName FROM assigned WHERE acc || '_' || token IN (SELECT item FROM passing))"
+EVIDENCE = f"{covered('ProteinName', 'feat', '0.40')}, {EV}"
 
 
 def passing_evidence(t: Tables) -> DataFrame:
@@ -340,13 +341,13 @@ protein_cell AS (SELECT 'protein:' || acc AS protein, form || '|' || Charge AS f
 center AS (SELECT sample, quantile_cont(log2_abundance, 0.5) AS c FROM protein_cell GROUP BY sample),
 level AS (SELECT protein, feature, p.sample, log2_abundance - (c - (SELECT quantile_cont(c, 0.5) FROM center)) AS log2_abundance
   FROM protein_cell p JOIN center ON center.sample = p.sample UNION ALL SELECT * FROM site_cell),
-{fits.polished_or_median('level')}"""
+"""
 
 
 @query(
     "site_layer_summary",
     "J13 P4",
-    f"""WITH {LAYERS}, kind AS (SELECT BioReplicate AS sample, min(Condition) AS condition FROM ptm_rows GROUP BY 1)
+    f"""WITH {LAYERS} {fits.polished_or_median('level')}, kind AS (SELECT BioReplicate AS sample, min(Condition) AS condition FROM ptm_rows GROUP BY 1)
 SELECT substr(protein, strpos(protein, ':') + 1) AS protein_accession, s.sample AS sample_id, condition, log2_abundance AS processed_log2_abundance,
   split_part(protein, ':', 1) AS result_layer FROM summary s JOIN kind ON kind.sample = s.sample WHERE condition <> 'Norm'""",
     SITE_VIEWS,
@@ -356,14 +357,58 @@ def _(t: Tables) -> DataFrame:
     return rounded(summarize.summarize_layers(tables["ptm_input"], tables["protein_input"]), ["processed_log2_abundance"], 5)
 
 
-@query("site_study_results", "P12 P17 J20 J21 J24")
+STUDY_CONTRAST = "(VALUES ('INCZ_vs_DMSO', 'INCZ', 1.0::DOUBLE), ('INCZ_vs_DMSO', 'DMSO', -1.0::DOUBLE)) AS k(comparison_id, condition, weight)"
+
+
+def tested(layer: str) -> str:
+    """CTE ``test`` of one layer of the summary: condition means, moderated, INCZ against DMSO."""
+    return f"""{LAYERS} {fits.polished_or_median('level', 12)}, kind AS (SELECT BioReplicate AS sample, min(Condition) AS condition FROM ptm_rows GROUP BY 1),
+observed AS (SELECT substr(protein, strpos(protein, ':') + 1) AS protein, condition AS g, log2_abundance AS y FROM summary s JOIN kind ON kind.sample = s.sample
+  WHERE condition <> 'Norm' AND split_part(protein, ':', 1) = '{layer}'),
+{fits.mean_model('observed')}, {fits.PRIOR}, {fits.contrasts('tested', STUDY_CONTRAST)}"""
+
+
+@query(
+    "site_study_results",
+    "P12 P17 J20 J21 J24",
+    f"""WITH {tested('ptm')}, {EV},
+site_meta AS (SELECT ProteinName, arg_min(gene, id) AS "Gene", arg_min(token, id) AS SiteToken, arg_max(status, {STATUS_RANK}) AS LocalizationStatus FROM ev GROUP BY ProteinName)
+SELECT ProteinName AS protein_accession, 'INCZ_vs_DMSO' AS comparison_id, round(fc, 5) AS log2_fold_change, round(se, 4) AS standard_error,
+  CASE WHEN se > 1e-6 THEN round(p, 4) END AS p_value, CASE WHEN p IS NULL THEN 'Unestimable' ELSE 'Estimated' END AS "Status", "Gene", SiteToken, LocalizationStatus
+FROM site_meta LEFT JOIN test ON test.protein = ProteinName""",
+    SITE_VIEWS,
+)
 def _(t: Tables) -> DataFrame:
-    return site_study(t)["ptm_results"]
+    out = site_study(t)["ptm_results"]
+    zero = lambda c: F.col(c) + F.lit(0.0)
+    return out.select(
+        "protein_accession", "comparison_id", F.round(zero("log2_fold_change"), 5).alias("log2_fold_change"),
+        F.round(zero("standard_error"), 4).alias("standard_error"),
+        F.when(F.col("standard_error") > 1e-6, F.round("p_value", 4)).alias("p_value"), "Status", "Gene", "SiteToken", "LocalizationStatus",
+    )
 
 
-@query("site_study_adjusted", "P12 D12 J23")
+@query(
+    "site_study_adjusted",
+    "P12 D12 J23",
+    f"""WITH site_test AS MATERIALIZED (WITH RECURSIVE {tested('ptm')} SELECT * FROM test),
+protein_test AS MATERIALIZED (WITH RECURSIVE {tested('protein')} SELECT * FROM test),
+owner AS MATERIALIZED (WITH RECURSIVE {SITES}, {EVIDENCE} SELECT ProteinName, arg_min(acc, id) AS acc FROM ev GROUP BY ProteinName),
+base AS (SELECT regexp_replace(protein, '-\\d+$', '') AS stem, min(protein) AS base FROM protein_test GROUP BY 1),
+matched AS (SELECT ProteinName, acc, coalesce(e.protein, base) AS other FROM owner LEFT JOIN (SELECT DISTINCT protein FROM protein_test) e ON e.protein = acc
+  LEFT JOIN base ON stem = regexp_replace(acc, '-\\d+$', '')),
+pair AS (SELECT s.protein, m.acc, m.other, s.fc - p.fc AS fc, pow(s.se, 2) AS a, pow(p.se, 2) AS b, s.df AS da, p.df AS db
+  FROM site_test s JOIN matched m ON m.ProteinName = s.protein JOIN protein_test p ON p.protein = m.other),
+stat2 AS (SELECT protein, acc, other, fc, sqrt(a + b) AS se, pow(a + b, 2) / (a * a / da + b * b / db) AS df, fc / sqrt(a + b) AS t FROM pair)
+SELECT protein AS protein_accession, other AS "GlobalProtein", round(fc, 5) AS log2_fold_change, round(se, 4) AS standard_error, round(df, 2) AS df, round({fits.t_tail('t', f'CASE WHEN isinf(df) THEN {fits.ENDLESS} ELSE df END')}, 4) AS p_value,
+  CASE WHEN other = acc THEN 'exact' ELSE 'canonical_fallback' END AS "ProteinMatch" FROM stat2 WHERE split_part(other, '-', 1) = split_part(acc, '-', 1)""",
+    SITE_VIEWS,
+)
 def _(t: Tables) -> DataFrame:
-    return site_study(t)["adjusted_results"]
+    out = site_study(t)["adjusted_results"]
+    digits = {"log2_fold_change": 5, "standard_error": 4, "df": 2, "p_value": 4}
+    rounded_ones = [F.round(F.col(c) + F.lit(0.0), d).alias(c) for c, d in digits.items()]
+    return out.select("protein_accession", "GlobalProtein", *rounded_ones, "ProteinMatch")
 
 
 def site_study(t: Tables) -> dict[str, DataFrame]:
