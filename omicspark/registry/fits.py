@@ -48,14 +48,14 @@ additive AS (
       SELECT *, avg(x - c) OVER (PARTITION BY f) AS r1 FROM additive WHERE NOT done AND k < 1000))
 ),
 settled AS (SELECT * FROM additive WHERE done),
-levels AS (SELECT *, c + avg(CASE WHEN ff THEN r END) OVER (PARTITION BY p) AS level FROM settled)"""
+centred AS (SELECT *, c + avg(CASE WHEN ff THEN r END) OVER (PARTITION BY p) AS level FROM settled)"""
 LINEAR = ADDITIVE + """,
-fitted AS (SELECT protein, sample, round(any_value(level), {digits}) AS log2_abundance FROM levels JOIN cell USING (p, f, s) GROUP BY ALL)"""
+fitted AS (SELECT protein, sample, round(any_value(level), {digits}) AS log2_abundance FROM centred JOIN cell USING (p, f, s) GROUP BY ALL)"""
 
 # From the settled fit on, one sweep a round under Huber's weights of the rest, until no level moves.
 ROBUST = ADDITIVE + """,
 robust AS (
-  SELECT p, f, s, ff, x, r, c, level, least, false AS done, 0 AS k FROM levels
+  SELECT p, f, s, ff, x, r, c, level, least, false AS done, 0 AS k FROM centred
   UNION ALL
   SELECT p, f, s, ff, x, r, c, now, least, max(abs(now - level)) OVER (PARTITION BY p) < least, k + 1 FROM (
     SELECT *, c + avg(CASE WHEN ff THEN r END) OVER (PARTITION BY p) AS now FROM (

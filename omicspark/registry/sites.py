@@ -700,14 +700,60 @@ def _(t: Tables) -> DataFrame:
     return study(t, False)["protein_abundance"].select("protein_accession", "gene_name").distinct()
 
 
-@query("tmt_study_differential", "P17 P8 J4 J10 J18 J20")
+PAIRS = "(VALUES ('A_vs_N', 'A', 1.0::DOUBLE), ('A_vs_N', 'N', -1.0::DOUBLE), ('R_vs_N', 'R', 1.0::DOUBLE), ('R_vs_N', 'N', -1.0::DOUBLE)) AS k(comparison_id, condition, weight)"
+
+
+def chain(duplicates: str, center: str, summary: str, model: str, tested: str, flat: bool) -> str:
+    """SQL of a whole protein study: shared peptides, coverage, levels, summary, models, tests, genes and counts."""
+    return f"""WITH {proteins.RESOLVED}, {proteins.coverage('resolved', proteins.OBSERVED.format('resolved'), '0.29', 1)}, {proteins.genes_of('covered')},
+raw_level AS (SELECT Master_Protein_Accessions AS protein, Unique_PSM AS feature, Sample_Origination AS sample, log2({duplicates}(Abundance)) AS x
+  FROM covered GROUP BY ALL HAVING {duplicates}(Abundance) > 0),
+middle AS (SELECT sample, quantile_cont(x, 0.5) AS c FROM raw_level GROUP BY sample),
+feature_level AS (SELECT protein, feature, r.sample, x - ({center}) AS log2_abundance FROM raw_level r JOIN middle ON middle.sample = r.sample),
+{summary}, kind AS (SELECT DISTINCT Sample_Origination AS sample, Condition AS condition FROM psm),
+levels AS (SELECT protein, s.sample, condition, log2_abundance AS level FROM summarized s JOIN kind ON kind.sample = s.sample),
+observed AS (SELECT protein, condition AS g, level AS y FROM levels),
+{model}, {fits.contrasts(tested, PAIRS, flat=flat)},
+psm_counts AS (SELECT Master_Protein_Accessions AS protein, count(DISTINCT Unique_PSM) AS psm_count FROM covered GROUP BY 1)
+SELECT comparison_id, protein AS protein_accession, coalesce(label, regexp_replace(protein, '-\\d+$', '')) AS gene_name, round(fc, 5) AS log2_fold_change, round(se, 5) AS standard_error,
+  CASE WHEN se > 1e-6 THEN round(t, 3) END AS statistic, CASE WHEN se > 1e-6 THEN round(p, 5) END AS p_value, CASE WHEN se > 1e-6 THEN round(adjusted, 4) END AS adjusted_p_value, psm_count
+FROM test LEFT JOIN labels ON g = protein LEFT JOIN psm_counts USING (protein)"""
+
+
+def differential_shown(df: DataFrame) -> DataFrame:
+    sure = F.col("standard_error") > 1e-6
+    zero = lambda c, d: F.round(F.col(c) + F.lit(0.0), d)
+    return df.select(
+        "comparison_id", "protein_accession", "gene_name", zero("log2_fold_change", 5).alias("log2_fold_change"),
+        zero("standard_error", 5).alias("standard_error"), F.when(sure, zero("statistic", 3)).alias("statistic"),
+        F.when(sure, F.round("p_value", 5)).alias("p_value"), F.when(sure, F.round("adjusted_p_value", 4)).alias("adjusted_p_value"), "psm_count",
+    )
+
+
+@query(
+    "tmt_study_differential",
+    "P17 P8 J4 J10 J18 J20",
+    chain(
+        "max", "c - (SELECT quantile_cont(c, 0.5) FROM middle)",
+        f"{fits.polished_or_median('feature_level', 12)}, summarized AS (SELECT * FROM summary)", fits.mean_model("observed"), "model", False,
+    ),
+    ("psm",),
+)
 def _(t: Tables) -> DataFrame:
-    return study(t, False)["differential"]
+    return differential_shown(study(t, False)["differential"])
 
 
-@query("dia_study_differential", "P17 P8 J2 J9 J17 J20 J21")
+@query(
+    "dia_study_differential",
+    "P17 P8 J2 J9 J17 J20 J21",
+    chain(
+        "sum", "c", f"{fits.ROBUST.format(source='feature_level', digits=12)}, summarized AS (SELECT * FROM fitted)",
+        f"{fits.HUBER}, {fits.PRIOR}", "tested", True,
+    ),
+    ("psm",),
+)
 def _(t: Tables) -> DataFrame:
-    return study(t, True)["differential"]
+    return differential_shown(study(t, True)["differential"])
 
 
 @query("tmt_study_group_quality", "P9 P17")
