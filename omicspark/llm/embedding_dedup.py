@@ -160,7 +160,8 @@ def near_duplicates(
     tiles. A tile returns, per class, its number of links and the root of its links in the tile: no pairs.
 
     Null labels or ids, null, empty or zero vectors, and vectors with a null or non-finite component link with
-    nothing. Vectors of different lengths do not link. Rows that share an id are one node: their links add up.
+    nothing. Vectors of different lengths do not link. Rows that share an id are one node of the components;
+    ``n_links`` counts the links of a row's own vector.
     A null id has a null component and is not kept. Empty tables give an empty result. Other columns are not read.
     """
     spark_kind = vectors.schema[vector_col].dataType.elementType
@@ -202,7 +203,13 @@ def near_duplicates(
         tiles.groupBy("place", "first", "second").applyInArrow(_tile(threshold, kind), "rep long, root long, links long")
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.select("rep", "root"), "rep", "root").withColumnRenamed("node", "rep")
+    # An id that lies in several classes joins them.
+    usable_rows = own.where("vector IS NOT NULL")
+    repeated = usable_rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
+    shared = usable_rows.join(repeated, "id").join(classes.drop("copies"), ["label", "vector"])
+    bridges = shared.select("rep", F.col("id").alias("root")).where("rep <> root")
+    forest = found.select("rep", "root").unionByName(bridges)
+    roots = connected_components(forest, "rep", "root").withColumnRenamed("node", "rep")
     per_class = classes.join(links, "rep", "left").join(roots, "rep", "left")
     per_class = cut_lineage(
         per_class.select(

@@ -123,7 +123,8 @@ def top_k(
     vectors and read by blocks of ``query_rows`` queries; each returns at most k rows a query.
 
     Rows with a null id or vector, an empty vector, or a null or non-finite component take no part. Rows that
-    repeat an id are candidates of their own, and a repeated query id gives one list over equal rows. Scaled
+    repeat an id are candidates of their own; all vectors of a repeated query id are searched, equal ones once, and
+    give one list. Scaled
     components beyond 2^24 count as 2^24. A query without candidates has no rows. Other columns are not read.
     """
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -136,7 +137,7 @@ def top_k(
         .where(F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)) & (F.size("vector") > 0))
         .select("id", F.size("vector").alias("dims"), scaled.alias("scaled"))
     )
-    queries = rows.where(F.col("id") % query_every == 0).dropDuplicates(["id"])
+    queries = rows.where(F.col("id") % query_every == 0).distinct()
     shards = max(1, -(-rows.count() // shard_rows))
     blocks = max(1, -(-queries.count() // query_rows))
     left = queries.select(

@@ -1,8 +1,10 @@
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
-from omicspark.llm import embedding_dedup, topk_search
+from omicspark.llm import embedding_dedup, queries, topk_search
 
 NAN, INF = float("nan"), float("inf")
 
@@ -121,3 +123,30 @@ def test_search_stops_early_only_on_proof():
         limit = np.sort(full[i])[-5]
         assert set(np.flatnonzero(full[i] >= limit)) <= set(v[q == i])
     assert len(q) < 20 * 2000 // 4
+
+
+def by_sql(tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    return con.execute(queries.oracle_sql()[name]).fetchall()
+
+
+def test_an_id_of_several_vectors_joins_their_components(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    a, b, c, d = (rng.normal(size=16).tolist() for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (9, b), (7, c), (3, c), (7, d), (2, d), (20, rng.normal(size=16).tolist())]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, label string")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {r[0]: r[2] for r in by_sql(tmp_path, "op1_embedding_dedup")}
+    got = {(r["vec_id"], r["component_id"]) for r in queries.op1_embedding_dedup(spark, str(tmp_path)).collect()}
+    assert got == set(want.items()) and want[9] == 1 and want[3] == 2
+
+
+def test_all_vectors_of_a_query_id_are_searched(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist()) for i in [*range(95, 130), 100, 200, 200]] + [(300, [1.0] * 8), (300, [1.0] * 8)]
+    df = spark.createDataFrame(rows[:-1], "vec_id long, embedding array<double>").withColumn("label", F.lit("x"))
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = sorted(by_sql(tmp_path, "op7_topk_search"))
+    got = queries.op7_topk_search(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == want
