@@ -178,10 +178,11 @@ def impute(
 
 
 def hashed_normal(seed: int, *keys: str):
-    """Standard normal draw fixed by its keys (Box-Muller on two hashes)."""
+    """Standard normal draw fixed by its keys (Box-Muller on 52 bits each of two MD5 digests)."""
+
     def unit(salt: int):
-        h = F.xxhash64(F.lit(seed), F.lit(salt), *[F.col(k) for k in keys])
-        return (F.pmod(h, F.lit(2**52)) + 1).cast("double") / float(2**52 + 1)
+        digest = F.md5(F.concat_ws("\x1f", F.lit(f"{seed}:{salt}"), *[F.col(k).cast("string") for k in keys]))
+        return (F.conv(F.left(digest, F.lit(13)), 16, 10).cast("double") + 1) / float(2**52 + 1)
 
     return F.sqrt(F.lit(-2.0) * F.log(unit(1))) * F.cos(F.lit(2 * math.pi) * unit(2))
 
