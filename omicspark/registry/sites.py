@@ -13,7 +13,7 @@ from omicspark.plans import workflows
 from omicspark.registry import fits, proteins
 from omicspark.registry.base import Tables, query
 from omicspark.registry.preparation import PTM_CHANNELS
-from omicspark.registry.quality import rounded
+from omicspark.registry.quality import CV, quart, rounded
 from omicspark.session import cut_lineage
 
 TARGET = "DBIA"
@@ -703,15 +703,20 @@ def _(t: Tables) -> DataFrame:
 PAIRS = "(VALUES ('A_vs_N', 'A', 1.0::DOUBLE), ('A_vs_N', 'N', -1.0::DOUBLE), ('R_vs_N', 'R', 1.0::DOUBLE), ('R_vs_N', 'N', -1.0::DOUBLE)) AS k(comparison_id, condition, weight)"
 
 
-def chain(duplicates: str, center: str, summary: str, model: str, tested: str, flat: bool) -> str:
-    """SQL of a whole protein study: shared peptides, coverage, levels, summary, models, tests, genes and counts."""
-    return f"""WITH {proteins.RESOLVED}, {proteins.coverage('resolved', proteins.OBSERVED.format('resolved'), '0.29', 1)}, {proteins.genes_of('covered')},
+def study_levels(duplicates: str, center: str, summary: str) -> str:
+    """CTEs of a protein study up to ``levels``: shared peptides, coverage, feature levels and their summary."""
+    return f"""{proteins.RESOLVED}, {proteins.coverage('resolved', proteins.OBSERVED.format('resolved'), '0.29', 1)}, {proteins.genes_of('covered')},
 raw_level AS (SELECT Master_Protein_Accessions AS protein, Unique_PSM AS feature, Sample_Origination AS sample, log2({duplicates}(Abundance)) AS x
   FROM covered GROUP BY ALL HAVING {duplicates}(Abundance) > 0),
 middle AS (SELECT sample, quantile_cont(x, 0.5) AS c FROM raw_level GROUP BY sample),
 feature_level AS (SELECT protein, feature, r.sample, x - ({center}) AS log2_abundance FROM raw_level r JOIN middle ON middle.sample = r.sample),
 {summary}, kind AS (SELECT DISTINCT Sample_Origination AS sample, Condition AS condition FROM psm),
-levels AS (SELECT protein, s.sample, condition, log2_abundance AS level FROM summarized s JOIN kind ON kind.sample = s.sample),
+levels AS (SELECT protein, s.sample, condition, log2_abundance AS level FROM summarized s JOIN kind ON kind.sample = s.sample)"""
+
+
+def chain(duplicates: str, center: str, summary: str, model: str, tested: str, flat: bool) -> str:
+    """SQL of a whole protein study: its levels, models, tests, genes and counts."""
+    return f"""WITH {study_levels(duplicates, center, summary)},
 observed AS (SELECT protein, condition AS g, level AS y FROM levels),
 {model}, {fits.contrasts(tested, PAIRS, flat=flat)},
 psm_counts AS (SELECT Master_Protein_Accessions AS protein, count(DISTINCT Unique_PSM) AS psm_count FROM covered GROUP BY 1)
@@ -720,6 +725,12 @@ SELECT comparison_id, protein AS protein_accession, coalesce(label, regexp_repla
 FROM test LEFT JOIN labels ON g = protein LEFT JOIN psm_counts USING (protein)"""
 
 
+TMT = (
+    "max", "c - (SELECT quantile_cont(c, 0.5) FROM middle)",
+    f"{fits.polished_or_median('feature_level', 12)}, summarized AS (SELECT * FROM summary)",
+)
+
+
 def differential_shown(df: DataFrame) -> DataFrame:
     sure = F.col("standard_error") > 1e-6
     zero = lambda c, d: F.round(F.col(c) + F.lit(0.0), d)
@@ -733,10 +744,7 @@ def differential_shown(df: DataFrame) -> DataFrame:
 @query(
     "tmt_study_differential",
     "P17 P8 J4 J10 J18 J20",
-    chain(
-        "max", "c - (SELECT quantile_cont(c, 0.5) FROM middle)",
-        f"{fits.polished_or_median('feature_level', 12)}, summarized AS (SELECT * FROM summary)", fits.mean_model("observed"), "model", False,
-    ),
+    chain(*TMT, fits.mean_model("observed"), "model", False),
     ("psm",),
 )
 def _(t: Tables) -> DataFrame:
@@ -756,8 +764,28 @@ def _(t: Tables) -> DataFrame:
     return differential_shown(study(t, True)["differential"])
 
 
-@query("tmt_study_group_quality", "P9 P17")
+QUALITY_COLUMNS = [
+    "group_by", "group_value", "sample_count", "observation_count", "q1", "median", "q3", "protein_cv_count", "protein_cv_q1",
+    "protein_cv_median", "protein_cv_q3", "peptide_cv_count", "peptide_cv_q1", "peptide_cv_median", "peptide_cv_q3",
+]
+
+
+@query(
+    "tmt_study_group_quality",
+    "P9 P17",
+    f"""WITH {study_levels(*TMT)},
+a AS (SELECT condition, count(DISTINCT sample) AS sample_count, count(level) AS observation_count, {quart('level')} FROM levels GROUP BY condition),
+pv AS (SELECT condition, protein, {CV.format('level')} AS cv FROM levels GROUP BY ALL HAVING count(*) >= 2),
+p AS (SELECT condition, count(*) AS protein_cv_count, {quart('cv', ("protein_cv_q1", "protein_cv_median", "protein_cv_q3"), 5)} FROM pv WHERE isfinite(cv) GROUP BY condition),
+ev AS (SELECT condition, protein, feature, {CV.format('log2_abundance')} AS cv FROM feature_level f JOIN kind ON kind.sample = f.sample GROUP BY ALL HAVING count(*) >= 2),
+e AS (SELECT condition, count(*) AS peptide_cv_count, {quart('cv', ("peptide_cv_q1", "peptide_cv_median", "peptide_cv_q3"), 4)} FROM ev WHERE isfinite(cv) GROUP BY condition)
+SELECT 'condition' AS group_by, condition AS group_value, * EXCLUDE (condition) FROM a LEFT JOIN p USING (condition) LEFT JOIN e USING (condition)""",
+    ("psm",),
+)
 def _(t: Tables) -> DataFrame:
-    return study(t, False)["qc_group_metrics"]
+    out = study(t, False)["qc_group_metrics"].select(*QUALITY_COLUMNS)
+    out = rounded(out, ["q1", "median", "q3"])
+    out = rounded(out, ["protein_cv_q1", "protein_cv_median", "protein_cv_q3"], 5)
+    return rounded(out, ["peptide_cv_q1", "peptide_cv_median", "peptide_cv_q3"], 4)
 
 
