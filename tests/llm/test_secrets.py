@@ -51,6 +51,60 @@ def test_compressed_layers(pack):
     assert spans(f"é {coded} end") == [("assign", 2, 2 + len(coded), "/base64/compressed")]
 
 
+RAW = {
+    "gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress,
+    "zstd": zstandard.ZstdCompressor().compress,
+}
+
+
+def as_repr(data):
+    return repr(data)[2:-1]
+
+
+@pytest.mark.parametrize("outer", PACKED)
+@pytest.mark.parametrize("inner", PACKED)
+def test_compressed_data_inside_compressed_data(inner, outer):
+    coded = b64(RAW[outer](RAW[inner]((noise(900) + SECRET).encode()) + b" end"))
+    assert [(k, p) for k, _, _, p in spans(coded)] == [("assign", "/base64/compressed/compressed")]
+    assert secret_scan.redact_text(f"see {coded} end") == "see [assign] end"
+
+
+@pytest.mark.parametrize("write", [quote, as_repr, lambda x: "".join(f"%{b:02x}" for b in x), lambda x: "".join(f"\\x{b:02x}" for b in x)])
+def test_compressed_data_in_escapes(write):
+    for pack in PACKED.values():
+        text = write(pack(noise(900) + SECRET))
+        assert "assign" in {k for k, _, _, p in spans(f"see {text}") if p.endswith("/compressed")}
+
+
+@pytest.mark.parametrize("coding", ["utf-16", "utf-16-le", "utf-16-be", "utf-32"])
+def test_wide_characters(coding):
+    data = f"A dull line. {SECRET}".encode(coding)
+    assert [k for k, *_ in spans(b64(data))] == ["assign"] == [k for k, *_ in spans(b64(gzip.compress(data)))]
+
+
+def test_what_follows_a_bomb_is_read():
+    bomb = zlib.compress(b"a" * 10_000_000)
+    rows, unopened = secret_scan.findings_of(b64(bomb + b"??" + gzip.compress(SECRET.encode())), max_layer=1 << 20)
+    assert [r["kind"] for r in rows] == ["assign"] and unopened == 1
+
+
+def test_long_compressed_data_inside_others(monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE_BYTES", 1 << 14)
+    monkeypatch.setattr(secret_scan, "OVERLAP_BYTES", 1 << 10)
+    data = (noise(200_000) + SECRET + noise(100_000) + " pass").encode()
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        inner = pack(data) + pack(b"word = " + b"x" * 12)
+        found = spans(b64(gzip.compress(b"- " * 5_000 + pack(b"? " * 900 + inner + b"!" * 99_999))))
+        assert {k for k, *_ in found} == {"assign"} and found[0][3] == "/base64/compressed/compressed/compressed"
+
+
+def test_deep_compression_ends():
+    data = SECRET.encode()
+    for _ in range(400):
+        data = zlib.compress(data)
+    assert [k for k, *_ in spans(b64(data))] == ["assign"]
+
+
 def test_span_of_base64_covers_the_secret_only():
     coded = b64("A" * 30 + " " + SECRET)
     ((kind, start, end, path),) = spans("é" + coded)
