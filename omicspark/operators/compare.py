@@ -7,7 +7,7 @@ per pair.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from omicspark.functions.ranking import average_ranks, finite
 
 BLOCK = 256
-CELLS_PER_TASK = 2_000_000
+#: Cells of a chunk that a task takes at once, and the size of a dense matrix made of them.
+CELLS_AT_ONCE, DENSE_CELLS = 65_536, 1 << 20
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
@@ -42,24 +43,111 @@ def fold_change_long(
 # ------------------------------------------------------------------ all pairs
 
 
+class _PairSums:
+    """Sums of one block pair, added up from cells that come feature after feature."""
+
+    def __init__(self, same: bool):
+        self.same, self.left = same, {}
+        self.right = self.left if same else {}
+        self.total: dict[str, np.ndarray] = {}
+        self.held: list[pd.DataFrame] = []
+        self.rows = 0
+
+    def add(self, pdf: pd.DataFrame) -> None:
+        self.held.append(pdf)
+        self.rows += len(pdf)
+        if self.rows >= CELLS_AT_ONCE:
+            self.multiply(last=False)
+
+    def multiply(self, last: bool) -> None:
+        """Multiply the held features; the newest one may go on and waits unless it is the ``last``."""
+        pdf = pd.concat(self.held, ignore_index=True)
+        f, names = pd.factorize(pdf["feature"])
+        ready = len(names) if last else len(names) - 1
+        use = f < ready
+        self.held = [pdf[~use]]
+        self.rows = len(self.held[0])
+        if not ready:
+            return
+        f, member = f[use], pdf["member"].to_numpy()[use]
+        comparison, value = pdf["comparison"].to_numpy(dtype=object)[use], pdf["value"].to_numpy(dtype=float)[use]
+        c = np.zeros(len(f), dtype=np.int64)
+        for mine, known in ((member == 0, self.left), (member == 1, self.right)):
+            codes, found = pd.factorize(comparison[mine])
+            c[mine] = np.array([known.setdefault(n, len(known)) for n in found], dtype=np.int64)[codes]
+        width = max(len(self.left), len(self.right), 1)
+        step = max(1, DENSE_CELLS // width)
+        total = {k: np.zeros((len(self.left), len(self.right))) for k in SUMS}
+        for k, old in self.total.items():
+            total[k][: old.shape[0], : old.shape[1]] = old
+        for low in range(0, ready, step):
+            at = slice(*np.searchsorted(f, [low, low + step]))
+            count = min(step, ready - low)
+
+            def side(which: int, names: int) -> tuple[np.ndarray, np.ndarray]:
+                mine = member[at] == which
+                place = f[at][mine] - low, c[at][mine]
+                x, mask = np.zeros((count, names)), np.zeros((count, names))
+                x[place], mask[place] = value[at][mine], 1.0
+                return x, mask
+
+            x, mx = side(0, len(self.left))
+            y, my = (x, mx) if self.same else side(1, len(self.right))
+            total["n"] += mx.T @ my
+            total["sx"] += x.T @ my
+            total["sy"] += mx.T @ y
+            total["sxx"] += (x * x).T @ my
+            total["syy"] += mx.T @ (y * y)
+            total["sxy"] += x.T @ y
+        self.total = total
+
+    def frame(self) -> pd.DataFrame:
+        self.multiply(last=True)
+        a, b = np.meshgrid(*(np.array(list(x), dtype=object) for x in (self.left, self.right)), indexing="ij")
+        keep = (a <= b) if self.same else np.ones(a.shape, dtype=bool)
+        keep = keep.astype(bool)
+        out = {k: v[keep] for k, v in self.total.items()}
+        first, second = a[keep], b[keep]
+        swap = (first > second).astype(bool)
+        if swap.any():
+            first[swap], second[swap] = second[swap], first[swap]
+            for one, two in (("sx", "sy"), ("sxx", "syy")):
+                out[one][swap], out[two][swap] = out[two][swap].copy(), out[one][swap].copy()
+        return pd.DataFrame({"left": first, "right": second, **out})
+
+
+def _multiplied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial sums of each (bi, bj, chunk); rows come in the order of these and of the feature."""
+    group, sums = None, None
+    for pdf in frames:
+        pdf["member"] = np.where(pdf["b"] == pdf["bi"], 0, 1)
+        for key, part in pdf.groupby(["bi", "bj", "chunk"], sort=True):
+            if key != group:
+                if sums is not None:
+                    yield sums.frame()
+                group, sums = key, _PairSums(key[0] == key[1])
+            sums.add(part[["feature", "comparison", "value", "member"]])
+    if sums is not None:
+        yield sums.frame()
+
+
 def pairwise_sums(
     fc: DataFrame, blocks: int | None = None, chunks: int | None = None
 ) -> DataFrame:
     """(left, right, n, sx, sy, sxx, syy, sxy) over shared features, left <= right.
 
-    Comparisons fall into blocks and features into chunks; one task multiplies
-    two blocks of one chunk as small dense matrices, and the partial sums add
-    up over chunks. No feature ever lists its pairs of comparisons, and a task
-    holds at most ``CELLS_PER_TASK`` cells on average.
+    Comparisons fall into blocks and features into chunks, ``chunks`` at least;
+    a task walks two blocks of one chunk feature by feature, multiplies about
+    ``CELLS_AT_ONCE`` cells at a time as small dense matrices, and the partial
+    sums add up over chunks. No feature ever lists its pairs of comparisons.
     """
-    rows = fc.where(finite("value").isNotNull()).select("feature", "comparison", "value")
-    if blocks is None or chunks is None:
-        size = rows.agg(
-            F.approx_count_distinct("comparison").alias("c"), F.approx_count_distinct("feature").alias("f")
-        ).first()
-        blocks = blocks or max(1, math.ceil(size["c"] * 1.1 / BLOCK))
-        width = min(size["c"], 2 * BLOCK)
-        chunks = chunks or max(1, math.ceil(size["f"] * max(width, 1) / CELLS_PER_TASK))
+    rows = fc.where(finite("value").isNotNull() & F.col("feature").isNotNull() & F.col("comparison").isNotNull())
+    rows = rows.select("feature", "comparison", "value")
+    if blocks is None:
+        blocks = max(1, math.ceil(rows.agg(F.approx_count_distinct("comparison")).first()[0] * 1.1 / BLOCK))
+    # Enough chunks to give every shuffle partition work; what a task holds does not depend on them.
+    partitions = int(fc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(chunks or 1, math.ceil(2 * partitions / (blocks * (blocks + 1))))
     block = F.pmod(F.xxhash64("comparison"), F.lit(blocks)).cast("int")
     chunk = F.pmod(F.xxhash64("feature"), F.lit(chunks)).cast("int")
     placed = rows.select("*", block.alias("b"), chunk.alias("chunk"))
@@ -68,39 +156,9 @@ def pairwise_sums(
         "feature", "comparison", "value", "b", "chunk",
         F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"),
     )
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = pdf["bi"].iloc[0], pdf["bj"].iloc[0]
-        _, f = np.unique(pdf["feature"].to_numpy(dtype=str), return_inverse=True)
-        count = int(f.max()) + 1
-        value, member = pdf["value"].to_numpy(dtype=float), pdf["b"].to_numpy()
-
-        def side(which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            use = member == which
-            names, c = np.unique(pdf["comparison"].to_numpy(dtype=str)[use], return_inverse=True)
-            x, mask = np.zeros((count, len(names))), np.zeros((count, len(names)))
-            x[f[use], c], mask[f[use], c] = value[use], 1.0
-            return names, x, mask
-
-        left, x, mx = side(bi)
-        right, y, my = (left, x, mx) if bi == bj else side(bj)
-        parts = {
-            "n": mx.T @ my, "sx": x.T @ my, "sy": mx.T @ y,
-            "sxx": (x * x).T @ my, "syy": mx.T @ (y * y), "sxy": x.T @ y,
-        }
-        a, b = np.meshgrid(left, right, indexing="ij")
-        keep = a <= b if bi == bj else np.ones(a.shape, dtype=bool)
-        out = {k: v[keep] for k, v in parts.items()}
-        first, second = a[keep].astype(object), b[keep].astype(object)
-        swap = a[keep] > b[keep]
-        if swap.any():
-            first[swap], second[swap] = b[keep][swap], a[keep][swap]
-            for one, two in (("sx", "sy"), ("sxx", "syy")):
-                out[one][swap], out[two][swap] = out[two][swap].copy(), out[one][swap].copy()
-        return pd.DataFrame({"left": first, "right": second, **out})
-
     schema = "left string, right string, " + ", ".join(f"{c} double" for c in SUMS)
-    partial = spread.groupBy("bi", "bj", "chunk").applyInPandas(multiply, schema)
+    ordered = spread.repartition("bi", "bj", "chunk").sortWithinPartitions("bi", "bj", "chunk", "feature")
+    partial = ordered.mapInPandas(_multiplied, schema)
     return partial.groupBy("left", "right").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,6 +321,25 @@ def matrix_frame(spark, matrix):
     return spark.createDataFrame(rows, "feature string, comparison string, value double")
 
 
+def test_pair_sums_hold_few_cells_at_once(monkeypatch):
+    """A chunk of any length is multiplied in parts of bounded size, and the sums are those of the whole."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(compare, "CELLS_AT_ONCE", 50)
+    monkeypatch.setattr(compare, "DENSE_CELLS", 40)
+    most, multiply = [], compare._PairSums.multiply
+    monkeypatch.setattr(compare._PairSums, "multiply", lambda self, last: (most.append(self.rows), multiply(self, last)))
+    x = np.where(rng.random((200, 7)) < 0.6, rng.normal(size=(200, 7)), np.nan)
+    cells = [(f"f{i:03}", f"c{j}", x[i, j], j % 2, 0, 1, 0) for i in range(200) for j in range(7) if not np.isnan(x[i, j])]
+    pdf = pd.DataFrame(cells, columns=["feature", "comparison", "value", "b", "bi", "bj", "chunk"])
+    (out,) = compare._multiplied(iter([pdf[k : k + 30].copy() for k in range(0, len(pdf), 30)]))
+    assert max(most) < 100 and len(out) == 12
+    for r in out.itertuples():
+        a, b = x[:, int(r.left[1])], x[:, int(r.right[1])]
+        both = ~np.isnan(a) & ~np.isnan(b)
+        want = [both.sum(), a[both].sum(), b[both].sum(), (a[both] ** 2).sum(), (b[both] ** 2).sum(), (a * b)[both].sum()]
+        assert r.left < r.right and np.allclose([getattr(r, k) for k in compare.SUMS], want)
+
+
 def test_pairwise_correlation_and_support(spark):
     x = np.random.default_rng(4).normal(size=120)
     matrix = np.column_stack([x, 2 * x, -x, x])
