@@ -292,3 +292,13 @@ def test_batches_by_sample_and_by_contained_experiment(spark):
     assert got == {"f1": "b0", "f2": "b1", "f3": "b1", "f4": "b3", "f5": None}
     with pytest.raises(design.InvalidDesign):
         design.with_batches(frame, batches.where("batch <> 'b3'"))
+
+
+def test_rows_of_a_file_do_not_meet_in_one_task(spark):
+    """A design is known to be small, so the rows stay where they are."""
+    rows = spark.range(100).selectExpr("concat('f', id % 2) AS filename", "id")
+    files = spark.createDataFrame([("f0", "A"), ("f1", "B")], "filename string, Condition string")
+    joined = psm.join_design(rows, files, "filename")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert joined.count() == 100
