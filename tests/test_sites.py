@@ -163,3 +163,53 @@ def test_network_limits(spark):
         network.subnetwork(diff, edges, max_seeds=2)
     with pytest.raises(network.SeedCount):
         network.subnetwork(diff, edges, p_cut=0.001)
+
+
+def test_numbered_sites_equal_the_rows_with_their_texts(spark):
+    """Numbers stand for the same sites, features and evidence as the texts; null equals null."""
+    rows = [
+        (accession, sequence, mods, scores, source, "2" if source < 9 else charge, channel, "DMSO", 1, "Sample", f"{channel}_1", 1.0 + source)
+        for accession, sequence, mods, scores, source in (
+            ("P1", "[K].ACK.[T]", "C2(DBIA)", "C2(DBIA): 99", 1), ("P1", "[K].ACK.[T]", "C2(DBIA)", None, 2),
+            ("P1", "[K].ACK.[T]", "C2(DBIA)", None, 3), (None, "[K].WCW.[T]", "C2(DBIA)", "", 4), ("P9", None, "C1(DBIA)", None, 9),
+        )
+        for channel, charge in (("126", "2"), ("127N", "3"))
+    ]
+    names = ["Master_Protein_Accessions", "Annotated_Sequence", "Modifications", "ptmRS_Best_Site_Probabilities", "_SourceRow", "Charge",
+             "Channel", "Condition", "Replicate", "Role", "BioReplicate", "Abundance"]
+    types = ["string", "string", "string", "string", "long", "string", "string", "string", "int", "string", "string", "double"]
+    df = ptm.with_peptide(spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, types))))
+    texts = spark.createDataFrame([("P1", "G1", "MACKTT")], "accession string, gene string, sequence string")
+    wide = ptm.localize(df, texts, "DBIA")
+    numbered = ptm.number_sites(df, texts, "DBIA")
+    assert not set(numbered.rows.columns) & {"ProteinName", "Peptidoform", "Modifications", "Annotated_Sequence"}
+
+    def same(one, two):
+        columns = sorted(one.columns)
+        assert columns == sorted(two.columns)
+        a, b = (sorted(map(repr, x.select(*columns).collect())) for x in (one, two))
+        assert a == b and a
+
+    same(numbered.named_features(numbered.features()), ptm.sum_features(wide, ptm.FEATURE_KEYS))
+    found, want = numbered.evidence(), ptm.site_evidence(wide)
+    same(numbered.named_evidence(found), want)
+    same(numbered.metadata(found, "DBIA"), ptm.site_metadata(want, "DBIA"))
+    same(numbered.peptidoform_counts(found), ptm.peptidoform_counts(want))
+    few = wide.drop("_SourceRow")
+    less = ptm.number_sites(df.drop("_SourceRow"), texts, "DBIA")
+    same(less.named_evidence(less.evidence()), ptm.site_evidence(few))
+
+
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    df = ptm.with_peptide(spark.createDataFrame(
+        [("P1", "ACK", "C2(DBIA)", i, "2", "126", "A", 1, "Sample", "A_1", 1.0) for i in range(3)],
+        "Master_Protein_Accessions string, Annotated_Sequence string, Modifications string, _SourceRow long, Charge string, "
+        "Channel string, Condition string, Replicate int, Role string, BioReplicate string, Abundance double",
+    ))
+    texts = spark.createDataFrame([("P1", "G1", "MACKTT")], "accession string, gene string, sequence string")
+    twice = df.select("Master_Protein_Accessions").unionByName(df.select("Master_Protein_Accessions"))
+    assert ptm._share_hashes(twice, ["Master_Protein_Accessions"])
+    monkeypatch.setattr(ptm, "_share_hashes", lambda *_: True)
+    assert [r["ProteinName"] for r in ptm.number_sites(df, texts, "DBIA").sites.collect()] == ["P1_C3"]
+    numbered = ptm.number_sites(df, texts, "DBIA")
+    assert numbered.features().first()["Abundance"] == 3.0
