@@ -3,7 +3,7 @@
 One text per view, read by Spark as a query and by the SQL side as a CTE.
 """
 
-from omicspark.registry.base import define_view
+from omicspark.registry.base import READS, define_view
 
 define_view(
     "psm",
@@ -261,14 +261,25 @@ define_view(
 UNION SELECT DISTINCT o_orderpriority AS label, o_orderpriority AS prefix FROM {orders}""",
 )
 
+LETTERS = """upper(translate(text, 'éóèñçüêäöíÉÈÑÓÇÄÊÜÖÍ .,;:!?()-/"0123456789ß\n\t\r>|*%&$#+=@', 'eoencueaoiEENOCAEUOI'))"""
+
 define_view(
     "proteome",
     ("documents",),
-    """SELECT 'S' || CAST(doc_id AS STRING) AS accession,
+    f"""SELECT 'S' || CAST(doc_id AS STRING) AS accession,
        CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'GN' || CAST(doc_id % 60 AS STRING) END AS gene,
-       upper(translate(text, 'éóèñçüêäöíÉÈÑÓÇÄÊÜÖÍ .,;:!?()-/"0123456789ß\n\t\r>|*%&$#+=@', 'eoencueaoiEENOCAEUOI')) AS sequence
-FROM {documents}""",
+       {LETTERS} AS sequence
+FROM {{documents}}""",
+)
+
+# ``ptm_rows`` reads 40 letters of a sequence; the beginning of a text gives them, unless few of its signs are letters.
+define_view(
+    "proteome_heads",
+    ("documents",),
+    f"""SELECT accession, CASE WHEN length(head) >= 40 THEN head ELSE {LETTERS} END AS sequence
+FROM (SELECT 'S' || CAST(doc_id AS STRING) AS accession, text, {LETTERS.replace("text", "left(text, 200)")} AS head FROM {{documents}})""",
 )
+READS["ptm_rows", "proteome"] = "proteome_heads"
 
 define_view(
     "ptm_rows",

@@ -213,3 +213,66 @@ def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
     assert [r["ProteinName"] for r in ptm.number_sites(df, texts, "DBIA").sites.collect()] == ["P1_C3"]
     numbered = ptm.number_sites(df, texts, "DBIA")
     assert numbered.features().first()["Abundance"] == 3.0
+
+
+def test_localization_texts_are_taken_apart_once(spark):
+    df = one(spark, a="C2(DBIA): 98; C4(DBIA): 76", b="C3(DBIA): 75", c="0.9", m="C2(DBIA); M1(Oxidation)")
+    sites = E.modification_sites(F.col("m"), "DBIA")
+
+    def best(a, b, c):
+        made = E.best_localization(sites, "DBIA", [(a, "first"), (b, "second")], c)
+        return df.select(made.alias("x")).select("x.*")
+
+    plan = best(F.col("a"), F.col("b"), F.col("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 3
+    got = [best(*x).first() for x in (
+        (F.col("a"), F.col("b"), F.col("c")), (F.lit(" "), F.col("b"), F.col("c")),
+        (F.lit(None), F.lit("C2(X): 9"), F.col("c")), (F.lit(""), F.lit(""), F.lit("none")),
+    )]
+    assert [(r["source"], [tuple(s) for s in r["scores"]]) for r in got] == [
+        ("first", [("C", 2, 98.0), ("C", 4, 76.0)]), ("second", [("C", 3, 75.0)]),
+        ("CHIMERYS score", [("C", 2, 90.0)]), ("Unscored", []),
+    ]
+
+
+def test_labels_of_many_places_are_not_compared_with_each_other(spark):
+    starts = list(range(0, 3000, 1))
+    df = spark.createDataFrame([([("C", 2), ("C", 1), ("K", 1)], starts)], "s array<struct<residue:string,position:int>>, p array<int>")
+    made = df.select(E.protein_labels(F.col("s"), F.col("p")).alias("x"))
+    got = made.first()["x"]
+    want = sorted({(start + p, r + str(start + p)) for start in starts for r, p in (("C", 2), ("C", 1), ("K", 1))})
+    assert got == [label for _, label in want]
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "array_distinct(flatten" not in plan and "array_sort(" not in plan
+
+
+def test_background_is_read_once(spark):
+    rows = [("AK", "2", c, 1.0 + i) for i, c in enumerate(("126", "127N"))] + [("CK", "2", "126", 5.0)]
+    df = spark.createDataFrame(rows, "PeptideSequence string, Charge string, Channel string, Abundance double")
+    complete = ptm.complete_background(df, spark.createDataFrame([("126",), ("127N",)], "Channel string"))
+    plan = complete._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert sorted(map(tuple, complete.collect())) == [("AK", "2", "126", 1.0), ("AK", "2", "127N", 2.0)]
+
+
+def test_rows_and_texts_of_one_site(spark):
+    rows = spark.createDataFrame([(0, 0, 0), (5, 5, 5), (6, 5, 5)], "__u long, __f long, __p long")
+    names = spark.createDataFrame([(0, 0, 0, "a"), (5, 5, 5, "b"), (6, 5, 5, "b")], "__u long, __f long, __p long, ProteinName string")
+    site = ptm.NumberedSites(rows, names).of_site(5)
+    assert sorted(r["__u"] for r in site.sites.collect()) == sorted(r["__u"] for r in site.rows.collect()) == [5, 6]
+    assert ptm.NumberedSites(rows, names).of_site(None).rows.count() == 0
+
+
+def test_heads_of_sequences(spark):
+    """The heads of sequences that the rows read equal those of whole sequences."""
+    from omicspark.registry import load
+    from omicspark.registry.base import VIEWS
+
+    load()
+    texts = [None, "", "éa b.c" * 5, "1234 .,;" * 200 + "abcdéß" * 20, "Plain text of letters " * 50, "...." * 100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    heads, whole = (
+        spark.sql(VIEWS[v][1], documents=docs).selectExpr("accession", "substr(sequence, 1, 40) AS s").orderBy("accession").collect()
+        for v in ("proteome_heads", "proteome")
+    )
+    assert heads == whole and len(heads) == len(texts)

@@ -146,3 +146,13 @@ def test_a_value_of_many_rows_is_ordered_by_many_tasks(spark, monkeypatch):
 def test_rows_that_repeat_get_places_of_their_own(spark):
     df = spark.createDataFrame([(1.0, "x")] * 5 + [(0.5, "x")], "v double, t string")
     assert sorted(r["position"] for r in ranking.positions(df, [], "v", "t").collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_few_peptides_are_sought_without_windows(monkeypatch):
+    sequence, peptides = "AAAACKAACK", ["AA", "ACK", "", "ZZ", "AAAACKAACKA"]
+    want = {"AA": [0, 1, 2, 6], "ACK": [3, 7]}
+    monkeypatch.setattr(search, "FEW_PEPTIDES", 0)
+    assert search.places_of(sequence, peptides) == want
+    monkeypatch.setattr(search, "FEW_PEPTIDES", 64)
+    monkeypatch.setattr(search, "_seeds", lambda *_: pytest.fail("windows were numbered"))
+    assert search.places_of(sequence, peptides) == want
