@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from omicspark.functions import expressions as E
-from omicspark.operators import artifacts, design, network, ptm, qc, query
+from omicspark.operators import artifacts, design, network, ptm, qc, query, search
 from omicspark.plans import workflows
 
 
@@ -276,3 +276,59 @@ def test_heads_of_sequences(spark):
         for v in ("proteome_heads", "proteome")
     )
     assert heads == whole and len(heads) == len(texts)
+
+
+def test_counts_of_peptidoforms_are_grouped_by_numbers(spark):
+    """Names are grouped only where two features share them, as a missing accession and one called nan do."""
+    rows = [(a, "ACK", "C2(DBIA)", i, "2", "126", "A", 1, "Sample", "A_1", 1.0) for i, a in enumerate((None, "nan", "nan", "P1"))]
+    df = ptm.with_peptide(spark.createDataFrame(
+        rows,
+        "Master_Protein_Accessions string, Annotated_Sequence string, Modifications string, _SourceRow long, Charge string, "
+        "Channel string, Condition string, Replicate int, Role string, BioReplicate string, Abundance double",
+    ))
+    texts = spark.createDataFrame([("nan", "G0", "MMMM"), ("P1", "G1", "MACKTT")], "accession string, gene string, sequence string")
+
+    def counted(rows):
+        numbered = ptm.number_sites(rows, texts, "DBIA")
+        return numbered.peptidoform_counts(numbered.evidence())
+
+    shared = counted(df)
+    assert sorted(map(tuple, shared.collect())) == [
+        ("P1_C3", "P1 · C3", "ACK|C2(DBIA)", "2", 1),
+        ("nan_peptide_C2_unmapped", "nan · peptide C2 · FASTA-unmapped", "ACK|C2(DBIA)", "2", 3),
+    ]
+    own = counted(df.where("Master_Protein_Accessions IS NOT NULL"))
+    assert sorted(r["PSMCount"] for r in own.collect()) == [1, 2]
+    groups = [x for x in own._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert groups and not any("ProteinName" in x for x in groups)
+
+
+def test_sequences_travel_once(spark):
+    """Isoforms are looked up as they stand and without their isoform; of rows that share an id the longest counts."""
+    entries = spark.createDataFrame(
+        [("P1", "G1", "MACK"), ("P1", "G9", "MACKTACK"), ("P2-2", "G2", "ACK"), ("P2", "G3", "MMACK"), ("P3", None, None), ("P4", "G4", "")],
+        "entry string, gene string, sequence string",
+    )
+    pairs = [(e, p) for e in ("P1", "P2-2", "P2", "P3", "P4", "lost") for p in ("ACK", "", None)]
+    df = spark.createDataFrame(pairs, "entry string, peptide string")
+    for size in (1, 4096):
+        placed = search.entry_places(df, entries, size)
+        got = {tuple(r[:3]): r["starts"] for r in placed.collect()}
+        assert got == {
+            ("P1", "G9", None): None, ("P1", None, "ACK"): [1, 5], ("P2-2", "G2", None): None, ("P2-2", None, "ACK"): [0],
+            ("P2", "G3", None): None, ("P2", None, "ACK"): [2], ("P3", None, None): None, ("P4", "G4", None): None,
+        }
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    # One deal of the sequences and one of their peptides.
+    assert plan.count("RepartitionByExpression") == 2
+    rows = [(a, "ACK", "C2(DBIA)", i, "2", "126", "A", 1, "Sample", "A_1", 1.0) for i, a in enumerate(("P1", "P2-2", "P2-3", "P3", "P4-1", "P1; P2"))]
+    sited = ptm.number_sites(ptm.with_peptide(spark.createDataFrame(
+        rows,
+        "Master_Protein_Accessions string, Annotated_Sequence string, Modifications string, _SourceRow long, Charge string, "
+        "Channel string, Condition string, Replicate int, Role string, BioReplicate string, Abundance double",
+    )), entries.withColumnRenamed("entry", "accession"), "DBIA").sites
+    assert sorted((r["ProteinName"], r["Gene"], r["ProteinMapping"]) for r in sited.collect()) == [
+        ("P1; P2_peptide_C2_unmapped", "", "unmapped"), ("P1_candidate_C3|C7", "G9", "exact"), ("P2-2_C2", "G2", "exact"),
+        ("P2-3_C4", "G3", "canonical_fallback"), ("P3_peptide_C2_unmapped", "", "exact"),
+        ("P4-1_peptide_C2_unmapped", "G4", "canonical_fallback"),
+    ]
