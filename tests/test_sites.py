@@ -1,5 +1,6 @@
 """Known answers of localisation, site assignment, normalisation and result layers."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,3 +333,26 @@ def test_sequences_travel_once(spark):
         ("P2-3_C4", "G3", "canonical_fallback"), ("P3_peptide_C2_unmapped", "", "exact"),
         ("P4-1_peptide_C2_unmapped", "G4", "canonical_fallback"),
     ]
+
+
+def test_intensity_reads_measures_alone(spark):
+    rows = [(f"F{i}", c, r, float(i + 1)) for i in range(40) for c, r in (("A", "1"), ("A", "2"), ("B", None))] + [("F0", "A", "1", -1.0)]
+    psms = spark.createDataFrame(rows, "Unique_PSM string, Condition string, Replicate string, Abundance double")
+    made = qc.normalized_intensity(psms)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    # Rows are neither named nor brought together by sample or bin: what they meet was written.
+    assert "Unique_PSM" not in plan and "LogicalRDD" not in plan
+    got = {(r["Condition"], r["Replicate"]): r for r in made.collect()}
+    assert {k: r["value_count"] for k, r in got.items()} == {("A", "1"): 40, ("A", "2"): 40, ("B", None): 40}
+    # The medians 20, 20.5 and 20.5 become 20.5, the one of most rows.
+    assert got[("B", None)]["median"] == pytest.approx((np.log2(20) + np.log2(21)) / 2)
+    assert got[("A", "1")]["median"] == pytest.approx((np.log2(20) + np.log2(21)) / 2 + np.log2(20.5 / 20))
+
+
+def test_quality_tables_asked_for_alone(spark):
+    names = "ProteinName string, Condition string, Replicate int, NormalizedAbundance double, Imputed boolean"
+    sites = spark.createDataFrame([("P", "A", 1, 2.0, False)], names)
+    psms = spark.createDataFrame([("F", "A", "A_1", 2.0)], "PSM string, Condition string, BioReplicate string, Intensity double")
+    results = spark.createDataFrame([("c", 0.5)], "comparison_id string, p_value double")
+    assert set(qc.ptm_qc(sites, psms, results, only=["intensity"])) == {"intensity"}
+    assert len(qc.ptm_qc(sites, psms, results)) == 8
