@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,84 @@ def test_large_proteins_take_the_spread_path(spark):
     assert all(mixed[k] == pytest.approx(plain[k], abs=1e-6) for k in plain)
 
 
+def polish_alone(x, rounds=10, tolerance=0.01):
+    """Median polish of one matrix, row by row and column by column."""
+    rest, row, col, overall, last = x.copy(), np.zeros(x.shape[0]), np.zeros(x.shape[1]), 0.0, 0.0
+    for _ in range(rounds):
+        step = np.nanmedian(rest, axis=1)
+        rest, row = rest - step[:, None], row + step
+        center = np.median(col)
+        col, overall = col - center, overall + center
+        step = np.nanmedian(rest, axis=0)
+        rest, col = rest - step[None, :], col + step
+        center = np.median(row)
+        row, overall = row - center, overall + center
+        size = np.nansum(np.abs(rest))
+        if size == 0 or abs(size - last) < tolerance * size:
+            break
+        last = size
+    return overall + col
+
+
+def test_proteins_of_a_batch_are_fitted_together(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows, wanted = [], {}
+    for p in range(60):
+        x = np.round(rng.normal(20, 3, (1 + p % 7, 1 + p % 5)), p % 3)
+        x[1:][rng.random(x[1:].shape) < 0.3] = np.nan
+        x = x[~np.isnan(x).all(axis=1)]
+        levels = x[0] if len(x) < 2 else polish_alone(x)
+        for i, j in np.argwhere(~np.isnan(x)):
+            rows.append((f"p{p}", f"f{i}", f"s{j}", float(x[i, j])))
+        wanted |= {(f"p{p}", f"s{j}"): v for j, v in enumerate(levels)}
+    # Twice the same cell counts as its mean; no value and no number count as none.
+    rows += [("twice", "f0", "s0", 1.0), ("twice", "f0", "s0", 3.0), ("twice", "f1", "s0", 2.0), ("p1", "f9", "s9", None)]
+    rows += [("few", "f0", "s0", 4.0), ("few", "f1", "s1", 6.0), ("few", "f1", "s2", float("nan"))]
+    wanted |= {("twice", "s0"): 2.0, ("few", "s0"): 4.0, ("few", "s1"): 6.0}
+
+    def check(found):
+        found = {r[:2]: r[2] for r in found}
+        assert found.keys() == wanted.keys()
+        assert all(found[k] == pytest.approx(wanted[k], abs=1e-9) for k in wanted)
+
+    calls = []
+    polish = summarize.median_polish_all
+    monkeypatch.setattr(summarize, "median_polish_all", lambda x: calls.append(len(x)) or polish(x))
+    columns = zip(*sorted((r for r in rows if r[3] is not None), key=lambda r: r[0]))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["protein", "feature", "sample", "log2_abundance"])
+    out = summarize._polished(2)(batch).to_pydict()
+    check(zip(out["protein"], out["sample"], out["log2_abundance"]))
+    assert sum(calls) > 40 and len(calls) <= 16
+    # Keys that go on in the next batch, and proteins that no task may hold.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        frame = spark.createDataFrame(rows, FEATURES)
+        check(tuple(r) for r in summarize.summarize_tmp(frame).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    picked = [r for r in rows if r[0] in ("p6", "p20", "few")]
+    wanted = {k: v for k, v in wanted.items() if k[0] in ("p6", "p20", "few")}
+    check(tuple(r) for r in summarize.summarize_tmp(spark.createDataFrame(picked, FEATURES), max_cells=6).collect())
+
+
+def test_plain_means_of_a_batch_equal_single_fits(spark):
+    rows = [r for r in level_rows(np.random.default_rng(3)) if r[:2] not in {("p01", "A_0"), ("p01", "A_1")} and (r[0] != "p02" or r[2] == "B")]
+    rows += [("lone", "A_0", "A", "b1", 1.5), ("lone", "B_0", "B", "b1", 2.5)]
+    found = fit.fit_models(spark.createDataFrame(rows, LEVELS), robust=False).collect()
+    assert len(found) == 31
+    for r in found:
+        own = [x for x in rows if x[0] == r["protein"]]
+        names = sorted({x[2] for x in own})
+        values = [np.array([x[4] for x in own if x[2] == c]) for c in names]
+        df = len(own) - len(names)
+        assert r["conditions"] == names and r["n"] == len(own) and r["df"] == df
+        assert r["shifts"] == [[] for _ in names]
+        assert r["coef"] == pytest.approx([v.mean() for v in values])
+        assert r["inverse"] == pytest.approx([1 / len(v) for v in values])
+        squares = sum(((v - v.mean()) ** 2).sum() for v in values)
+        assert r["sigma"] is None if not df else r["sigma"] == pytest.approx(math.sqrt(squares / df))
+
+
 def test_additive_fit_is_least_squares():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(6, 5))
