@@ -62,6 +62,24 @@ def test_coverage_two_of_three(spark):
     assert ptm.covered_items(three, wide, 0.7).count() == 0
 
 
+def test_coverage_counts_channels_in_one_exchange(spark):
+    channels = {f"{i}": {"c": "AB"[i % 2], "replicate": i} for i in range(150)}
+    frame = design.ptm_design(spark, channels)
+    rows = [("all", "AB"[i % 2], f"{i}") for i in range(150)]
+    rows += [("enough", "AB"[i % 2], f"{i}") for i in range(150) if i % 2 == 0 or i % 10 in (1, 3, 5)]
+    rows += [("scarce", "AB"[i % 2], f"{i}") for i in range(150) if i % 2 == 0 or (i % 10 in (1, 3, 5) and i < 140)]
+    rows += [("repeated", "A", "0")] * 200 + [("half", "A", f"{i}") for i in range(0, 150, 2)]
+    rows += [("strange", "AB"[1 - i % 2], f"{i}") for i in range(150)] + [(None, "AB"[i % 2], f"{i}") for i in range(150)]
+    rows += [("unnamed", None, "0"), ("unnamed", "A", None), ("norm", "Norm", "1")]
+    df = spark.createDataFrame(rows, "ProteinName string, Condition string, Channel string")
+    found = ptm.covered_items(df, frame, 0.40)
+    assert sorted(r[0] for r in found.collect()) == ["all", "enough"]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    assert found._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2
+    assert ptm.covered_items(df, design.ptm_design(spark, {}), 0.40).count() == 0
+    assert {r[0] for r in ptm.covered_items(df, frame, 1.0).collect()} == {r[0] for r in rows if r[0]}
+
+
 MAPPING = {
     "126": {"condition": "DMSO", "replicate": 1}, "127N": {"condition": "DMSO", "replicate": 2},
     "128N": {"condition": "DRUG", "replicate": 1}, "129N": {"condition": "DRUG", "replicate": 2},
