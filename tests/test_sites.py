@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from omicspark.functions import expressions as E
-from omicspark.operators import artifacts, design, network, ptm, qc, query, search
+from omicspark.operators import artifacts, design, network, ptm, qc, query, search, summarize
 from omicspark.plans import workflows
 
 
@@ -80,6 +80,19 @@ def test_coverage_counts_channels_in_one_exchange(spark):
     assert {r[0] for r in ptm.covered_items(df, frame, 1.0).collect()} == {r[0] for r in rows if r[0]}
 
 
+def test_conditions_of_samples_are_not_sorted_out_of_all_rows(spark, monkeypatch):
+    written = []
+    cut = summarize.cut_lineage
+    monkeypatch.setattr(summarize, "cut_lineage", lambda df: written.append(df) or cut(df))
+    rows = [(f"p{i % 5}", f"f{i % 3}", f"s{i % 2}", "A" if i % 4 else "B", 2.0 ** (i % 7)) for i in range(60)]
+    features = spark.createDataFrame(rows, "ProteinName string, PSM string, BioReplicate string, Condition string, Intensity double")
+    out = summarize.summarize_layers(features).collect()
+    assert {(r["sample_id"], r["condition"]) for r in out} == {("s0", "A"), ("s1", "A")}
+    kinds = next(df for df in written if df.columns == ["sample", "condition"])
+    lines = kinds._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert "HashAggregate" in [line for line in lines if "Aggregate" in line][-1]
+
+
 MAPPING = {
     "126": {"condition": "DMSO", "replicate": 1}, "127N": {"condition": "DMSO", "replicate": 2},
     "128N": {"condition": "DRUG", "replicate": 1}, "129N": {"condition": "DRUG", "replicate": 2},
